@@ -1,4 +1,4 @@
 """Every registered query."""
 
-from pagelib.plans import url_queries  # noqa: F401
+from pagelib.plans import library_queries, url_queries  # noqa: F401
 from pagelib.plans.registry import QUERIES, SQL  # noqa: F401

@@ -70,7 +70,8 @@ class Tables:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
     def count_of(self, name: str) -> Column:
         """Row count of a given table as a scalar subquery."""
@@ -235,7 +236,7 @@ class Tables:
         to = p.select(F.col("page_id").alias("to_id"), F.col("url").alias("link"))
         event = F.col("event_id")
         return (e.withColumn("to_id", (event * 7) % n).join(p, "page_id").join(to, "to_id").select(
-            "url", event.alias("seq"), F.date_trunc("hour", "ts").alias("at"),
+            "url", event.alias("seq"), F.date_trunc("hour", "ts").alias("clicked_at"),
             F.when(F.col("event_type") == "click", (event % 40).cast("string")).alias("post"),
             F.array((event % 40).cast("string"), (event % 13).cast("string")).alias("posts"),
             F.array(F.col("link")).alias("links")))
@@ -338,7 +339,7 @@ SELECT url, event_id AS seq, ['Src' || (user_id % 12), lang] AS tags,
 FROM page_events JOIN pages USING (page_id)
 JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)""",
     "bookmark_log": """
-SELECT p.url, event_id AS seq, date_trunc('hour', ts)::TIMESTAMP AS at,
+SELECT p.url, event_id AS seq, date_trunc('hour', ts)::TIMESTAMP AS clicked_at,
   CASE WHEN event_type = 'click' THEN (event_id % 40)::VARCHAR END AS post,
   [(event_id % 40)::VARCHAR, (event_id % 13)::VARCHAR] AS posts, [l.url] AS links
 FROM page_events e JOIN pages p USING (page_id)
