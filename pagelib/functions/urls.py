@@ -68,6 +68,11 @@ def _c(url: str | Column) -> Column:
     return F.col(url) if isinstance(url, str) else url
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once; keeps long rules small in generated code."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scheme_of(url) -> Column:
     return F.lower(F.regexp_extract(_c(url), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
@@ -127,13 +132,16 @@ def _params(url) -> Column:
         form_decode(F.regexp_extract(s, r"^[^=]*=(.*)$", 1)).alias("value")))
 
 
-def is_this_machine(url) -> Column:
-    h = host_of(url)
+def _this_machine(h: Column) -> Column:
     name = F.regexp_replace(h, r"\.+$", "")
     named = (name == "localhost") | name.endswith(".localhost")
     v4 = h.rlike(r"^127\.\d+\.\d+\.\d+$") | (h == "0.0.0.0")
     v6 = h.rlike(r"^\[(0*:)*:?(0*:)*0*1?\]$") & h.contains(":")
-    return F.coalesce(named | v4 | v6, F.lit(False))
+    return named | v4 | v6
+
+
+def is_this_machine(url) -> Column:
+    return F.coalesce(let(host_of(url), _this_machine), F.lit(False))
 
 
 def domain_of(url) -> Column:
@@ -175,8 +183,11 @@ def page_url(url) -> Column:
 
 
 def _private_v4(h: Column) -> Column:
-    octet = F.split(h, r"\.")
-    a, b, c = (octet[i].try_cast("int") for i in range(3))
+    return let(F.transform(F.split(h, r"\."), lambda o: o.try_cast("int")), _private_octets)
+
+
+def _private_octets(octet: Column) -> Column:
+    a, b, c = (F.get(octet, F.lit(i)) for i in range(3))
     return (a.isin(0, 10, 127) | (a >= 224)
             | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254))
             | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
@@ -195,8 +206,7 @@ def _private_v6(h: Column) -> Column:
     return F.when(mapped != "", _private_v4(mapped)).otherwise(~native)
 
 
-def is_private_host(url) -> Column:
-    h = host_of(url)
+def _private(h: Column) -> Column:
     name = F.regexp_replace(h, r"\.+$", "")
     suffix = F.lit(False)
     for s in PRIVATE_SUFFIXES:
@@ -204,22 +214,29 @@ def is_private_host(url) -> Column:
     return (F.when(h == "", True)
             .when(h.rlike(r"^\d+\.\d+\.\d+\.\d+$"), _private_v4(h))
             .when(h.startswith("["), _private_v6(h))
-            .otherwise(is_this_machine(url) | ~name.contains(".") | suffix))
+            .otherwise(_this_machine(h) | ~name.contains(".") | suffix))
+
+
+def is_private_host(url) -> Column:
+    return let(host_of(url), _private)
 
 
 def is_search_results(url) -> Column:
-    site = _site(url)
-    path = F.lower(path_decode(path_of(url)))
     query = query_of(url)
+    asks = F.exists(_params(url), lambda p: (p["name"] == "q") & (p["value"] != ""))
 
-    def engine(name: str) -> Column:
-        return (site == name) | site.startswith(name + ".") | site.endswith("." + name)
+    def rule(at: Column) -> Column:
+        site, path = at["site"], at["path"]
 
-    asks = F.exists(_params(url), lambda p: (p["name"] == "q") & (p["value"] != ""))
-    duck = engine("duckduckgo") & (asks | path.startswith("/html") | path.startswith("/lite"))
-    own = F.exists(F.split(path, "/"), lambda s: s.isin("search", "results")) & (query != "")
-    return ((engine("google") & path.isin("/search", "/url", "/imgres", "/webhp")) | duck
-            | ((engine("baidu") | engine("amazon")) & (path == "/s")) | own)
+        def engine(name: str) -> Column:
+            return (site == name) | site.startswith(name + ".") | site.endswith("." + name)
+
+        duck = engine("duckduckgo") & (asks | path.startswith("/html") | path.startswith("/lite"))
+        own = F.exists(F.split(path, "/"), lambda s: s.isin("search", "results")) & (query != "")
+        return ((engine("google") & path.isin("/search", "/url", "/imgres", "/webhp")) | duck
+                | ((engine("baidu") | engine("amazon")) & (path == "/s")) | own)
+
+    return let(F.struct(_site(url).alias("site"), F.lower(path_decode(path_of(url))).alias("path")), rule)
 
 
 def carries_token(url) -> Column:
@@ -255,11 +272,9 @@ def is_login_redirect(url) -> Column:
 
 
 def is_personal_app(url) -> Column:
-    h = site_host(url)
-    hit = h.isin(PERSONAL_APPS)
-    for app in PERSONAL_APPS:
-        hit = hit | h.endswith("." + app)
-    return hit
+    apps = F.array(*[F.lit(a) for a in PERSONAL_APPS])
+    return let(site_host(url), lambda h: F.exists(
+        apps, lambda a: (h == a) | h.endswith(F.concat(F.lit("."), a))))
 
 
 def skip_reason(url, forgotten: Column) -> Column:
@@ -271,75 +286,103 @@ def skip_reason(url, forgotten: Column) -> Column:
             .when(carries_token(url), "token in URL"))
 
 
-def _steps(url) -> Column:
-    return F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+def _address(url) -> Column:
+    """Host, path steps and parameters of an address, for the document rules."""
+    return F.struct(host_of(url).alias("host"),
+                    F.filter(F.split(path_of(url), "/"), lambda s: s != "").alias("steps"),
+                    _params(url).alias("params"))
 
 
-def video_id(url) -> Column:
-    """Video id of a video page, else NULL."""
-    h, steps = host_of(url), _steps(url)
-    site = F.regexp_replace(h, r"^(www|m|music)\.", "")
-    first = F.get(steps, F.lit(0))
-    v = F.get(F.filter(_params(url), lambda p: p["name"] == "v"), F.lit(0))["value"]
-    found = (F.when(h == "youtu.be", first)
-             .when((site == "youtube.com") & (first == "watch"), v)
-             .when((site == "youtube.com") & (first == "shorts"), F.get(steps, F.lit(1))))
-    return F.when(found.rlike(r"^[A-Za-z0-9_-]{11}$"), found)
-
-
-def _is_video_listing(url) -> Column:
-    site = F.regexp_replace(host_of(url), r"^(www|m|music)\.", "")
-    first = F.get(_steps(url), F.lit(0))
-    return (site == "youtube.com") & F.coalesce(
+def _step(at: Column, i: int) -> Column:
+    return F.get(at["steps"], F.lit(i))
+
+
+def _video_site(at: Column) -> Column:
+    return F.regexp_replace(at["host"], r"^(www|m|music)\.", "") == "youtube.com"
+
+
+def _post_site(at: Column) -> Column:
+    return F.regexp_replace(at["host"], r"^(www|mobile|m)\.", "").isin("x.com", "twitter.com")
+
+
+def _video(at: Column) -> Column:
+    v = F.get(F.filter(at["params"], lambda p: p["name"] == "v"), F.lit(0))["value"]
+    found = (F.when(at["host"] == "youtu.be", _step(at, 0))
+             .when(_video_site(at) & (_step(at, 0) == "watch"), v)
+             .when(_video_site(at) & (_step(at, 0) == "shorts"), _step(at, 1)))
+    return let(found, lambda f: F.when(f.rlike(r"^[A-Za-z0-9_-]{11}$"), f))
+
+
+def _lists_videos(at: Column) -> Column:
+    first = _step(at, 0)
+    return _video_site(at) & F.coalesce(
         first.startswith("@") | first.isin("channel", "c", "user", "playlist"), F.lit(False))
 
 
-def post_id(url) -> Column:
-    """Post number of a post page, else NULL."""
-    site = F.regexp_replace(host_of(url), r"^(www|mobile|m)\.", "")
-    steps = _steps(url)
-    number = F.get(steps, F.lit(2))
-    return F.when(site.isin("x.com", "twitter.com") & (F.get(steps, F.lit(1)) == "status")
-                  & number.rlike(r"^[0-9]+$"), number)
+def _post(at: Column) -> Column:
+    number = _step(at, 2)
+    return F.when(_post_site(at) & (_step(at, 1) == "status") & number.rlike(r"^[0-9]+$"), number)
 
 
-def repo_target(url) -> Column:
-    """`owner/repo` or `owner/repo#n` in lower case for a repository or numbered thread."""
-    h, steps = host_of(url), _steps(url)
-    owner, name = F.get(steps, F.lit(0)), F.get(steps, F.lit(1))
-    kind, number = F.get(steps, F.lit(2)), F.get(steps, F.lit(3))
-    n = F.size(steps)
-    root = F.regexp_replace(name, r"\.git$", "")
-    repo = F.when(n == 2, root).otherwise(name)
-    good = (h.isin("github.com", "www.github.com") & (n >= 2) & ~F.lower(owner).isin(NOT_OWNERS)
-            & owner.rlike(r"^[A-Za-z0-9_-]+$") & repo.rlike(r"^[A-Za-z0-9_.-]+$")
-            & ~repo.rlike(r"^\.+$"))
+def _repo(at: Column) -> Column:
+    owner, kind, number = _step(at, 0), _step(at, 2), _step(at, 3)
+    n = F.size(at["steps"])
+    name = F.when(n == 2, F.regexp_replace(_step(at, 1), r"\.git$", "")).otherwise(_step(at, 1))
+    good = (at["host"].isin("github.com", "www.github.com") & (n >= 2) & ~F.lower(owner).isin(NOT_OWNERS)
+            & owner.rlike(r"^[A-Za-z0-9_-]+$") & name.rlike(r"^[A-Za-z0-9_.-]+$") & ~name.rlike(r"^\.+$"))
     no = number.try_cast("long")
     numbered = number.rlike(r"^[0-9]+$") & no.between(1, 2147483647) & (
         ((n == 4) & kind.isin("issues", "discussions")) | ((n >= 4) & (kind == "pull")))
-    full = F.lower(F.concat_ws("/", owner, repo))
+    full = F.lower(F.concat_ws("/", owner, name))
     return (F.when(good & (n == 2), full)
             .when(good & numbered, F.concat(full, F.lit("#"), no.cast("string"))))
 
 
+def video_id(url) -> Column:
+    """Video id of a video page, else NULL."""
+    return let(_address(url), _video)
+
+
+def post_id(url) -> Column:
+    """Post number of a post page, else NULL."""
+    return let(_address(url), _post)
+
+
+def repo_target(url) -> Column:
+    """`owner/repo` or `owner/repo#n` in lower case for a repository or numbered thread."""
+    return let(_address(url), _repo)
+
+
+def document_of(url) -> Column:
+    """Struct (route, key): how a page is read and what one fetch of it stands for.
+
+    Route is web, x, github or youtube, and NULL for pages that only list documents.
+    """
+    web_key = page_url(url)
+
+    def choose(d: Column) -> Column:
+        return (F.when(d["video"].isNotNull(), F.struct(F.lit("youtube").alias("route"), F.concat(
+                    F.lit("youtube:"), d["video"]).alias("key")))
+                .when(d["listing"], F.struct(F.lit(None).cast("string").alias("route"),
+                                             F.lit(None).cast("string").alias("key")))
+                .when(d["post"].isNotNull(), F.struct(F.lit("x").alias("route"), F.concat(
+                    F.lit(POST_API), d["post"]).alias("key")))
+                .when(d["repo"].isNotNull(), F.struct(F.lit("github").alias("route"), F.concat(
+                    F.lit("github:"), d["repo"]).alias("key")))
+                .otherwise(F.struct(F.lit("web").alias("route"), web_key.alias("key"))))
+
+    found = let(_address(url), lambda at: F.struct(
+        _video(at).alias("video"), _post(at).alias("post"), _repo(at).alias("repo"),
+        (_lists_videos(at) | (_post_site(at) & _post(at).isNull())).alias("listing")))
+    return let(found, choose)
+
+
 def route_of(url) -> Column:
-    """web, x, github or youtube; NULL for pages that only list documents."""
-    site = F.regexp_replace(host_of(url), r"^(www|mobile|m)\.", "")
-    return (F.when(video_id(url).isNotNull(), "youtube")
-            .when(_is_video_listing(url), F.lit(None).cast("string"))
-            .when(post_id(url).isNotNull(), "x")
-            .when(site.isin("x.com", "twitter.com"), F.lit(None).cast("string"))
-            .when(repo_target(url).isNotNull(), "github")
-            .otherwise("web"))
+    return document_of(url)["route"]
 
 
 def document_key(url) -> Column:
-    """What one fetch stands for, whatever address it was opened at."""
-    route = route_of(url)
-    return (F.when(route == "youtube", F.concat(F.lit("youtube:"), video_id(url)))
-            .when(route == "x", F.concat(F.lit(POST_API), post_id(url)))
-            .when(route == "github", F.concat(F.lit("github:"), repo_target(url)))
-            .when(route == "web", page_url(url)))
+    return document_of(url)["key"]
 
 
 def source_kind(key) -> Column:
