@@ -1,4 +1,4 @@
 """Every registered query."""
 
-from pagelib.plans import library_queries, log_queries, tag_queries, url_queries  # noqa: F401
+from pagelib.plans import content_queries, library_queries, log_queries, planning_queries, tag_queries, url_queries  # noqa: F401
 from pagelib.plans.registry import QUERIES, SQL  # noqa: F401
