@@ -112,14 +112,16 @@ def main_text(features: DataFrame) -> DataFrame:
 
 def resolve(base: Column, raw: Column) -> Column:
     """Absolute web address of a link on a page, NULL for other schemes."""
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    scheme = F.regexp_extract(base, r"^(https?:)", 1)
-    folder = F.regexp_extract(base, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    r = F.trim(raw)
-    out = (F.when(r.rlike(r"^(?i)https?://[^/?#]"), r).when(r.startswith("//"), F.concat(scheme, r))
-           .when(r.startswith("/"), F.concat(origin, r)).when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
-           .otherwise(F.concat(F.when(folder == origin, F.concat(folder, F.lit("/"))).otherwise(folder), r)))
-    return F.when(r != "", out)
+    def at(p: Column) -> Column:
+        r, base = p["raw"], p["base"]
+        origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+        folder = F.regexp_extract(base, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+        return (F.when(r.isNull() | (r == ""), F.lit(None)).when(r.rlike(r"^(?i)https?://[^/?#]"), r)
+                .when(r.startswith("//"), F.concat(F.regexp_extract(base, r"^(https?:)", 1), r))
+                .when(r.startswith("/"), F.concat(origin, r)).when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+                .otherwise(F.concat(F.when(folder == origin, F.concat(folder, F.lit("/"))).otherwise(folder), r)))
+
+    return urls.let(F.struct(base.alias("base"), F.trim(raw).alias("raw")), at)
 
 
 def choose_srcset(value: Column) -> Column:
@@ -129,12 +131,15 @@ def choose_srcset(value: Column) -> Column:
         F.regexp_extract(e, r"\s(\d+)w$", 1).try_cast("int").alias("w"),
         F.coalesce(F.regexp_extract(e, r"\s([0-9.]+)x$", 1).try_cast("double"), F.lit(1.0)).alias("x"),
         F.regexp_extract(e, r"^(\S+)", 1).alias("u")))
-    widths = F.filter(parsed, lambda p: p["w"].isNotNull())
-    wide = F.array_min(F.filter(widths, lambda p: p["w"] >= SRCSET_WIDTH))
-    widest = F.array_max(widths)
-    dense = F.array_max(F.transform(F.filter(parsed, lambda p: p["w"].isNull()),
-                                    lambda p: F.struct(p["x"].alias("x"), p["u"].alias("u"))))
-    return F.struct(F.coalesce(wide["u"], widest["u"], dense["u"]).alias("url"), widest["w"].alias("widest"))
+    def choose(entries: Column) -> Column:
+        widths = F.filter(entries, lambda p: p["w"].isNotNull())
+        wide = F.array_min(F.filter(widths, lambda p: p["w"] >= SRCSET_WIDTH))
+        dense = F.array_max(F.transform(F.filter(entries, lambda p: p["w"].isNull()),
+                                        lambda p: F.struct(p["x"].alias("x"), p["u"].alias("u"))))
+        return F.struct(F.coalesce(wide["u"], F.array_max(widths)["u"], dense["u"]).alias("url"),
+                        F.array_max(widths)["w"].alias("widest"))
+
+    return urls.let(parsed, choose)
 
 
 def image_candidates(facts: DataFrame, key: str = "page_id") -> DataFrame:

@@ -71,7 +71,7 @@ def _visible(t):
 WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract(url, '^(https?://[^/?#]+/([^?#]*/)?)', 1) AS f FROM pages),
 c AS (SELECT page_id, unnest([o || '/t/' || page_id || '.jpg', f || 's-800.jpg', f || 'b.png', o || '/a/' || page_id || '.png']) AS url,
   unnest(['twitter_image', 'body_img', 'body_img', 'body_img']) AS source, unnest(range(4))::INTEGER AS pos FROM b)
-SELECT * FROM c""")
+SELECT * FROM c WHERE source = 'twitter_image' OR NOT regexp_matches(url, '(^|[^a-z0-9])ads?([^a-z0-9]|$)')""")
 def _images(t):
     return content.image_candidates(content.page_facts(rich_pages(t)))
 

@@ -51,7 +51,7 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = with_views(sql)
+            SQL[name] = sql
         return fn
 
     return register
