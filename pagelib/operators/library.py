@@ -407,3 +407,34 @@ def forgotten_variants(pages: DataFrame, forgotten: DataFrame) -> DataFrame:
     keys = forgotten.select(urls.page_url("url").alias("fetch_url")).distinct().withColumn("covered", F.lit(True))
     return (pages.withColumn("fetch_url", urls.page_url("url")).join(keys, "fetch_url", "left")
             .withColumn("covered", F.coalesce("covered", F.lit(False))).drop("fetch_url"))
+
+
+def page_records(pages: DataFrame, shown: DataFrame, content: DataFrame, images: DataFrame,
+                 metadata: DataFrame) -> DataFrame:
+    """One row per known page for the models: title, host, tags and what is kept of it.
+
+    `content` has the latest text line per url, `images` (url, status, kept) and
+    `metadata` (url, lines); every join is one-to-one on the address.
+    """
+    tags = shown.groupBy("url").agg(F.count(F.lit(1)).alias("tags"))
+    ok = lambda df, keep, name: df.where((F.col("status") == "ok") & keep).select("url", F.lit(True).alias(name))
+    texts = ok(content, F.col("content_sha256").isNotNull(), "text_ok")
+    pictures = ok(images, F.col("kept"), "image_ok")
+    out = (pages.join(tags, "url", "left").join(texts, "url", "left").join(pictures, "url", "left")
+           .join(metadata.select("url", "lines"), "url", "left"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(
+        "url", F.col("domain").alias("host"), "title", "forgotten", F.coalesce("tags", F.lit(0)).alias("tags"),
+        (F.coalesce("tags", F.lit(0)) > 0).alias("labelled"), yes("text_ok").alias("text_ok"), yes("image_ok").alias("image_ok"),
+        F.col("lines").isNotNull().alias("has_metadata"), F.concat_ws("\n", urls.host_path("url"), "lines").alias("text"))
+
+
+def dataset_summary(records: DataFrame, shown: DataFrame) -> DataFrame:
+    n = lambda cond: F.count(F.when(cond, 1))
+    lab, txt, img = F.col("labelled"), F.col("text_ok"), F.col("image_ok")
+    trained = shown.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").agg(F.count(F.lit(1))).scalar()
+    return records.agg(
+        F.count(F.lit(1)).alias("known_pages"), n(lab).alias("labelled_pages"), n(~lab).alias("unlabelled_pages"),
+        F.sum("tags").alias("associations"), n(lab & txt).alias("labelled_text_ok"), n(lab & img).alias("labelled_image_ok"),
+        n(lab & txt & img).alias("labelled_both_ok"), n(lab & F.col("has_metadata")).alias("labelled_with_metadata")
+    ).withColumn("trained_tags", trained)

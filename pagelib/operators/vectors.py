@@ -28,9 +28,9 @@ def blocked_products(left: DataFrame, right: DataFrame, k: int | None = None, bl
 
     n_left, n_right = blocks(left), blocks(right)
     of = lambda df, n: F.pmod(F.xxhash64("id"), n).cast("int")
-    a = left.select("id", V.doubles("vector").alias("vector"), of(left, n_left).alias("i"),
+    a = left.select(F.col("id").alias("id"), V.doubles("vector").alias("vector"), of(left, n_left).alias("i"),
                     F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
-    b = right.select("id", V.doubles("vector").alias("vector"), of(right, n_right).alias("j"),
+    b = right.select(F.col("id").alias("id"), V.doubles("vector").alias("vector"), of(right, n_right).alias("j"),
                      F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"))
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
