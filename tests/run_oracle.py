@@ -32,6 +32,7 @@ for name, fn in queries.items():
             problem = None if fn(spark, folder).count() else "no rows"
     except Exception:
         problem = traceback.format_exc()[-900:]
+    spark.catalog.clearCache()
     bad += problem is not None
     print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - start:.2f}s"
           + ("" if name in sqls else " (rows only)") + (f"\n   {problem}" if problem else ""), flush=True)
