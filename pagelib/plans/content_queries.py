@@ -13,7 +13,7 @@ _ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
 
 def _decoded(sql: str) -> str:
     for a, b in _ENTITIES:
-        sql = f"replace({sql}, '{a}', '{b}')"
+        sql = f"regexp_replace({sql}, '{a}?', '{b}', 'g')"
     return sql
 
 

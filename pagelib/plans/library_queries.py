@@ -246,9 +246,9 @@ def _flow(t):
 @query("sighting_strip", """
 WITH snaps AS (SELECT snapshot_id, (row_number() OVER (ORDER BY snapshot_id) - 1) AS k,
     count(*) OVER () AS n FROM (SELECT DISTINCT snapshot_id FROM sightings)),
-cells AS (SELECT snapshot_id, k * least(12, n) // n AS cell FROM snaps)
-SELECT url, cell, count(DISTINCT snapshot_id) / (SELECT count(*) FROM cells c WHERE c.cell = x.cell) AS share
-FROM sightings JOIN cells x USING (snapshot_id) GROUP BY url, cell""")
+runs AS (SELECT snapshot_id, k * least(12, n) // n AS cell FROM snaps)
+SELECT url, cell, count(DISTINCT snapshot_id) / (SELECT count(*) FROM runs c WHERE c.cell = x.cell) AS share
+FROM sightings JOIN runs x USING (snapshot_id) GROUP BY url, cell""")
 def _strip(t):
     return lib.sighting_strip(t.sightings(), 12)
 

@@ -16,11 +16,12 @@ SQL: dict[str, str] = {}
 
 def with_views(sql: str) -> str:
     """Prefix `sql` with the adapter views it uses, in dependency order."""
+    own = set(re.findall(r"(\w+) AS \(", sql))   # names the query defines itself
     order: list[str] = []
 
     def visit(text: str) -> None:
         for name in SQL_VIEWS:
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in order and name not in own and re.search(rf"\b{name}\b", text):
                 visit_view(name)
 
     def visit_view(name: str) -> None:
@@ -34,7 +35,7 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not order:
         return sql
-    views = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in order)
+    views = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'search_docs' else ''}({SQL_VIEWS[n]})" for n in order)
     text = sql.strip()
     if text[:5].upper() == "WITH ":
         return f"WITH {views},\n{text[5:]}"

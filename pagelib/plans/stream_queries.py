@@ -135,7 +135,7 @@ def _worklist(t):
                           t.suggested().where("url = ''"))
     p = F.col("page_id")
     meta = t.site_pages().select("url", F.lit("ok").alias("status"), F.when(p % 3 == 0, F.concat(F.lit("Fetched "), p.cast("string")))
-                                 .otherwise(F.upper("title")).alias("title"), F.lit(None).cast("string").alias("description"))
+                                 .otherwise(F.col("title")).alias("title"), F.lit(None).cast("string").alias("description"))
     exports.write_worklist(exports.worklist(due, meta), path)
     return t.spark.read.schema("url string, title string, page_title string").json(path)
 

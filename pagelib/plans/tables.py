@@ -58,6 +58,20 @@ URL_VARIANTS = [
     "'chrome://newtab/' || page_id",
 ]
 
+# Tables with long texts, by their key.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt over all of them.
+
+    One small file is one task however long its texts are. A table of many files is
+    read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 _BASE = r"^([^?#]*)"
 _TITLE = r"<title>(.*?)</title>"
 
@@ -71,6 +85,8 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXT_KEYS:
+            df = spread(df, TEXT_KEYS[name])
         return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
     def count_of(self, name: str) -> Column:
