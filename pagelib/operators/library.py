@@ -40,8 +40,18 @@ def listed(tabs: DataFrame) -> DataFrame:
     return tabs.withColumn("domain", urls.domain_of("url")).where(F.col("domain").isNotNull())
 
 
+def listed_groups(groups: DataFrame, count: str) -> DataFrame:
+    """`listed` for rows aggregated by address.
+
+    The rule reads only the address, so it runs once per address. Naming a count
+    keeps the optimizer from moving it below the aggregation, to every sighting.
+    """
+    domain = F.when(F.col(count) > 0, urls.domain_of("url"))
+    return groups.withColumn("domain", domain).where(F.col("domain").isNotNull())
+
+
 def known_urls(tabs: DataFrame) -> DataFrame:
-    return listed(tabs).select("url").distinct()
+    return listed_groups(tabs.groupBy("url").agg(F.count(F.lit(1)).alias("n")), "n").select("url")
 
 
 def history_candidates(tabs: DataFrame, forgotten: DataFrame) -> DataFrame:
@@ -64,7 +74,7 @@ def library_pages(tabs: DataFrame, forgotten: DataFrame | None = None, shape: st
     The fold is one aggregation by address. Distinct snapshots are counted per
     (address, snapshot) first, so one address in every tab still spreads out.
     """
-    placed = listed(renumber_positions(tabs))
+    placed = renumber_positions(tabs)
     newest = newest_snapshot(tabs)
     if forgotten is not None:
         gone = forgotten.select("url").distinct()
@@ -81,7 +91,6 @@ def library_pages(tabs: DataFrame, forgotten: DataFrame | None = None, shape: st
     grouped = F.col("group").isNotNull()
     pages = placed.groupBy("url").agg(
         F.coalesce(F.max_by(F.when(titled, F.col("title")), F.when(titled, at)), F.lit("")).alias("title"),
-        F.first("domain").alias("domain"),
         F.max("forgotten").alias("forgotten"),
         F.min("captured_at").alias("first_seen"),
         F.max("captured_at").alias("last_seen"),
@@ -91,7 +100,7 @@ def library_pages(tabs: DataFrame, forgotten: DataFrame | None = None, shape: st
         F.max_by(F.struct("snapshot_id", "window", "position"), at).alias("last"),
         F.min_by("snapshot_id", at).alias("first_snapshot"),
         F.max_by(F.when(grouped, F.struct("snapshot_id", "group")), F.when(grouped, early)).alias("sat"))
-    return pages.select(
+    return listed_groups(pages, "sightings").select(
         "url", "title", "domain", "forgotten", "first_seen", "last_seen", "times_seen", "sightings", "open",
         F.col("last.snapshot_id").alias("last_snapshot"), "first_snapshot",
         F.col("last.window").alias("last_window"), F.col("last.position").alias("last_position"),
@@ -114,10 +123,17 @@ def sort_pages(pages: DataFrame, by: str) -> DataFrame:
     return pages.orderBy(*sort_keys(by))
 
 
+def place_pages(pages: DataFrame, by: str) -> DataFrame:
+    """Every page with its place in one of the orders, numbered without one sorting task."""
+    day = lambda c: Coarse(F.date_trunc("day", c), descending=True)
+    coarse = {"last": day("last_seen"), "first": day("first_seen"), "count": Coarse(F.col("times_seen"), descending=True),
+              "title": Coarse(F.substring(F.lower(text.sort_name("title", "url")), 1, 2)), "url": Coarse(F.substring("url", 1, 16))}
+    return ordered.row_number(pages, [], sort_keys(by), [coarse[by]], "place")
+
+
 def library_stats(tabs: DataFrame, forgotten: DataFrame) -> DataFrame:
     """Counts of an export: forgotten pages are counted, but not among the pages."""
-    seen = listed(tabs).select("url", "domain", "snapshot_id").groupBy("url", "domain").agg(
-        F.count(F.lit(1)).alias("n"))
+    seen = listed_groups(tabs.groupBy("url").agg(F.count(F.lit(1)).alias("n")), "n")
     marked = seen.join(forgotten.select("url").distinct().withColumn("gone", F.lit(1)), "url", "left")
     kept = F.col("gone").isNull()
     snapshots = tabs.select("snapshot_id").distinct().agg(F.count(F.lit(1))).scalar()
@@ -250,7 +266,8 @@ def first_last_seen(tabs: DataFrame) -> DataFrame:
     """Earliest and latest sighting; an added page counts at its own added time."""
     at = F.when(F.col("snapshot_id") == INTAKE, F.coalesce("added_at", "captured_at")).otherwise(
         F.col("captured_at"))
-    return listed(tabs).groupBy("url").agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+    seen = tabs.groupBy("url").agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("n"))
+    return listed_groups(seen, "n").select("url", "first_seen", "last_seen")
 
 
 def snapshot_flow(pages: DataFrame) -> DataFrame:
@@ -271,11 +288,11 @@ def sighting_strip(tabs: DataFrame, cells: int) -> DataFrame:
     total = tabs.select("snapshot_id").distinct().agg(F.count(F.lit(1))).scalar()
     width = F.least(F.lit(cells).cast("long"), total)
     snaps = snaps.withColumn("cell", F.floor((F.col("k") - 1) * width / total))
-    held = listed(tabs).select("url", "snapshot_id").distinct()
+    held = tabs.select("url", "snapshot_id").distinct()
     hits = held.join(snaps.select("snapshot_id", "cell"), "snapshot_id").groupBy("url", "cell").agg(
         F.count(F.lit(1)).alias("held"))
     capacity = snaps.groupBy("cell").agg(F.count(F.lit(1)).alias("of"))
-    return hits.join(capacity, "cell").select("url", "cell", (F.col("held") / F.col("of")).alias("share"))
+    return listed_groups(hits, "held").join(capacity, "cell").select("url", "cell", (F.col("held") / F.col("of")).alias("share"))
 
 
 def month_bands(pages: DataFrame, sort: str = "last") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelib.functions import ordered, urls
 from pagelib.functions.ordered import Coarse
-from pagelib.operators.library import forgotten_variants, listed, snapshot_order
+from pagelib.operators.library import forgotten_variants, listed_groups, snapshot_order
 
 SIGNED_IN_LIMIT = 25
 MIN_SIDE = 200
@@ -74,8 +74,8 @@ def newest_sightings(tabs: DataFrame) -> DataFrame:
     base, ordinal = snapshot_order()
     at = F.struct(F.col("captured_at"), base.alias("base"), ordinal.alias("ordinal"),
                   (-F.col("window")).alias("window"), (-F.col("position")).alias("position"))
-    newest = listed(tabs).groupBy("url").agg(F.max(at).alias("s"))
-    return newest.select("url", F.struct("s.captured_at", "s.base", "s.ordinal", (-F.col("s.window")).alias("window"),
+    newest = tabs.groupBy("url").agg(F.max(at).alias("s"), F.count(F.lit(1)).alias("n"))
+    return listed_groups(newest, "n").select("url", F.struct("s.captured_at", "s.base", "s.ordinal", (-F.col("s.window")).alias("window"),
                                          (-F.col("s.position")).alias("position")).alias("seen"))
 
 

@@ -101,13 +101,12 @@ def _classify(t):
 
 
 @query("plain_chars", """
-SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g')))::BIGINT AS chars FROM documents
-WHERE NOT regexp_matches(text, '[-#>+*_`~|!\\[\\]\\\\]')""")
+SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '[-#>+*_`~|!\\[\\]\\\\]', '', 'g'), '\\s+', ' ', 'g')))::BIGINT AS chars FROM documents""")
 def _plain(t):
     from pagelib.functions import text
-    d = t.raw("documents").where(~F.col("text").rlike(r"[-#>+*_`~|!\[\]\\]"))
-    marked = F.concat(F.lit("## **"), "text", F.lit("**"))
-    return d.select("doc_id", text.plain_chars(marked).alias("chars"))
+    bare = F.regexp_replace("text", r"[-#>+*_`~|!\[\]\\]", "")
+    marked = F.concat(F.lit("## **"), bare, F.lit("** [](http://a.example/x_(y))"))
+    return t.raw("documents").select("doc_id", text.plain_chars(marked).alias("chars"))
 
 
 _CAPTURE = """SELECT url, CASE page_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'thin' ELSE 'ok' END AS status,

@@ -9,6 +9,7 @@ from pagelib.functions.ordered import Coarse
 from pagelib.operators import library as lib
 from pagelib.plans.registry import query
 from pagelib.plans.tables import SQL_VIEWS, Tables
+from pagelib.session import materialise
 
 micros = lambda c: F.unix_micros(c)
 
@@ -279,9 +280,10 @@ _SORTS = {
 
 
 def _sort(by: str, order: str):
-    @query(f"sort_pages_{by}", f"SELECT url, title FROM kept_pages ORDER BY {order} LIMIT 100")
+    @query(f"sort_pages_{by}", f"SELECT url, row_number() OVER (ORDER BY {order}) AS place FROM kept_pages")
     def run(t):
-        return lib.sort_pages(pages_of(t), by).select("url", "title").limit(100)
+        # Numbering reads its input twice: the fold is written once.
+        return lib.place_pages(materialise(pages_of(t), "pages"), by).select("url", "place")
 
 
 for _by, _order in _SORTS.items():

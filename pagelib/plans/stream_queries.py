@@ -127,7 +127,7 @@ def _export(t):
 
 
 @query("write_worklist", """
-SELECT p.url, p.title, CASE WHEN page_id % 3 = 0 THEN 'Fetched ' || page_id END AS page_title FROM kept_pages p JOIN pages USING (url)
+SELECT p.url, trim(regexp_replace(p.title, '\\s+', ' ', 'g')) AS title, CASE WHEN page_id % 3 = 0 THEN 'Fetched ' || page_id END AS page_title FROM kept_pages p JOIN pages USING (url)
 WHERE p.url NOT IN (SELECT url FROM shown WHERE tag = 'Toxic')""")
 def _worklist(t):
     path = scratch(t.spark, "worklist")

@@ -58,14 +58,14 @@ URL_VARIANTS = [
     "'chrome://newtab/' || page_id",
 ]
 
-# Tables with long texts, by their key.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+# Tables with work per row, by their key.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A table of fewer files than the cluster has cores, dealt over all of them.
 
-    One small file is one task however long its texts are. A table of many files is
+    One small file is one task however much work its rows are. A table of many files is
     read as it lies, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
