@@ -90,8 +90,12 @@ FROM local_sightings GROUP BY 1, 2"""
 SQL_VIEWS["local_groups"] = """
 SELECT snapshot_id, coalesce("group", 'loose') || CASE WHEN "window" = 1 THEN '' ELSE '' END AS id,
   min("window") AS "window" FROM local_sightings GROUP BY 1, 2"""
+# A snapshot without tabs on this machine stays exactly as it was.
+SQL_VIEWS["touched_snapshots"] = "SELECT DISTINCT snapshot_id FROM local_sightings WHERE url LIKE 'http://localhost%'"
 SQL_VIEWS["clean_windows"] = """
-SELECT w.*, row_number() OVER (PARTITION BY snapshot_id ORDER BY number) AS new_number FROM local_windows w
+SELECT w.*, snapshot_id IN (SELECT snapshot_id FROM touched_snapshots) AS touched, CASE WHEN snapshot_id IN
+  (SELECT snapshot_id FROM touched_snapshots) THEN row_number() OVER (PARTITION BY snapshot_id ORDER BY number) ELSE number END AS new_number
+FROM local_windows w
 WHERE EXISTS (SELECT 1 FROM local_sightings s WHERE s.snapshot_id = w.snapshot_id AND s."window" = w.number
   AND s.url NOT LIKE 'http://localhost%')"""
 
@@ -106,7 +110,7 @@ def _parts(t):
 
 
 @query("exclude_this_machine", """
-SELECT snapshot_id, tab_id, new_number AS "window", CASE WHEN position < 0 THEN position ELSE
+SELECT snapshot_id, tab_id, new_number AS "window", CASE WHEN position < 0 OR NOT touched THEN position ELSE
   row_number() OVER (PARTITION BY snapshot_id, new_number, position < 0 ORDER BY position, tab_id) - 1 END AS position
 FROM local_sightings JOIN clean_windows w USING (snapshot_id)
 WHERE w.number = "window" AND url NOT LIKE 'http://localhost%'""")
@@ -125,7 +129,8 @@ def _exclude_windows(t):
 @query("exclude_this_machine_stats", """
 SELECT s.snapshot_id, (SELECT count(*) FROM clean_windows c WHERE c.snapshot_id = s.snapshot_id) AS windows,
   count(*) FILTER (url NOT LIKE 'http://localhost%') AS tabs,
-  count(DISTINCT "group") FILTER (url NOT LIKE 'http://localhost%') AS groups,
+  CASE WHEN s.snapshot_id IN (SELECT snapshot_id FROM touched_snapshots) THEN count(DISTINCT "group") FILTER (url NOT LIKE 'http://localhost%')
+    ELSE count(DISTINCT coalesce("group", 'loose')) END AS groups,
   count(*) FILTER (url LIKE 'http://localhost%') AS excluded_tabs
 FROM local_sightings s GROUP BY s.snapshot_id""")
 def _exclude_stats(t):
