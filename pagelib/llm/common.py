@@ -75,3 +75,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
     return (links.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(links.select(F.col("b"), F.col("b")).distinct()))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows whose labels are never learned from: crc32 of the id as text, mod 5, is 0. A null id is held out too."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(doc_id, text, label) of about `bound` labelled rows at most, none held out, chosen by a hash of the id.
+
+    Every labelled row has the same chance at every size. The chosen ids, bounded by `bound`, are broadcast, so the
+    texts are not shuffled. Where an id has several labels the largest counts.
+    """
+    known = (labels.where(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id")
+             .agg(F.max(label).cast("int").alias("label")))
+    n = known.count()
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
+    chosen = known.where(lot < F.lit(int((1 << 20) * min(1.0, bound / max(n, 1)))))
+    return docs.select("doc_id", "text").where("text is not null").join(small(chosen, 2 * bound), "doc_id")
