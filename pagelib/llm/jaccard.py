@@ -33,7 +33,8 @@ SKETCH_BITS = 18         # cells of the shingle counts that order the sets; more
 TILE = 256               # sets of one trie
 PROBES = 256             # probes of one trie's task
 SMALL_ROWS = 2_000_000   # (doc_id, class) rows that may be broadcast; more are joined by shuffle
-SETS = "doc_id long, n long, class long, sketch binary"
+NO_ID = (1 << 63) - 1
+SETS = "doc_id long, text_hash long, n long, class long, sketch binary"
 PREFIXES = "token long, class long, n int, pos int"
 SHARED = "token long, class long, n int, pos int, centre long, fits boolean"
 
@@ -44,9 +45,10 @@ def required(n, m):
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, class) of each text, and one row with the task's shingle counts."""
+    """(doc_id, text_hash, n, class) of each text, and one row with the task's shingle counts."""
     shingler, sketch = Shingler(), np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()),
+                        ("sketch", pa.binary())])
     some = False
     for batch in batches:
         sizes, classes = [], []
@@ -56,11 +58,11 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             sizes.append(len(s))
             classes.append(set_class(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-                                          pa.nulls(len(sizes), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()),
+                                          pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.binary())], schema=schema)
     if some:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                                          pa.array([sketch.tobytes()], pa.binary())], schema=schema)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([sketch.tobytes()], pa.binary())], schema=schema)
 
 
 def add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,8 +239,38 @@ def shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
+    rows, by_class = classes_of(docs)
+    return (rows.join(by_class, "class", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each component: the smallest doc_id's, at equal ids the text of the smallest hash.
+
+    A null doc_id counts as the largest. Equal rows (doc_id and text) leave one. Rows without shingles all stay.
+    """
+    rows, by_class = classes_of(docs.select("doc_id", "text"))
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = rows.where("class is not null").select("class", own_id.alias("__id"), F.col("text_hash").alias("__hash"))
+    rows = materialise(rows.join(by_class, "class").groupBy("component", "__id", "__hash").agg(F.count("*").alias("copies")),
+                       "jaccard-rows")
+    best = rows.groupBy("component").agg(F.min(F.struct("__id", "__hash")).alias("best"))
+    rows = rows.join(best, "component")
+    stays = F.struct("__id", "__hash") == F.col("best")
+    keyed = docs.withColumns({"__id": own_id, "__hash": F.xxhash64("text")})
+    left = keyed.join(small(rows.where(~stays).select("__id", "__hash"), SMALL_ROWS), ["__id", "__hash"], "left_anti")
+    several = small(rows.where(stays & (F.col("copies") > 1)).select("__id", "__hash"), SMALL_ROWS)
+    single = left.join(several, ["__id", "__hash"], "left_anti").select(*docs.columns)
+    picked = (left.join(several, ["__id", "__hash"], "left_semi").groupBy("__id", "__hash")
+              .agg(F.first(F.struct(*docs.columns)).alias("x")).select("x.*"))
+    return single.union(picked)
+
+
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, class) for each row of `docs`, and (class, component, component_id) for each class."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     described = materialise(texts.mapInArrow(describe, SETS), "jaccard-sets")
     counts = spark.sparkContext.broadcast(corpus_counts(described.where("sketch is not null").select("sketch")))
     rows = described.where("sketch is null").drop("sketch")
@@ -289,10 +321,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     by_class = classes.join(joined, F.col("class") == F.col("node"), "left").select(
         "class", "first", F.coalesce("component", "class").alias("component"))
     lowest = by_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = by_class.join(lowest, "component").select("class", "component_id")
-    return (rows.join(by_class, "class", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    by_class = by_class.join(lowest, "component").select("class", "component", "component_id")
+    return rows, by_class
 
 
 def tile_of(name: str, total: str):
