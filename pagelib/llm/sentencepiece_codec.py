@@ -1,12 +1,13 @@
 """SentencePiece (BPE) encoding and decoding with a prefix table of last tokens.
 
-White space becomes "▁" and one is put in front. No piece holds "▁" after another character (checked when the model is
-read), so a text falls into chunks "▁…▁word" that are encoded apart. In a chunk, each prefix has exactly one encoding,
+White space becomes "▁" and one is put in front. No piece holds "▁" after another character, or letters beside other
+characters (checked when the model is read), so a text falls into parts like "▁word" that are encoded apart. In a part,
+each prefix has exactly one encoding,
 and so one last token: an automaton names the pieces that end at a place, and the one whose piece before it, looked up
 in the table, forms a pair that merging would leave as it is, is the last token there. The ids are read off backwards.
 Characters that no piece covers become byte tokens.
 
-Texts are encoded whole; a chunk of any length takes time in proportion to it. Null and empty texts have no ids and
+Texts are encoded whole; a part of any length takes time in proportion to it. Null and empty texts have no ids and
 decode to the empty text. Rows that repeat encode alike; other columns are kept as they are.
 """
 
@@ -28,6 +29,9 @@ from pagelib.llm.common import query, table
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+LETTERS = "A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff"      # Latin, Greek, Cyrillic
+PART = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}]+|{SPACE}+")
+LETTER = re.compile(f"[{LETTERS}]")
 CACHE_CHUNKS = 500_000
 
 
@@ -53,6 +57,9 @@ class Codec:
             if p.type == 1:
                 if SPACE in p.piece.lstrip(SPACE):
                     raise ValueError(f"piece {i} holds a space mark inside")
+                kinds = [LETTER.match(c) is not None for c in p.piece.lstrip(SPACE)]
+                if any(a != b for a, b in zip(kinds, kinds[1:])):
+                    raise ValueError(f"piece {i} holds letters beside other characters")
                 self.score[p.piece], self.id[p.piece] = p.score, i
             elif p.type == 6:
                 self.byte[int(p.piece[1:-1], 16)] = i
@@ -64,9 +71,8 @@ class Codec:
                 self.pieces.add_word(piece, piece)
         self.pieces.make_automaton()
         self.stays = lru_cache(maxsize=1 << 20)(lambda a, b: self.merged(a + b) == (a, b))
-        self.lines = any("\n" in piece for piece in self.score)
         self.cache: dict[str, tuple[int, ...]] = {}     # by chunk, or by word where one space mark stands before it
-        self.parts: dict[str, tuple[int, ...]] = {}     # by line inside a chunk
+        self.parts: dict[str, tuple[int, ...]] = {}     # by part of a chunk
 
     def merged(self, text: str) -> tuple[str, ...]:
         """The merging rule itself, for two pieces or one: join the best pair, the first of equals, until none is left."""
@@ -81,26 +87,27 @@ class Codec:
                 return tuple(parts)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def last_tokens(self, chunk: str) -> list[str]:
-        """For each prefix of the chunk, the last piece of its encoding; a character without a piece stands for itself."""
-        ending: list[list[str]] = [[] for _ in chunk]
-        for end, piece in self.pieces.iter(chunk):
-            ending[end].append(piece)
+    def last_tokens(self, part: str) -> list[str]:
+        """For each prefix of the part, the last piece of its encoding; a character without a piece stands for itself."""
         table: list[str] = []
-        for end, pieces in enumerate(ending):
-            for piece in pieces:
-                start = end - len(piece)
-                if start < 0 or self.stays(table[start], piece):
-                    table.append(piece)
-                    break
-            else:
-                table.append(chunk[end])
+        stays = self.stays
+        for end, piece in self.pieces.iter(part):
+            n = len(table)
+            if n > end:
+                continue                       # this prefix has its piece
+            while n < end:                     # no piece ends here
+                table.append(part[n])
+                n += 1
+            start = end - len(piece)
+            if start < 0 or stays(table[start], piece):
+                table.append(piece)
+        table.extend(part[len(table):])
         return table
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        table = self.last_tokens(chunk)
+    def encode_part(self, part: str) -> tuple[int, ...]:
+        table = self.last_tokens(part)
         ids: list[int] = []
-        end = len(chunk)
+        end = len(part)
         while end:
             piece = table[end - 1]
             known = self.id.get(piece)
@@ -122,24 +129,19 @@ class Codec:
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
         for c in set(chunks).difference(cache):
-            cache[c] = self.encode_lines(c if c[0] == SPACE else SPACE + c)
+            cache[c] = self.encode_parts(c if c[0] == SPACE else SPACE + c)
         return list(chain.from_iterable(map(cache.__getitem__, chunks)))
 
-    def encode_lines(self, chunk: str) -> tuple[int, ...]:
-        """A chunk of several lines, line by line: no piece holds a line end."""
-        if "\n" not in chunk or self.lines:
-            return self.encode_chunk(chunk)
-        first, *others = chunk.split("\n")
-        ids = list(self.encode_chunk(first))
-        for line in others:
-            ids.append(self.byte[10])
-            if line:
-                known = self.parts.get(line)
-                if known is None:
-                    if len(self.parts) > CACHE_CHUNKS:
-                        self.parts.clear()
-                    known = self.parts[line] = self.encode_chunk(line)
-                ids += known
+    def encode_parts(self, chunk: str) -> tuple[int, ...]:
+        """A chunk part by part: letters, and what stands between them; no piece reaches over such a border."""
+        ids: list[int] = []
+        for part in PART.findall(chunk):
+            known = self.parts.get(part)
+            if known is None:
+                if len(self.parts) > CACHE_CHUNKS:
+                    self.parts.clear()
+                known = self.parts[part] = self.encode_part(part)
+            ids += known
         return tuple(ids)
 
     def decode(self, ids: list[int]) -> str:
