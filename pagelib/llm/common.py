@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from pagelib.plans.registry import configure
 from pagelib.session import materialise
@@ -94,3 +98,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
     chosen = known.where(lot < F.lit(int((1 << 20) * min(1.0, bound / max(n, 1)))))
     return docs.select("doc_id", "text").where("text is not null").join(small(chosen, 2 * bound), "doc_id")
+
+
+@pandas_udf(LongType())
+def passage_signature(texts: pd.Series) -> pd.Series:
+    """Smallest hash of a text's five-word runs: near copies share it, other texts do not.
+
+    Learning from one text of each signature keeps a group of copies from speaking for itself.
+    """
+    def low(text: str) -> int:
+        w = text.lower().split()
+        return min((crc32(" ".join(w[i:i + 5]).encode()) * 0x9E3779B1 & 0xFFFFFFFF for i in range(max(1, len(w) - 4))))
+
+    return texts.map(low).astype("int64")
+
+
+def distinct_passages(sample: DataFrame) -> DataFrame:
+    """(text, label) of one row of each passage signature; the largest label stands."""
+    return (sample.withColumn("copies", passage_signature("text")).groupBy("copies")
+            .agg(F.max(F.struct("label", "text")).alias("x")).select("x.text", "x.label"))

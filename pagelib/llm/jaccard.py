@@ -26,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagelib.llm.common import components, query, small, table
-from pagelib.llm.shingles import Shingler, set_class
+from pagelib.llm.shingles import Shingler, set_class, texts_of
 from pagelib.session import materialise
 
 SKETCH_BITS = 18         # cells of the shingle counts that order the sets; more cells order more finely
 TILE = 256               # sets of one trie
-PROBES = 256             # probes of one trie's task
+PROBES = 1024            # probes that share one copy of a trie
 SMALL_ROWS = 2_000_000   # (doc_id, class) rows that may be broadcast; more are joined by shuffle
 NO_ID = (1 << 63) - 1
 SETS = "doc_id long, text_hash long, n long, class long, sketch binary"
 PREFIXES = "token long, class long, n int, pos int"
-SHARED = "token long, class long, n int, pos int, centre long, fits boolean"
+SHARED = "token long, class long, n int, pos int, centre long, centre_n int, fits boolean"
 
 
 def required(n, m):
@@ -52,7 +52,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = False
     for batch in batches:
         sizes, classes = [], []
-        for text in batch.column("text").to_pylist():
+        for text in texts_of(batch.column("text")):
             s = shingler.of(text)
             some = some or len(s) > 0
             np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -91,7 +91,7 @@ def prefix_rows(counts):
         shingler, seen, order = Shingler(), set(), counts.value
         for batch in batches:
             tokens, classes, sizes, places = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 s = shingler.of(text)
                 if not len(s) or (c := set_class(s)) in seen:
                     continue
@@ -141,8 +141,8 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = start[at]
             best = np.minimum(n[at] - pos[at], n[c] - pos[c])
             fits = (cls[at] != cls[c]) & (best >= required(n[at].astype(np.int64), n[c].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[at], cls[at], n[at], pos[at], cls[c], fits)],
-                                             names=["token", "class", "n", "pos", "centre", "fits"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[at], cls[at], n[at], pos[at], cls[c], n[c], fits)],
+                                             names=["token", "class", "n", "pos", "centre", "centre_n", "fits"])
 
 
 class Node:
@@ -204,30 +204,48 @@ def search_trie(root: Node, probe: np.ndarray, first_only: bool) -> list[int]:
 
 
 def trie_links(first_only: bool):
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        root, out = Node(np.empty(0, dtype=np.uint64), 0), []
-        root.least = 1 << 60
-        for c, s in frame.loc[~frame["probe"], ["class", "shingles"]].itertuples(index=False):
-            add_to_trie(root, np.frombuffer(s, dtype=np.uint64), c)
-        for c, s in frame.loc[frame["probe"], ["class", "shingles"]].itertuples(index=False):
-            out += [(c, x) for x in search_trie(root, np.frombuffer(s, dtype=np.uint64), first_only)]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    """Links (a, b) of probes and the sets of their key; rows come sorted by (k1, k2, k3, probe), a key's sets first.
+
+    One key's trie is in memory; probes stream past it.
+    """
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, root = None, None
+        for batch in batches:
+            a, b = [], []
+            for *now, probe, c, s in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if now != key:
+                    key, root = now, Node(np.empty(0, dtype=np.uint64), 1 << 60)
+                    root.most = 0
+                shingles = np.frombuffer(s, dtype=np.uint64)
+                if not probe:
+                    add_to_trie(root, shingles, c)
+                else:
+                    found = search_trie(root, shingles, first_only)
+                    a += [c] * len(found)
+                    b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return link
 
 
-def compare(targets: DataFrame, probes: DataFrame, sets: DataFrame, first_only: bool) -> DataFrame:
+def compare(targets: DataFrame, probes: DataFrame, texts: DataFrame, classes: DataFrame, first_only: bool) -> DataFrame:
     """Links (a, b) of probes and targets that share a key (k1, k2, k3)."""
-    rows = (targets.select("k1", "k2", "k3", "class", F.lit(False).alias("probe"))
-            .union(probes.select("k1", "k2", "k3", "class", F.lit(True).alias("probe"))).join(sets, "class"))
-    return rows.groupBy("k1", "k2", "k3").applyInPandas(trie_links(first_only), "a long, b long")
+    key = ["k1", "k2", "k3"]
+    rows = materialise(targets.select(*key, F.lit(False).alias("probe"), "class")
+                       .union(probes.select(*key, F.lit(True).alias("probe"), "class")), "jaccard-rows")
+    # The sets, from one text of each class that takes part.
+    wanted = materialise(rows.select("class").distinct().join(classes, "class"), "jaccard-wanted")
+    sets = (texts.join(small(wanted, SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("first"))).select("class", "text")
+            .mapInArrow(shingle_bytes, "class long, shingles binary"))
+    return materialise(rows.join(sets, "class").select(*key, "probe", "class", "shingles").repartition(*key)
+                       .sortWithinPartitions(*key, "probe").mapInArrow(trie_links(first_only), "a long, b long"), "jaccard-links")
 
 
 def shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler, seen = Shingler(), set()
     for batch in batches:
         names, sets = [], []
-        for c, text in zip(batch.column("class").to_pylist(), batch.column("text").to_pylist()):
+        for c, text in zip(batch.column("class").to_pylist(), texts_of(batch.column("text"))):
             s = shingler.of(text)
             # Rows may repeat, and another row may hold the same doc_id with another text.
             if len(s) and c not in seen and set_class(s) == c:
@@ -280,42 +298,45 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialise(prefixes.repartition("token").sortWithinPartitions("token", "class")
                          .mapInArrow(shared_rows, SHARED), "jaccard-shared")
 
-    # The sets of the classes that share a prefix shingle, from one text of each.
-    wanted = materialise(shared.select("class").distinct().join(classes, "class"), "jaccard-wanted")
-    sets = materialise(texts.join(small(wanted, SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("first")))
-                       .select("class", "text").mapInArrow(shingle_bytes, "class long, shingles binary"), "jaccard-shingles")
-
-    # Round 1: each class against the centre it meets most often.
-    stars = materialise(shared.where("fits").groupBy("class", "centre").agg(F.count("*").alias("met"))
-                        .groupBy("class").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre")), "jaccard-stars")
+    # Round 1: each class against the centre it meets most often, if what they share can suffice.
+    stars = (shared.where("class <> centre").groupBy("class", "n", "centre", "centre_n")
+             .agg(F.count("*").alias("met"), F.max("fits").alias("fits"))
+             .where(F.col("fits") & (F.col("met") >= least_met(F.col("n"), F.col("centre_n"))))
+             .groupBy("class").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre")))
+    stars = materialise(stars, "jaccard-stars")
     fans = stars.groupBy("centre").agg(F.count("*").alias("fans"))
-    tiles = stars.join(fans, "centre").withColumn("k2", tile_of("class", "fans"))
-    targets = tiles.select(F.col("centre").alias("k1"), "k2", F.lit(0).cast("long").alias("k3"), "class")
+    targets = stars.join(fans, "centre").select(F.col("centre").alias("k1"), tile_of("class", "fans").alias("k2"),
+                                                F.lit(0).cast("long").alias("k3"), "class")
     probes = targets.select("k1", "k2", "k3", F.col("k1").alias("class")).distinct()
-    links = materialise(compare(targets, probes, sets, first_only=False), "jaccard-links")
+    links = compare(targets, probes, texts, classes, first_only=False)
 
     # Round 2: each class against the other components it meets; the smaller component asks.
     found = components(links, "jaccard-first")
-    member = (shared.select("class").distinct().join(found, F.col("class") == F.col("node"), "left")
-              .select("class", F.coalesce("component", "class").alias("component")))
-    size = member.groupBy("component").agg(F.count("*").alias("members"))
+    member = (shared.select("class", "n").distinct().join(found, F.col("class") == F.col("node"), "left")
+              .select("class", "n", F.coalesce("component", "class").alias("component")))
+    size = member.groupBy("component").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     member = materialise(member.join(size, "component"), "jaccard-members")
-    met = shared.select("token", "class", "n", "pos").join(member, "class")
-    groups = met.groupBy("token", "component", "members").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    groups = groups.withColumn("others", F.count("*").over(Window.partitionBy("token"))).where("others > 1").drop("others")
-    g = groups.select("token", F.col("component").alias("k1"), F.col("members").alias("k1_members"), "least", "rest")
-    asks = (met.join(g, "token")
-            .where(F.struct("members", "component") < F.struct("k1_members", "k1"))
-            .where(F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.ceil(4 * (F.col("n") + F.col("least")) / 9))
-            .select("class", "k1", "k1_members").distinct())
+    met = shared.select("token", "class", "pos").join(member, "class")
+    groups = (met.groupBy("token", "component", "members", "low", "high")
+              .agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+              .withColumn("others", F.count("*").over(Window.partitionBy("token"))).where("others > 1")
+              .select("token", F.col("component").alias("k1"), F.col("members").alias("k1_members"), "least", "rest",
+                      F.col("low").alias("k1_low"), F.col("high").alias("k1_high")))
+    fits = F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.ceil(4 * (F.col("n") + F.col("least")) / 9)
+    low = F.least("k1_high", F.greatest("k1_low", F.ceil(F.col("n") * 4 / 5)))
+    high = F.greatest("k1_low", F.least("k1_high", F.floor(F.col("n") * 5 / 4)))
+    asks = (met.join(groups, "token").where(F.struct("members", "component") < F.struct("k1_members", "k1"))
+            .withColumn("fits", fits).groupBy("class", "n", "k1", "k1_members", "k1_low", "k1_high")
+            .agg(F.count("*").alias("met"), F.max("fits").alias("fits"))
+            .where(F.col("fits") & (F.col("met") >= F.least(least_met(F.col("n"), low), least_met(F.col("n"), high))))
+            .select("class", "k1", "k1_members"))
     asks = materialise(asks, "jaccard-asks")
     chunks = asks.groupBy("k1").agg(F.count("*").alias("asking"))
     asks = asks.join(chunks, "k1").withColumn("k3", F.pmod(F.xxhash64("class"), F.ceil(F.col("asking") / PROBES)))
     probes = asks.withColumn("k2", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k1_members") - 1) / TILE))))
-    targets = (member.join(chunks, F.col("component") == F.col("k1"))
-               .withColumn("k2", tile_of("class", "members"))
+    targets = (member.join(chunks, F.col("component") == F.col("k1")).withColumn("k2", tile_of("class", "members"))
                .withColumn("k3", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("asking") - 1) / PROBES)))))
-    more = materialise(compare(targets, probes, sets, first_only=True), "jaccard-more")
+    more = compare(targets, probes, texts, classes, first_only=True)
 
     joined = components(links.union(more), "jaccard-second")
     by_class = classes.join(joined, F.col("class") == F.col("node"), "left").select(
@@ -325,6 +346,11 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, by_class
 
 
+def least_met(n, m):
+    """Prefix shingles that sets of n and m must share: beyond their prefixes at most ceil(0.8 of the larger) - 1 can be."""
+    return F.ceil(4 * (n + m) / 9) - F.ceil(F.greatest(n, m) * 4 / 5) + 1
+
+
 def tile_of(name: str, total: str):
     """One of ceil(total / TILE) tiles, by hash."""
     return F.pmod(F.xxhash64(name), F.ceil(F.col(total) / TILE))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from pagelib.llm.common import words_of
-
 WIDTH = 5
 CACHE_WORDS = 500_000
 # Odd multipliers, one for each place in a shingle; short texts use the same ones after a start of their own.
@@ -14,26 +13,34 @@ PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
                   dtype=np.uint64)
 
 
+def texts_of(column) -> list[bytes | None]:
+    """An Arrow column of strings as UTF-8 bytes."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+class WordHashes(dict):
+    """Hash of each word, kept once computed."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Keeps the word hashes it has seen; one for each task."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes: of every five words in a row, or of all words if there are fewer."""
-        words = words_of(text)
+        self.known = WordHashes()
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Sorted distinct hashes of a UTF-8 text: of every five words in a row, or of all words if there are fewer."""
+        # bytes.split() cuts at exactly the white space of the word rule, and bytes.lower() changes A-Z only.
+        words = text.lower().split() if text else []
         if not words:
             return np.empty(0, dtype=np.uint64)
-        h = self.word_hashes(words)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
         n = len(h) - WIDTH + 1
         if n < 1:
             mixed = (h * PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h))

@@ -16,15 +16,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
-from pagelib.llm.common import held_out, labelled_sample, query, table
+from pagelib.llm.common import distinct_passages, held_out, labelled_sample, query, table
 
 TRAIN_ROWS = 30_000      # bound of the labelled sample that the features are learned from
 MOST_FEATURES = 50_000   # features kept, the surest first
@@ -178,24 +176,10 @@ def feature_counts(model: np.ndarray):
     return count
 
 
-@pandas_udf(LongType())
-def passage_signature(texts: pd.Series) -> pd.Series:
-    """Smallest hash of a text's five-word runs: near copies share it, other texts do not.
-
-    Learning from one text of each signature keeps a group of copies from proving its own rare words.
-    """
-    def low(text: str) -> int:
-        w = text.lower().split()
-        return min((crc32(" ".join(w[i:i + 5]).encode()) * 0x9E3779B1 & 0xFFFFFFFF for i in range(max(1, len(w) - 4))))
-
-    return texts.map(low).astype("int64")
-
-
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, float]]:
     """The character model of all `docs` and the features learned from labelled rows that are not held out."""
     model = character_model(docs)
-    sample = (labelled_sample(docs, labels, "toxic", train_rows).withColumn("copies", passage_signature("text"))
-              .groupBy("copies").agg(F.max(F.struct("label", "text")).alias("x")).select("x.text", "x.label"))
+    sample = distinct_passages(labelled_sample(docs, labels, "toxic", train_rows))
     n = F.col("toxic") + F.col("clean")
     share, z2 = F.col("toxic") / n, F.lit(Z * Z)
     low = ((share + z2 / (2 * n) - F.lit(Z) * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n))
