@@ -7,10 +7,11 @@ shuffle, and the sets themselves are compared in tries: sets in hash order share
 a probe adds up its overlap along a path once for all sets below, and leaves a subtree whose remaining lengths cannot
 reach the bound.
 
-Components take two rounds, so that no group is expanded into pairs. First each class is tried against one centre,
-the smallest class it meets most often. Then every class is tried against each *other component* it still meets, in
-tiles of that component's members, until one link is found. Every link between different components is found, and
-links inside one need not be. Exact: no sampling, no cap.
+Components take two rounds, so that no group is expanded into pairs. First each class is tried against its centre, the
+class it meets most often among the smallest ones of their shared shingles. Then every class is tried against the
+families it meets, a family being the classes of one centre: it visits the family's tries, tile by tile, and passes over
+what is already in its component. Every link between different components is found, and links inside one need not be.
+Exact: no sampling, no cap.
 
 Rows are the documents: a repeated doc_id is joined by its text alone. Null, empty or blank texts have no shingle and
 link with nothing; a null doc_id is never the smallest. Other columns are ignored. An empty table gives an empty result.
@@ -146,31 +147,36 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Node:
-    """A run of shingles that all sets below share; `least`, `most`: sizes of the sets below."""
+    """A run of shingles that all sets below share; `least`, `most`: sizes of the sets below.
 
-    __slots__ = ("run", "children", "ends", "least", "most")
+    `group` is the group of all sets below, or None if there are several.
+    """
+
+    __slots__ = ("run", "children", "ends", "least", "most", "group")
 
-    def __init__(self, run: np.ndarray, size: int):
-        self.run, self.children, self.ends, self.least, self.most = run, {}, [], size, size
+    def __init__(self, run: np.ndarray, size: int, group: int | None):
+        self.run, self.children, self.ends, self.least, self.most, self.group = run, {}, [], size, size, group
 
 
-def add_to_trie(root: Node, shingles: np.ndarray, name: int) -> None:
+def add_to_trie(root: Node, shingles: np.ndarray, name: int, group: int) -> None:
     node, rest, size = root, shingles, len(shingles)
     while True:
         node.least, node.most = min(node.least, size), max(node.most, size)
+        if node.group != group:
+            node.group = None
         if not len(rest):
             node.ends.append(name)
             return
         child = node.children.get(int(rest[0]))
         if child is None:
-            child = node.children[int(rest[0])] = Node(rest, size)
+            child = node.children[int(rest[0])] = Node(rest, size, group)
             child.ends.append(name)
             return
         both = min(len(child.run), len(rest))
         differ = np.flatnonzero(child.run[:both] != rest[:both])
         same = int(differ[0]) if len(differ) else both
         if same < len(child.run):      # the run parts here
-            upper = Node(child.run[:same], child.least)
+            upper = Node(child.run[:same], child.least, child.group)
             upper.most = child.most
             child.run = child.run[same:]
             upper.children[int(child.run[0])] = child
@@ -179,13 +185,19 @@ def add_to_trie(root: Node, shingles: np.ndarray, name: int) -> None:
         node, rest = child, rest[same:]
 
 
-def search_trie(root: Node, probe: np.ndarray, first_only: bool) -> list[int]:
-    """Names of the sets in the trie that link with `probe`, or just one of them."""
+def search_trie(root: Node, probe: np.ndarray, group: int, groups: dict[int, int]) -> list[int]:
+    """Names of the sets in the trie that link with `probe`, at most one of each group and none of the probe's own.
+
+    `groups` has the group (component) of each name.
+    """
     found: list[int] = []
+    done = {group}
     n = len(probe)
     stack = [(root, 0, 0, 0)]      # node, shingles shared above it, place in the probe, shingles above it
     while stack:
         node, shared, at, depth = stack.pop()
+        if node.group in done:
+            continue
         if len(node.run):
             where = np.searchsorted(probe[at:], node.run)
             inside = where < n - at
@@ -195,50 +207,53 @@ def search_trie(root: Node, probe: np.ndarray, first_only: bool) -> list[int]:
         if shared + min(n - at, node.most - depth) < required(n, node.least):
             continue
         if node.ends and shared >= required(n, depth):
-            found += node.ends
-            if first_only:
-                return found[:1]
+            for name in node.ends:
+                if groups[name] not in done:
+                    done.add(groups[name])
+                    found.append(name)
         for child in node.children.values():
             stack.append((child, shared, at, depth))
     return found
 
 
-def trie_links(first_only: bool):
+def trie_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of probes and the sets of their key; rows come sorted by (k1, k2, k3, probe), a key's sets first.
 
     One key's trie is in memory; probes stream past it.
     """
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, root = None, None
-        for batch in batches:
-            a, b = [], []
-            for *now, probe, c, s in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if now != key:
-                    key, root = now, Node(np.empty(0, dtype=np.uint64), 1 << 60)
-                    root.most = 0
-                shingles = np.frombuffer(s, dtype=np.uint64)
-                if not probe:
-                    add_to_trie(root, shingles, c)
-                else:
-                    found = search_trie(root, shingles, first_only)
-                    a += [c] * len(found)
-                    b += found
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return link
-
-
-def compare(targets: DataFrame, probes: DataFrame, texts: DataFrame, classes: DataFrame, first_only: bool) -> DataFrame:
-    """Links (a, b) of probes and targets that share a key (k1, k2, k3)."""
+    key, root, groups = None, None, {}
+    for batch in batches:
+        a, b = [], []
+        for *now, probe, c, group, s in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if now != key:
+                key, groups, root = now, {}, Node(np.empty(0, dtype=np.uint64), 1 << 60, None)
+                root.most = 0
+            shingles = np.frombuffer(s, dtype=np.uint64)
+            if not probe:
+                groups[c] = group
+                add_to_trie(root, shingles, c, group)
+            else:
+                found = search_trie(root, shingles, group, groups)
+                a += [c] * len(found)
+                b += found
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def compare(targets: DataFrame, probes: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of probes and targets that share a key (k1, k2, k3), one for each component a probe links with.
+
+    Without a column `component` every class is its own.
+    """
     key = ["k1", "k2", "k3"]
-    rows = materialise(targets.select(*key, F.lit(False).alias("probe"), "class")
-                       .union(probes.select(*key, F.lit(True).alias("probe"), "class")), "jaccard-rows")
+    side = lambda df, probe: df.select(
+        *key, F.lit(probe).alias("probe"), "class", F.col("component" if "component" in df.columns else "class").alias("group"))
+    rows = materialise(side(targets, False).union(side(probes, True)), "jaccard-rows")
     # The sets, from one text of each class that takes part.
     wanted = materialise(rows.select("class").distinct().join(classes, "class"), "jaccard-wanted")
     sets = (texts.join(small(wanted, SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("first"))).select("class", "text")
             .mapInArrow(shingle_bytes, "class long, shingles binary"))
-    return materialise(rows.join(sets, "class").select(*key, "probe", "class", "shingles").repartition(*key)
-                       .sortWithinPartitions(*key, "probe").mapInArrow(trie_links(first_only), "a long, b long"), "jaccard-links")
+    return materialise(rows.join(sets, "class").select(*key, "probe", "class", "group", "shingles").repartition(*key)
+                       .sortWithinPartitions(*key, "probe").mapInArrow(trie_links, "a long, b long"), "jaccard-links")
 
 
 def shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,45 +313,55 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialise(prefixes.repartition("token").sortWithinPartitions("token", "class")
                          .mapInArrow(shared_rows, SHARED), "jaccard-shared")
 
-    # Round 1: each class against the centre it meets most often, if what they share can suffice.
+    # Round 1: each class against its centre, the one it meets most often, if what they share can suffice.
     stars = (shared.where("class <> centre").groupBy("class", "n", "centre", "centre_n")
              .agg(F.count("*").alias("met"), F.max("fits").alias("fits"))
-             .where(F.col("fits") & (F.col("met") >= least_met(F.col("n"), F.col("centre_n"))))
-             .groupBy("class").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre")))
+             .withColumn("hopeful", F.col("fits") & (F.col("met") >= least_met(F.col("n"), F.col("centre_n"))))
+             .groupBy("class").agg(F.max_by(F.struct("centre", "hopeful"), F.struct("hopeful", "met", "centre")).alias("best"))
+             .select("class", "best.*"))
     stars = materialise(stars, "jaccard-stars")
-    fans = stars.groupBy("centre").agg(F.count("*").alias("fans"))
-    targets = stars.join(fans, "centre").select(F.col("centre").alias("k1"), tile_of("class", "fans").alias("k2"),
-                                                F.lit(0).cast("long").alias("k3"), "class")
+    hopeful = stars.where("hopeful")
+    fans = hopeful.groupBy("centre").agg(F.count("*").alias("fans"))
+    targets = hopeful.join(fans, "centre").select(F.col("centre").alias("k1"), tile_of("class", "fans").alias("k2"),
+                                                  F.lit(0).cast("long").alias("k3"), "class")
     probes = targets.select("k1", "k2", "k3", F.col("k1").alias("class")).distinct()
-    links = compare(targets, probes, texts, classes, first_only=False)
+    links = compare(targets, probes, texts, classes)
 
-    # Round 2: each class against the other components it meets; the smaller component asks.
+    # Round 2: each class against the families it meets, a family being the classes of one centre.
     found = components(links, "jaccard-first")
-    member = (shared.select("class", "n").distinct().join(found, F.col("class") == F.col("node"), "left")
-              .select("class", "n", F.coalesce("component", "class").alias("component")))
-    size = member.groupBy("component").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    member = materialise(member.join(size, "component"), "jaccard-members")
-    met = shared.select("token", "class", "pos").join(member, "class")
-    groups = (met.groupBy("token", "component", "members", "low", "high")
-              .agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-              .withColumn("others", F.count("*").over(Window.partitionBy("token"))).where("others > 1")
-              .select("token", F.col("component").alias("k1"), F.col("members").alias("k1_members"), "least", "rest",
-                      F.col("low").alias("k1_low"), F.col("high").alias("k1_high")))
-    fits = F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.ceil(4 * (F.col("n") + F.col("least")) / 9)
-    low = F.least("k1_high", F.greatest("k1_low", F.ceil(F.col("n") * 4 / 5)))
-    high = F.greatest("k1_low", F.least("k1_high", F.floor(F.col("n") * 5 / 4)))
-    asks = (met.join(groups, "token").where(F.struct("members", "component") < F.struct("k1_members", "k1"))
-            .withColumn("fits", fits).groupBy("class", "n", "k1", "k1_members", "k1_low", "k1_high")
-            .agg(F.count("*").alias("met"), F.max("fits").alias("fits"))
-            .where(F.col("fits") & (F.col("met") >= F.least(least_met(F.col("n"), low), least_met(F.col("n"), high))))
-            .select("class", "k1", "k1_members"))
+    member = (shared.groupBy("class").agg(F.first("n").alias("n")).join(found, F.col("class") == F.col("node"), "left")
+              .join(stars.select("class", "centre"), "class", "left")
+              .select("class", "n", F.coalesce("component", "class").alias("component"), F.coalesce("centre", "class").alias("family")))
+    member = materialise(member, "jaccard-members")
+    family = member.groupBy("family").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"),
+                                          F.min("component").alias("c1"), F.max("component").alias("c2"))
+    met = shared.select("token", "class", "pos").join(member, "class").repartition("token")
+    groups = (met.groupBy("token", F.col("family").alias("k1"))
+              .agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("here"))
+              .withColumn("all_here", F.sum("here").over(Window.partitionBy("token"))).where("all_here > 1").drop("all_here"))
+    own = F.col("family") == F.col("k1")
+    # The smaller family id asks the larger one; inside a family every class asks.
+    asks = (met.select("token", "class", "n", "pos", "family").join(groups, "token")
+            .where((F.col("family") < F.col("k1")) | (own & (F.col("here") > 1)))
+            .withColumn("fits", F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.ceil(4 * (F.col("n") + F.col("least")) / 9))
+            .groupBy("class", "k1").agg(F.count("*").alias("met"), F.max("fits").alias("fits")).where("fits")
+            .join(member.select("class", "n", "component", "family"), "class")
+            .join(family.withColumnRenamed("family", "k1"), "k1")
+            .where((F.col("c1") != F.col("component")) | (F.col("c2") != F.col("component"))))
+    pair = own & (F.col("members") == 2)        # one other class, of known size
+    low = F.when(pair, F.col("low") + F.col("high") - F.col("n")).otherwise(
+        F.least("high", F.greatest("low", F.ceil(F.col("n") * 4 / 5))))
+    high = F.when(pair, low).otherwise(F.greatest("low", F.least("high", F.floor(F.col("n") * 5 / 4))))
+    asks = (asks.where(F.col("met") >= F.least(least_met(F.col("n"), low), least_met(F.col("n"), high)))
+            .select("class", "component", "k1", "members"))
     asks = materialise(asks, "jaccard-asks")
     chunks = asks.groupBy("k1").agg(F.count("*").alias("asking"))
     asks = asks.join(chunks, "k1").withColumn("k3", F.pmod(F.xxhash64("class"), F.ceil(F.col("asking") / PROBES)))
-    probes = asks.withColumn("k2", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k1_members") - 1) / TILE))))
-    targets = (member.join(chunks, F.col("component") == F.col("k1")).withColumn("k2", tile_of("class", "members"))
+    probes = asks.withColumn("k2", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / TILE))))
+    targets = (member.join(chunks, F.col("family") == F.col("k1")).join(family.select("family", "members"), "family")
+               .withColumn("k2", tile_of("class", "members"))
                .withColumn("k3", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("asking") - 1) / PROBES)))))
-    more = compare(targets, probes, texts, classes, first_only=True)
+    more = compare(targets, probes, texts, classes)
 
     joined = components(links.union(more), "jaccard-second")
     by_class = classes.join(joined, F.col("class") == F.col("node"), "left").select(
