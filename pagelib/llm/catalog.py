@@ -1,4 +1,4 @@
 """Every registered query of this subpackage."""
 
-from pagelib.llm import forest, jaccard, licenses, mixing, quality, sentencepiece_codec, substrings, topk, toxicity  # noqa: F401
+from pagelib.llm import forest, jaccard, licenses, mixing, pseudolikelihood, quality, sentencepiece_codec, substrings, topk, toxicity  # noqa: F401
 from pagelib.llm.common import QUERIES, SQL  # noqa: F401

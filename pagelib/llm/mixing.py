@@ -154,7 +154,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, shards: int
 
     named = small(targets, SMALL_ROWS)
     numbered = (sized.join(named, sized["source"].eqNullSafe(named["source"]))
-                .select("doc_id", "text_hash", "size", "source_no", "source_size", "target",
+                .select("doc_id", sized["source"], "text_hash", "size", "source_no", "source_size", "target",
                         block_width(shards, blocks_per_shard).alias("width"),
                         F.xxhash64(F.lit(seed), "doc_id", "text_hash").alias("lot")))
     order = [F.col("lot"), F.col("doc_id"), F.col("text_hash"), F.col("size")]
@@ -176,25 +176,30 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: one row per document and pass, with the words that the pass takes.
 
     A pass that takes all words keeps the text as it is; a part keeps the taken words with the white space before
-    each. Columns are those of `docs`, with `shard` and `place`; rows equal in doc_id, source and text are copies
-    and share their other columns. Within a shard the rows stand in the order of `place`.
+    each. Columns are those of `docs`, with `shard` and `place` (these names are replaced); rows equal in doc_id, source
+    and text are copies and share their other columns. Within a shard the rows stand in the order of `place`.
     """
-    _, slices = mix(docs, **options)
+    laid, slices = mix(docs, **options)
     parts = (slices.groupBy("source_no", "start", "doc_id", "text_hash", "size", "epoch")
-             .agg(F.sum("n_words").alias("taken"), F.min(F.struct("place", "shard")).alias("at"),
-                  F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
-             .select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "size", "taken", "at", "runs"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    texts = (docs.where("text is not null").withColumn("__hash", F.xxhash64("text"))
-             .groupBy("doc_id", "__hash").agg(F.max(F.struct("text", *others)).alias("__row")))
+             .agg(F.sum("n_words").alias("__taken"), F.min(F.struct("place", "shard")).alias("__at"),
+                  F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__runs"))
+             .select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), (F.col("__taken") < F.col("size")).alias("__part"),
+                     "__at", "__runs", "source_no"))
+    # The source's number tells apart rows that share doc_id and text.
+    named = small(laid.select("source_no", "source").distinct(), SMALL_ROWS).select(F.col("source_no"), F.col("source").alias("__source"))
+    parts = parts.join(named, "source_no").drop("source_no")
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    texts = (docs.where("text is not null").withColumn("__text_hash", F.xxhash64("text"))
+             .groupBy("doc_id", "source", "__text_hash").agg(F.max(F.struct("text", *others)).alias("__row")))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("pieces", (r["first_word"] + 1).cast("int"),
-                                                                      r["n_words"].cast("int")))), "")
-    joined = texts.join(parts, (F.col("doc_id").eqNullSafe(F.col("__doc"))) & (texts["__hash"] == parts["__hash"]))
-    return (joined.select("doc_id", "__row.*", "size", "taken", "runs", "at.shard", "at.place")
-            .withColumn("pieces", F.when(F.col("taken") < F.col("size"), pieces))
-            .withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text")))
-            .select(*docs.columns, "shard", "place"))
+    cut = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__pieces", (r["first_word"] + 1).cast("int"),
+                                                                        r["n_words"].cast("int")))), "")
+    joined = texts.join(parts, (F.col("__text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
+                        & F.col("source").eqNullSafe(F.col("__source")))
+    return (joined.select("doc_id", "source", "__row.*", "__part", "__runs", "__at")
+            .withColumn("__pieces", F.when(F.col("__part"), pieces))
+            .withColumn("text", F.when(F.col("__part"), cut).otherwise(F.col("text")))
+            .select(*[c for c in docs.columns if c not in ("shard", "place")], "__at.shard", "__at.place"))
 
 
 @query("op1_mixing")

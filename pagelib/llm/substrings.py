@@ -176,10 +176,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     dealt = runs.repartition(F.when(F.col("repeat"), F.col("doc")).otherwise(F.col("run")))
     later = (dealt.sortWithinPartitions("repeat", "run", "doc", "text_hash", "at")
              .mapInArrow(later_or_repeat, "doc long, text_hash long, at int"))
-    places = later.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    joined = keyed.join(places, (F.col("__doc") == F.col("doc")) & (F.col("__hash") == F.col("text_hash")), "left")
+    places = (later.groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"))
+              .agg(F.array_sort(F.collect_set("at")).alias("__places")))
+    joined = keyed.join(places, ["__doc", "__hash"], "left")
     own = ["text", "n_sentences", "n_removed", "words_removed"]
-    return (joined.withColumn("__clean", cleaner()(F.col("text"), F.col("places")))
+    return (joined.withColumn("__clean", cleaner()(F.col("text"), F.col("__places")))
             .withColumns({c: F.col(f"__clean.{c}") for c in own})
             .select(*dict.fromkeys([*docs.columns, *own])))
 
