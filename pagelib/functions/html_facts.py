@@ -18,6 +18,16 @@ BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "
           "figure", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "hr", "body"}
 
 
+HEAD_TAGS = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "head", "html"}
+# A start tag ends open elements of the first set, looking outward up to one of the second.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+        "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr", "td", "th"}, {"table"}),
+        "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+        "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
+ENDS_P = BLOCKS - {"br", "body", "dt", "dd", "li", "tr"} | {"nav", "header", "footer", "aside", "fieldset", "details", "address"}
+P_STAYS = {"td", "th", "table", "button", "object", "template", "li"}
+
+
 def collapse(text: str) -> str:
     return " ".join(text.split())
 
@@ -37,16 +47,17 @@ class PageFacts(HTMLParser):
         self.meta, self.jsonld, self.images = [], [], []
         self.seen, self.scripts, self.password, self.mount = [], 0, False, False
         self.in_head, self.head_done = False, False
-        self.skip = []            # open elements whose text is not seen, with their nesting
-        self.area = {"article": 0, "main": 0, "chrome": 0, "pre": 0}
+        self.open = []            # open elements: (tag, the counts it raises)
+        self.area = {"article": 0, "main": 0, "chrome": 0, "pre": 0, "unseen": 0}
         self.parts = {"article": [], "page": []}
         self.raw, self.raw_text, self.raw_attrs = None, [], {}
 
     def handle_starttag(self, tag, attributes):
         attrs = {k: (v if v is not None else "") for k, v in reversed(attributes)}
-        if tag == "body":
+        if tag == "body" or tag not in HEAD_TAGS and self.open and self.open[-1][0] == "head":
             self.in_head, self.head_done = False, True
-            self.skip = [s for s in self.skip if s[0] != "head"]
+            self._close("head")
+        self._end_implied(tag)
         self._head_tag(tag, attrs)
         if tag == "script":
             kind = attrs.get("type", "").strip().lower()
@@ -58,23 +69,21 @@ class PageFacts(HTMLParser):
         if tag in ("script", "style", "title", "textarea"):
             self.raw, self.raw_text, self.raw_attrs = tag, [], attrs
         if tag in VOID:
-            if tag == "img" and not self.skip and not (self.area["chrome"] and not self.area["main"]):
+            if tag == "img" and not self.area["unseen"] and not (self.area["chrome"] and not self.area["main"]):
                 self.images.append({k: attrs.get(k, "") for k in (
                     "src", "data-src", "srcset", "data-srcset", "class", "id", "alt", "width", "height")})
             if tag in ("br", "hr"):
                 self._text("\n")
             return
-        if self.skip:
-            if self.skip[-1][0] == tag:
-                self.skip[-1][1] += 1
-        elif tag in UNSEEN or _hidden(attrs):
-            self.skip.append([tag, 1])
         roles = set(attrs.get("role", "").lower().split())
+        raises = [name for name in ("article", "main", "pre") if tag == name]
         if tag in CHROME or roles & CHROME_ROLES:
-            self.area["chrome"] += 1
-        for name in ("article", "main", "pre"):
-            if tag == name:
-                self.area[name] += 1
+            raises.append("chrome")
+        if tag in UNSEEN or _hidden(attrs):
+            raises.append("unseen")
+        self.open.append((tag, raises))
+        for name in raises:
+            self.area[name] += 1
         if tag in BLOCKS:
             self._text("\n\n")
             if re.fullmatch("h[1-6]", tag):
@@ -86,6 +95,41 @@ class PageFacts(HTMLParser):
             elif tag == "blockquote":
                 self._text("> ")
 
+    def _end_implied(self, tag):
+        """Close what a start tag ends without an end tag of its own."""
+        ended, limits = ENDS.get(tag, ((), ()))
+        if ended:
+            self._close_outward(ended, limits)
+        if tag in ENDS_P:
+            self._close_outward({"p"}, P_STAYS)
+
+    def _close_outward(self, ended, limits):
+        at = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in limits:
+                break
+            if self.open[i][0] in ended:
+                at = i
+        if at is not None:
+            self._close_from(at)
+
+    def _close(self, tag):
+        """Close the innermost open element of a tag and all inside it; an end tag without one means nothing."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                self._close_from(i)
+                return
+
+    def _close_from(self, at):
+        for tag, raises in reversed(self.open[at:]):
+            for name in raises:
+                self.area[name] -= 1
+            if tag == "pre":
+                self._text("\n```")
+            if tag in BLOCKS:
+                self._text("\n\n")
+        del self.open[at:]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -96,31 +140,19 @@ class PageFacts(HTMLParser):
             self.in_head, self.head_done = False, True
         if tag == self.raw:
             self._close_raw(tag)
-        if self.skip and self.skip[-1][0] == tag:
-            self.skip[-1][1] -= 1
-            if not self.skip[-1][1]:
-                self.skip.pop()
-        if tag == "pre":
-            self._text("\n```")
-        if tag in BLOCKS:
-            self._text("\n\n")
-        if tag in CHROME and self.area["chrome"]:
-            self.area["chrome"] -= 1
-        for name in ("article", "main", "pre"):
-            if tag == name and self.area[name]:
-                self.area[name] -= 1
+        self._close(tag)
 
     def handle_data(self, data):
         if self.raw:
             self.raw_text.append(data)
         if self.raw == "title" and self.head_done is False:
             return
-        if not self.skip:
+        if not self.area["unseen"]:
             self.seen.append(data)
             self._text(data if self.area["pre"] else re.sub(r"\s+", " ", data))
 
     def _text(self, text):
-        if self.skip:
+        if self.area["unseen"]:
             return
         if not self.area["chrome"] or self.area["main"]:
             self.parts["page"].append(text)
@@ -128,7 +160,7 @@ class PageFacts(HTMLParser):
             self.parts["article"].append(text)
 
     def _head_tag(self, tag, attrs):
-        if self.head_done or self.skip and self.skip[-1][0] in ("noscript", "template"):
+        if self.head_done or any(t in ("noscript", "template") for t, _ in self.open):
             return
         if tag == "html" and self.lang is None:
             self.lang = attrs.get("lang", "").strip() or None

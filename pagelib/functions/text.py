@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 NAME_LIMIT = 40
-README_LIMIT = 1500
 SNIPPET_CHARS = 200
 SNIPPET_LEAD = 60
 # Window kinds 0-4 and group colours 1-8.
@@ -119,4 +118,4 @@ def metadata_text(title, meta) -> Column:
         _line("site", collapse(m["og"]["site_name"])),
         F.when((kind != "") & (kind != "website"), F.concat(F.lit("kind: "), kind)),
         _line("topics", F.coalesce(F.array_join(m["github"]["topics"], ", "), F.lit(""))),
-        _line("readme", F.substring(collapse(m["github"]["readme"]), 1, README_LIMIT)))
+        _line("readme", collapse(m["github"]["readme"])))

@@ -1,4 +1,4 @@
-"""Web page content: facts of HTML, classes, text, images, captions, threads, chunks."""
+"""Web page content: facts of HTML, classes, text, images, captions, threads; chunks are in `chunks`."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelib.functions import chunking, html_facts, ordered, text, urls
+from pagelib.functions import html_facts, ordered, text, urls
 from pagelib.functions.ordered import Coarse
+from pagelib.operators.chunks import page_hash
 
-VALUE_CAP = 2000
 ENOUGH, SHELL = 1500, 300
+SLICE = 100
 # Phrases and words the classes look for.
 SIGN_IN = r"(?<![\p{L}\p{N}])(sign in|signin|sign-in|log in|login|log-in)(?![\p{L}\p{N}])"
 NEEDS_SCRIPT = (r"(?s)(enable|require|turn on).{0,60}?javascript|javascript.{0,60}?(disabled|required)")
@@ -26,11 +27,13 @@ def page_facts(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     """One pass over every page's HTML; the pages stream through in Arrow batches."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = pd.DataFrame([html_facts.facts(h) for h in batch["html"]])
-            for c in batch.columns:
-                if c != "html":
-                    rows[c] = batch[c].values
-            yield rows
+            for start in range(0, len(batch), SLICE):     # parsed pages are passed on in small slices
+                part = batch.iloc[start:start + SLICE]
+                rows = pd.DataFrame([html_facts.facts(h) for h in part["html"]])
+                for c in batch.columns:
+                    if c != "html":
+                        rows[c] = part[c].values
+                yield rows
 
     source = pages.select(key, "url", F.col(html).alias("html"))
     kind = pages.schema[key].dataType.simpleString()
@@ -41,15 +44,11 @@ def first_meta(key: str) -> Column:
     return F.get(F.filter("meta", lambda m: m["key"] == key), F.lit(0))["content"]
 
 
-def _capped(value: Column) -> Column:
-    return F.substring(value, 1, VALUE_CAP)
-
-
 def _prefixed(prefix: str) -> Column:
     named = F.filter("meta", lambda m: m["key"].startswith(prefix))
     return F.map_from_entries(F.array_distinct(F.transform(named, lambda m: F.struct(
-        F.substring(m["key"], len(prefix) + 1, 200).alias("key"),
-        _capped(F.get(F.filter(named, lambda o: o["key"] == m["key"]), F.lit(0))["content"]).alias("value")))))
+        F.substr(m["key"], F.lit(len(prefix) + 1)).alias("key"),
+        F.get(F.filter(named, lambda o: o["key"] == m["key"]), F.lit(0))["content"].alias("value")))))
 
 
 def jsonld_types(jsonld: str = "jsonld") -> Column:
@@ -61,7 +60,7 @@ def jsonld_types(jsonld: str = "jsonld") -> Column:
 def head_metadata(facts: DataFrame) -> DataFrame:
     """Title, language, canonical address and the meta fields of each page."""
     return facts.withColumns({
-        "title": _capped(F.col("title")), "description": _capped(text.collapse(first_meta("description"))),
+        "description": text.collapse(first_meta("description")),
         "og": _prefixed("og:"), "twitter": _prefixed("twitter:"), "jsonld_types": jsonld_types()})
 
 
@@ -182,7 +181,7 @@ def github_topics(pages: DataFrame, html: str = "html") -> DataFrame:
     rich = F.regexp_extract(html, r'"richText":("(?:[^"\\]++|\\.)*+")', 1)
     decoded = F.get_json_object(F.concat(F.lit('{"t":'), F.when(rich == "", '""').otherwise(rich), F.lit("}")), "$.t")
     readme = text.collapse(F.regexp_replace(decoded, r"<[^>]*>", " "))
-    return pages.withColumns({"topics": topics, "readme": F.substring(readme, 1, text.README_LIMIT)})
+    return pages.withColumns({"topics": topics, "readme": readme})
 
 
 def keep_longer(captures: DataFrame, kept: DataFrame, note: str) -> DataFrame:
@@ -211,28 +210,6 @@ def keep_content(captures: DataFrame, stored: DataFrame) -> DataFrame:
     return c.join(stored.select("url", "content_sha256"), ["url", "content_sha256"], "left_anti")
 
 
-CHUNK_SCHEMA = "id string, page_id string, start long, end long, section string, hash string, page_hash string"
-
-
-def chunk_pages(content: DataFrame) -> DataFrame:
-    """(page_id, title, body) to chunk rows; a page is cut alone, pages stream in batches."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for p, t, b in zip(batch["page_id"], batch["title"], batch["body"])
-                    for r in chunking.chunk_rows(p, t, b)]
-            if rows:
-                yield pd.DataFrame(rows)
-
-    return content.where(F.length("body") > 0).select("page_id", "title", "body").mapInPandas(cut, CHUNK_SCHEMA)
-
-
-def page_hash(title: Column, body: Column) -> Column:
-    """SHA-256 of the compact JSON list of title and body."""
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    return F.sha2(F.concat(F.lit("["), quoted(F.when(F.coalesce(title, F.lit("")) == "", "none").otherwise(title)),
-                           F.lit(","), quoted(body), F.lit("]")), 256)
-
-
 def incremental_chunks(content: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, changed): chunk rows of unchanged pages, and the pages to cut again."""
     now = content.withColumn("page_hash", page_hash(F.col("title"), F.col("body")))
@@ -317,12 +294,14 @@ def choose_captions(tracks: DataFrame, videos: DataFrame) -> DataFrame:
 
 REASONS = ["timeline", "unexpanded_replies", "text_truncated", "recommendation_boundary", "unresolved_link",
            "missing_identity"]
-MAX_POSTS, MAX_TEXT, MAX_NAME, MAX_ALTS, MAX_MEDIA, MAX_LINKS = 50, 25000, 200, 8, 4, 10
 
 
-def check_threads(posts: DataFrame, threads: DataFrame) -> DataFrame:
+def check_threads(posts: DataFrame, threads: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """The first reason each thread is refused, or whether it is complete.
 
+    Sizes refuse a thread only where `limits` names them: posts, text (characters of a text or description), name,
+    alts, media, links.
+
     `threads` has (thread, clicked, handle, place, complete, reasons); `posts` (thread,
     pos, id, handle, name, at, lang, text, text_complete, alts, media, links) with links
     (href, target).
@@ -330,15 +309,17 @@ def check_threads(posts: DataFrame, threads: DataFrame) -> DataFrame:
     t = threads.select("thread", "clicked", F.lower("handle").alias("author"), "place", "complete", "reasons")
     j = posts.join(t.select("thread", "author", "clicked"), "thread")
     web = lambda c: urls.is_web(c)
+    limits = limits or {}
+    over = lambda size, name: size > limits[name] if name in limits else F.lit(False)
     bad_link = F.exists("links", lambda l: ~web(l["href"]) | (l["target"].isNotNull() & ~web(l["target"])))
     problem = (F.when(~F.col("id").rlike(r"^[0-9]{1,19}$"), F.concat(F.lit("post id: "), "id"))
                .when(F.lower("handle") != F.col("author"), "not the author's")
                .when(F.col("at").isNotNull() & F.col("at").try_cast("timestamp").isNull(), "at is not RFC 3339")
                .when(~F.coalesce("lang", F.lit("")).rlike(r"^[A-Za-z0-9-]{0,35}$"), "lang")
-               .when((F.length("text") > MAX_TEXT) | (F.length("name") > MAX_NAME), "text or name too long")
-               .when((F.size("alts") > MAX_ALTS) | F.exists("alts", lambda a: F.length(a) > MAX_TEXT), "alts")
-               .when(F.size("media") > MAX_MEDIA, "media")
-               .when((F.size("links") > MAX_LINKS) | bad_link, "links"))
+               .when(over(F.length("text"), "text") | over(F.length("name"), "name"), "text or name too long")
+               .when(over(F.size("alts"), "alts") | F.exists("alts", lambda a: over(F.length(a), "text")), "alts")
+               .when(over(F.size("media"), "media"), "media")
+               .when(over(F.size("links"), "links") | bad_link, "links"))
     whole = (F.col("text_complete") & ~text.is_blank("text")
              & ~F.exists("links", lambda l: l["target"].isNull()))
     ids = j.groupBy("thread", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("thread").agg(
@@ -348,7 +329,7 @@ def check_threads(posts: DataFrame, threads: DataFrame) -> DataFrame:
         F.bool_or(F.col("id") == F.col("clicked")).alias("has_clicked"), F.bool_and(whole).alias("whole"))
     out = t.join(sums, "thread", "left").join(ids, "thread", "left")
     refused = (F.when(~F.col("place").isin("status", "timeline"), F.concat(F.lit("where: "), "place"))
-               .when(F.col("posts") > MAX_POSTS, f"posts: more than {MAX_POSTS}")
+               .when(over(F.col("posts"), "posts"), f"posts: more than {limits.get('posts')}")
                .when(F.col("problem").isNotNull(), F.col("problem"))
                .when(F.col("twice").isNotNull(), F.concat(F.lit("posts: "), "twice", F.lit(" twice")))
                .when(~F.col("has_clicked"), "posts: the bookmarked post is not among them"))
@@ -376,7 +357,7 @@ def post_section(p: Column) -> Column:
     quoted = F.concat_ws("\n\n", F.concat(F.lit("Quoting @"), p["quote_handle"]), _part(p["quote_text"]))
     as_quote = F.array_join(F.transform(F.split(quoted, "\n"), lambda l: F.when(l == "", ">").otherwise(
         F.concat(F.lit("> "), l))), "\n")
-    lone = F.concat(F.upper(F.substring(p["unavailable"], 1, 1)), F.substring(p["unavailable"], 2, 1000), F.lit("."))
+    lone = F.concat(F.upper(F.substring(p["unavailable"], 1, 1)), F.substr(p["unavailable"], F.lit(2)), F.lit("."))
     return (F.when(p["unavailable"].isNotNull(), lone)
             .otherwise(F.concat_ws("\n\n", body, F.when(p["quote_handle"].isNotNull(), as_quote))))
 

@@ -173,20 +173,21 @@ def paired_runs(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
 def paired_bootstrap(rates: DataFrame, samples: int = 10000, seed: int = 0) -> DataFrame:
     """Mean paired difference with its 2.5 and 97.5 percentiles, whole pages resampled.
 
-    `rates` has (id, a, b). Every page draws its Poisson weights from its own seed, and
-    each task returns one sum per sample, so no page meets another task's.
+    `rates` has (id, a, b). Each page counts with a Poisson weight of its own; n pages of
+    one difference together weigh Poisson(n), so a draw is made per distinct difference
+    and sample, seeded by the difference.
     """
     def sums(batches):
         total, weights = np.zeros(samples), np.zeros(samples)
         for batch in batches:
-            for key, d in zip(batch["h"], batch["a"] - batch["b"]):
-                w = np.random.default_rng([seed, int(key)]).poisson(1.0, samples)
+            for d, n in zip(batch["d"], batch["n"]):
+                w = np.random.default_rng([seed, int(np.float64(d + 0.0).view(np.uint64))]).poisson(float(n), samples)
                 total += w * d
                 weights += w
         yield pd.DataFrame({"sample": np.arange(samples), "total": total, "weight": weights})
 
-    hashed = rates.select(F.crc32(F.col("id").cast("string")).alias("h"), "a", "b")
-    per = hashed.mapInPandas(sums, "sample int, total double, weight double").groupBy("sample").agg(
+    counted = rates.groupBy((F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n")).where("d is not null")
+    per = counted.mapInPandas(sums, "sample int, total double, weight double").groupBy("sample").agg(
         (F.sum("total") / F.sum("weight")).alias("mean"))
     point = rates.agg(F.avg(F.col("a") - F.col("b"))).scalar()
     return per.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(

@@ -404,7 +404,10 @@ def name_referrers(pages: DataFrame) -> DataFrame:
     titles = pages.where(~text.is_blank("title")).select(F.col("url").alias("referrer"),
                                                         F.col("title").alias("referrer_title"))
     ok = (urls.database_url("referrer") != urls.database_url("url")) & urls.domain_of("referrer").isNotNull()
-    return pages.withColumn("referrer", F.when(ok, F.col("referrer"))).join(titles, "referrer", "left")
+    # Pages without a referrer are most of them and meet no title: they stay out of the join.
+    pages = pages.withColumn("referrer", F.when(ok, F.col("referrer")))
+    joined = pages.where("referrer is not null").join(titles, "referrer", "left")
+    return joined.unionByName(pages.where("referrer is null"), allowMissingColumns=True)
 
 
 def page_history(pages: DataFrame, recorded: DataFrame, carried: DataFrame) -> DataFrame:

@@ -8,11 +8,9 @@ from pagelib.functions import ordered, urls
 from pagelib.functions.ordered import Coarse
 from pagelib.operators.library import forgotten_variants, listed_groups, snapshot_order
 
-SIGNED_IN_LIMIT = 25
 MIN_SIDE = 200
 MAX_ASPECT = 3
 SITE_DEFAULT = 3
-KEPT_CANDIDATES = 5
 NOT_RENDERED = "not rendered: HTTP 403"
 # Request hosts, lanes and least seconds of the routes that are not the page's own.
 ROUTE_HOSTS = {"x": "api.fxtwitter.com", "github": "api.github.com", "youtube": "www.youtube.com"}
@@ -205,11 +203,11 @@ def site_default_images(metadata: DataFrame) -> DataFrame:
             .where(F.col("pages") >= SITE_DEFAULT))
 
 
-def image_ladder(candidates: DataFrame, defaults: DataFrame) -> DataFrame:
-    """The candidates of each page in the order they are tried, five at most.
+def image_ladder(candidates: DataFrame, defaults: DataFrame, most: int | None = None) -> DataFrame:
+    """The candidates of each page in the order they are tried, all of them or the first `most`.
 
     `candidates` has (page, url, source, pos). Each address counts once, at its
-    best rung; the cut is the feature, applied after whole-group ranking.
+    best rung; a cut applies after whole-group ranking.
     """
     rung = F.coalesce(*[F.when(F.col("source") == s, r) for s, r in RUNGS.items()], F.lit(3))
     c = candidates.withColumns({"rung": rung, "host": urls.site_host("page")})
@@ -219,7 +217,9 @@ def image_ladder(candidates: DataFrame, defaults: DataFrame) -> DataFrame:
     once = c.groupBy("page", "url").agg(F.min(F.struct("rung", "pos", "source")).alias("k"))
     from pyspark.sql import Window
     w = Window.partitionBy("page").orderBy("k.rung", "k.pos")
-    return (once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= KEPT_CANDIDATES)
+    placed = once.withColumn("place", F.row_number().over(w))
+    placed = placed if most is None else placed.where(F.col("place") <= most)
+    return (placed
             .select("page", "url", F.col("k.rung").alias("rung"), "place"))
 
 

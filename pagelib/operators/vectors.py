@@ -11,7 +11,6 @@ from pagelib.functions import vectors as V
 BLOCK = 4096
 ROUND = 9
 NEGATIVE_WEIGHT = 0.25
-CHAR_CAP = 2048 * 16
 # Marks that stand for media in a model's input.
 MEDIA_MARKERS = ["<|image|>", "<|audio|>", "<|video|>"]
 
@@ -145,9 +144,12 @@ def embed(reconciled: DataFrame, texts: DataFrame, fn) -> DataFrame:
 
 
 def embed_text(title: Column, text: Column) -> Column:
-    """The model's input: capped text under its title, media marks kept as plain text."""
+    """The model's input: the whole text under its title, media marks kept as plain text.
+
+    A caller whose model reads only so much embeds chunks and pools them (`mean_pool`).
+    """
     out = F.concat(F.lit("title: "), F.when(F.coalesce(title, F.lit("")) == "", "none").otherwise(title),
-                   F.lit(" | text: "), F.substring(text, 1, CHAR_CAP))
+                   F.lit(" | text: "), text)
     for mark in MEDIA_MARKERS:
         out = F.replace(out, F.lit(mark), F.lit("< " + mark[1:]))
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelib.operators import content, logs
+from pagelib.operators import chunks, content, logs
 from pagelib.plans.registry import query
 from pagelib.plans.tables import SQL_VIEWS, Tables
 
@@ -96,8 +96,8 @@ SELECT doc_id, CASE WHEN sign_in OR (password AND visible_chars < 1500) THEN 'be
     THEN 'needs JavaScript' WHEN visible_chars < 300 AND mount THEN 'app shell' WHEN main_chars >= 1500 THEN NULL
     WHEN locked THEN 'paywall' ELSE 'short text' END AS reason FROM ({_FEATURES})""")
 def _classify(t):
-    t.raw("documents").createOrReplaceTempView("documents")
-    return content.classify_pages(t.spark.sql(_FEATURES)).select("doc_id", "class", "reason")
+    features = _FEATURES.replace("FROM documents", "FROM {documents}")
+    return content.classify_pages(t.spark.sql(features, documents=t.raw("documents"))).select("doc_id", "class", "reason")
 
 
 @query("plain_chars", """
@@ -149,7 +149,7 @@ def bodies(t: Tables):
 
 @query("chunk_pages")
 def _chunks(t):
-    return content.chunk_pages(bodies(t)).select("id", "page_id", "start", "end", "section", "hash")
+    return chunks.chunk_pages(bodies(t)).select("id", "page_id", "start", "end", "section", "hash")
 
 
 @query("incremental_chunks", """
@@ -158,7 +158,7 @@ def _incremental(t):
     d = t.raw("documents")
     now = d.select(F.col("doc_id").cast("string").alias("page_id"), F.col("source").alias("title"), F.col("text").alias("body"))
     old = now.where("page_id % 4 = 0").select(
-        "page_id", content.page_hash(F.col("title"), F.col("body")).alias("page_hash"), F.lit("id").alias("id"))
+        "page_id", chunks.page_hash(F.col("title"), F.col("body")).alias("page_hash"), F.lit("id").alias("id"))
     return content.incremental_chunks(now, old)[1].select("page_id", "page_hash")
 
 
@@ -279,7 +279,7 @@ def _check(t):
     threads = threads.select("thread", F.concat("clicked0", F.when(th % 8 == 5, "x").otherwise("")).alias("clicked"),
                              F.lit("WRITER").alias("handle"), F.when(th % 12 == 11, "nowhere").otherwise("status").alias("place"),
                              F.lit(True).alias("complete"), F.array().cast("array<string>").alias("reasons"))
-    return content.check_threads(posts(t), threads).select("thread", "posts", "refused")
+    return content.check_threads(posts(t), threads, {"posts": 50}).select("thread", "posts", "refused")
 
 
 _SECTION = """CASE WHEN conv_id % 4 = 1 AND turn = 2 THEN 'Post deleted.' ELSE concat_ws(chr(10) || chr(10),
@@ -304,7 +304,7 @@ def _thread(t):
 _META_TEXT = """concat_ws(chr(10), CASE WHEN page_id % 2 = 0 THEN 'page title: T ' || page_id END,
   'description: ' || CASE WHEN page_id % 3 = 0 THEN 'own ' || page_id WHEN page_id % 3 = 1 THEN 'og ' || page_id ELSE 'tw' END,
   CASE WHEN page_id % 4 = 0 THEN 'site: Site' END, CASE WHEN page_id % 5 = 0 THEN 'kind: Article, News' WHEN page_id % 5 = 1 THEN 'kind: video' END,
-  CASE WHEN page_id % 6 = 0 THEN 'topics: a, b' END, CASE WHEN page_id % 6 = 1 THEN 'readme: ' || repeat('long ', 300)[1:1500] END)"""
+  CASE WHEN page_id % 6 = 0 THEN 'topics: a, b' END, CASE WHEN page_id % 6 = 1 THEN 'readme: ' || trim(repeat('long ', 400)) END)"""
 
 
 @query("metadata_text", f"SELECT page_id, {_META_TEXT} AS lines FROM pages")

@@ -288,7 +288,7 @@ def _bootstrap(t):
     c = cells(t)
     hit = c.groupBy("id").agg(F.max(F.when((F.col("y") == 1) & F.col("pred"), 1.0).otherwise(0.0)).alias("a"),
                               F.max(F.when((F.col("y") == 1) & (F.col("score") > 0.5), 1.0).otherwise(0.0)).alias("b"))
-    return evaluate.paired_bootstrap(hit, 1000)
+    return evaluate.paired_bootstrap(hit)
 
 
 @query("compare_runs", """
@@ -337,13 +337,13 @@ def _split(t):
 
 
 @query("cluster_terms", """
-WITH t AS (SELECT (doc_id % 7)::INTEGER AS cluster, unnest(list_concat(list_filter(regexp_extract_all(lower(text[1:60]), '[a-z][a-z0-9+#]{2,}'), lambda w: w NOT IN ('the', 'and')), [source])) AS term FROM documents),
+WITH t AS (SELECT (doc_id % 7)::INTEGER AS cluster, unnest(list_concat(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9+#]{2,}'), lambda w: w NOT IN ('the', 'and')), [source])) AS term FROM documents),
 n AS (SELECT cluster, term, count(*) AS n FROM t GROUP BY 1, 2), a AS (SELECT term, sum(n) AS total FROM n GROUP BY term HAVING count(*) >= 2),
 f AS (SELECT n.*, total, sum(n) OVER (PARTITION BY cluster) AS words FROM n JOIN a USING (term)),
 w AS (SELECT cluster, term, round(n / words * ln(1 + (SELECT sum(n) FROM f) / 7 / total), 12) AS weight FROM f)
 SELECT cluster, term, round(weight, 6) AS weight, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS place FROM w) WHERE place <= 5""")
 def _terms(t):
-    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("host"))
+    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("source").alias("host"))
     assign = d.select("id", (F.col("id") % 7).cast("int").alias("cluster"))
     return rounded(models.cluster_terms(assign, d, ["the", "and"]))
 

@@ -293,7 +293,7 @@ def _ladder(t):
             (F.concat(at("b"), (F.col("page_id") % 3).cast("string")), "body_img"), (at("x"), "x_media"),
             (at("c"), "body_img"), (F.concat(at("p"), p), "page_itself")]])).alias("pos", "c"))
     c = c.select("page", "pos", F.col("c.u").alias("url"), F.col("c.s").alias("source")).where("url is not null")
-    return planning.image_ladder(c, planning.site_default_images(h))
+    return planning.image_ladder(c, planning.site_default_images(h), 5)
 
 
 @query("prefer_metadata", "SELECT page_id, og_image FROM head_images WHERE status = 'ok'")

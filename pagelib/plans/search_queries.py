@@ -63,7 +63,7 @@ def _scores(t):
 
 
 @query("title_ngram_index", """
-WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text[1:60]), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents),
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents),
 c AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
   AS term FROM w) GROUP BY 1, 2),
 i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0)) / (1 + count(*))) + 1 AS idf FROM c
@@ -71,7 +71,7 @@ i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM
   (SELECT id, term, (1 + ln(n)) * idf AS w FROM c JOIN i USING (term))""")
 def _ngrams(t):
-    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"))
+    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     return search.title_ngram_index(d, d.where("id % 3 <> 0")).withColumn("weight", F.round("weight", 6))
 
 
@@ -404,7 +404,7 @@ def _reconcile(t):
 
 
 @query("embed_text", """
-SELECT doc_id, sha256('title: ' || CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE source END || ' | text: ' || (replace((text || '<|image|>')[1:32768], '<|image|>', '< |image|>'))) AS doc
+SELECT doc_id, sha256('title: ' || CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE source END || ' | text: ' || replace(text || '<|image|>', '<|image|>', '< |image|>')) AS doc
 FROM documents""")
 def _embed_text(t):
     d = t.raw("documents")

@@ -58,20 +58,6 @@ URL_VARIANTS = [
     "'chrome://newtab/' || page_id",
 ]
 
-# Tables with work per row, by their key.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table of fewer files than the cluster has cores, dealt over all of them.
-
-    One small file is one task however much work its rows are. A table of many files is
-    read as it lies, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 _BASE = r"^([^?#]*)"
 _TITLE = r"<title>(.*?)</title>"
 
@@ -85,8 +71,6 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in TEXT_KEYS:
-            df = spread(df, TEXT_KEYS[name])
         return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
     def count_of(self, name: str) -> Column:
@@ -264,7 +248,7 @@ class Tables:
     def search_docs(self) -> DataFrame:
         d = self.raw("documents").withColumn("page_id", F.col("doc_id") % self.count_of("pages"))
         return d.join(self.raw("pages").select("page_id", "url"), "page_id").select(
-            F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), "text", "url",
+            F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), "text", "url",
             "lang", "source")
 
 
@@ -363,6 +347,6 @@ JOIN pages l ON l.page_id = (event_id * 7) % (SELECT count(*) FROM pages)
 WHERE event_type IN ('click', 'purchase')""",
     "vectors": "SELECT vec_id AS id, embedding AS vector, label FROM embeddings",
     "search_docs": """
-SELECT doc_id AS id, text[1:60] AS title, text, url, lang, source
+SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text, url, lang, source
 FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only where the cluster names none, as in local tests, a temporary folder is used.
+    A local session without the setting, as in tests, uses a temporary folder. On a cluster the setting is required:
+    each executor would write to its own disk, and reads would come back incomplete.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("spark.pagelib.scratch", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="pagelib-")

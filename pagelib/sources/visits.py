@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -33,13 +34,20 @@ def parquet_loader(spark: SparkSession, path: str) -> Callable[[str], DataFrame
     return load
 
 
+# What drivers say of a table that is not there: SQLite, PostgreSQL, MySQL, Derby, DuckDB, H2.
+MISSING_TABLE = re.compile(r"no such table|relation .* does not exist|table .* (?:doesn't exist|does not exist|not found)", re.I)
+
+
 def jdbc_loader(spark: SparkSession, url: str, **options) -> Callable[[str], DataFrame | None]:
     """Tables of a database through a JDBC driver the cluster has; a missing table counts as absent."""
     def load(table: str) -> DataFrame | None:
         try:
             return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-        except Exception:
-            return None
+        except Exception as e:
+            # Only a missing table counts as absent; a refused login or a lost connection is an error.
+            if MISSING_TABLE.search(str(e)):
+                return None
+            raise
 
     return load
 

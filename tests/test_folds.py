@@ -4,7 +4,6 @@ import random
 
 from hypothesis import given, settings, strategies as st
 
-from pagelib.functions import chunking
 from pagelib.operators import logs
 from pagelib.streaming import sessions
 
@@ -58,18 +57,3 @@ def test_session_fold_equals_a_loop(spark):
                                      "title string, flag boolean, token string, at timestamp")
     got = sessions.session_fold(df)["tabs"].collect()
     assert {(g["session"], g["tab"]): (g["url"], g["title"]) for g in got} == want
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab #-*`>\n\t1.é=~", max_size=400))
-def test_blocks_cover_the_text(body):
-    found = chunking.blocks(body)
-    assert "".join(body[a:b] for a, b, *_ in found) == body
-
-
-def test_long_paragraph_is_cut_with_overlap():
-    body = "word " * 3000
-    rows = chunking.chunk_rows("p", "T", body)
-    assert all(r["end"] - r["start"] <= 2048 for r in rows) and len(rows) > 5
-    assert all(b["start"] < a["end"] for a, b in zip(rows, rows[1:])) and rows[-1]["end"] == len(body)
-    assert len({r["id"] for r in rows}) == len(rows)

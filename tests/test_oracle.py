@@ -17,6 +17,8 @@ SOME = ["library_pages", "renumber_positions", "exclude_this_machine_stats", "li
         "add_pages", "fetch_plan", "one_fetch_per_document", "schedule_by_host", "visible_text", "dedupe_captions",
         "thread_text", "tfidf_scores", "hybrid_search", "top_k_neighbours", "best_threshold", "average_precision",
         "stratified_folds", "cluster_report", "read_log", "latest_stream", "attempt_stream", "bookmark_stream", "change_stream"]
+# Queries whose right answer on the smallest tables is no row.
+EMPTY: set[str] = set()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("PAGELIB_ALL") else SOME
 
 
@@ -28,7 +30,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
     problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], FOLDER)
-    assert problem in (None, "no rows"), problem
+    assert problem is None or (problem == "no rows" and name in EMPTY), problem
 
 
 def test_entry_has_rows(spark):
