@@ -124,11 +124,22 @@ def sort_pages(pages: DataFrame, by: str) -> DataFrame:
 
 
 def place_pages(pages: DataFrame, by: str) -> DataFrame:
-    """Every page with its place in one of the orders, numbered without one sorting task."""
-    day = lambda c: Coarse(F.date_trunc("day", c), descending=True)
-    coarse = {"last": day("last_seen"), "first": day("first_seen"), "count": Coarse(F.col("times_seen"), descending=True),
-              "title": Coarse(F.substring(F.lower(text.sort_name("title", "url")), 1, 2)), "url": Coarse(F.substring("url", 1, 16))}
-    return ordered.row_number(pages, [], sort_keys(by), [coarse[by]], "place")
+    """Every page with its place in one of the orders, numbered without one sorting task.
+
+    Buckets follow the order as far as it takes to keep them small: one window of a snapshot, and of a large window 1,024
+    positions; a long prefix of a title or an address. Pages without a rank are ordered by their last sighting.
+    """
+    down = lambda *names: [Coarse(F.col(c), descending=True) for c in names]
+    spot = [Coarse(F.col("last_window")), Coarse(F.floor(F.col("last_position") / 1024))]
+    coarse = {"last": [*down("last_seen", "last_snapshot"), *spot], "first": [*down("first_seen", "first_snapshot"), *spot],
+              "count": [*down("times_seen", "last_snapshot"), Coarse(F.col("last_window")), Coarse(F.substring("url", 1, 24))],
+              "title": [Coarse(F.substring(F.lower(text.sort_name("title", "url")), 1, 12))], "url": [Coarse(F.substring("url", 1, 40))]}
+    if by == "relevance":
+        unranked = F.col("rank").isNull()
+        coarse[by] = [Coarse(F.when(unranked, 1 << 50).otherwise(F.floor(F.col("rank") / 1024))),
+                      *[Coarse(F.when(unranked, F.col(c)), descending=True) for c in ("last_seen", "last_snapshot")],
+                      Coarse(F.when(unranked, F.substring("url", 1, 24)))]
+    return ordered.row_number(pages, [], sort_keys(by), coarse[by], "place")
 
 
 def library_stats(tabs: DataFrame, forgotten: DataFrame) -> DataFrame:

@@ -29,9 +29,14 @@ def plan_keys() -> list[Column]:
 
 
 def numbered(plan: DataFrame, keys: list[str] = (), name: str = "place") -> DataFrame:
-    """Plan places 1..n, in all or per key, without sorting the plan in one task."""
-    return ordered.row_number(plan, list(keys), plan_keys(),
-                              [Coarse(F.date_trunc("day", F.col("seen.captured_at")), descending=True)], name)
+    """Plan places 1..n, in all or per key, without sorting the plan in one task.
+
+    A bucket is one window of one snapshot, and of a large window 1,024 positions: most pages were last seen in the
+    newest snapshot.
+    """
+    coarse = [*[Coarse(F.col(f"seen.{c}"), descending=True) for c in ("captured_at", "base", "ordinal")],
+              Coarse(F.col("seen.window")), Coarse(F.floor(F.col("seen.position") / 1024))]
+    return ordered.row_number(plan, list(keys), plan_keys(), coarse, name)
 
 
 def http_outcome(status: Column) -> Column:

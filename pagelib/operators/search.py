@@ -111,8 +111,9 @@ def rrf(sources: dict[str, DataFrame], among: DataFrame) -> DataFrame:
 def fused_order(fused: DataFrame) -> DataFrame:
     return ordered.row_number(fused, [], [F.desc("fused"), F.asc("id")],
                               [Coarse(F.floor(F.col("fused") * 65536), descending=True),
-                               Coarse(ordered.id_bucket("id", 1 << 16))] if dict(fused.dtypes)["id"] in ("bigint", "int")
-                              else [Coarse(F.floor(F.col("fused") * 65536), descending=True)], "place")
+                               # Every page that no source ranks has 0: these are told apart by their ids.
+                               Coarse(F.when(F.col("fused") == 0, ordered.id_bucket("id", 1 << 10)
+                                             if dict(fused.dtypes)["id"] in ("bigint", "int") else F.substring("id", 1, 24)))], "place")
 
 
 def hybrid_search(vectors: DataFrame, query_vector: Column, keyword: DataFrame, among: DataFrame,

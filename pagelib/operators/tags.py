@@ -122,10 +122,18 @@ def apply_tags(requests: DataFrame, page_tags: DataFrame, vocabulary: DataFrame,
                now: Column) -> dict[str, DataFrame]:
     """Applies requests (url, name, action ∈ add/remove/clear, seq); the last per page and name holds.
 
-    Adding creates an unknown name and revives a retired one; removing or
-    clearing an unknown name does nothing. Returns the new `page_tags` and
-    `vocabulary`, and an `outcome` per request that holds, with the side before.
+    Names are stored with single spaces; an empty, long or control-character name is
+    refused, with the problem as its outcome. Adding creates an unknown name and revives a
+    retired one; removing or clearing an unknown name does nothing. Returns the new
+    `page_tags` and `vocabulary`, and an `outcome` per request that holds, with the side
+    before.
     """
+    read = requests.withColumn("stored", text.normalize_tag("name"))
+    none = F.lit(None).cast("string")
+    refused = read.where(F.col("stored.problem").isNotNull()).groupBy("url", text.fold_tag("name").alias("fold")).agg(
+        F.max_by("action", "seq").alias("action"), F.min("stored.problem").alias("problem")).select(
+        "url", "fold", none.alias("spelling"), "action", none.alias("before"), none.alias("after"), F.col("problem").alias("outcome"))
+    requests = read.where(F.col("stored.problem").isNull()).withColumn("name", F.col("stored.name")).drop("stored")
     last = (requests.withColumn("fold", text.fold_tag("name")).groupBy("url", "fold")
             .agg(F.max_by(F.struct("action", "name"), "seq").alias("r"), F.min("seq").alias("first_seq"))
             .select("url", "fold", "r.action", "r.name", "first_seq"))
@@ -161,7 +169,7 @@ def apply_tags(requests: DataFrame, page_tags: DataFrame, vocabulary: DataFrame,
         F.coalesce("name", "name2").alias("name"), F.coalesce("created_at", now).alias("created_at"),
         F.when(~F.coalesce("revived", F.lit(False)), F.col("retired_at")).alias("retired_at"), "definition",
         F.when(F.col("used"), now).otherwise(F.col("used_at")).alias("used_at"))
-    return {"page_tags": untouched.unionByName(decided), "vocabulary": new_vocabulary, "outcome": outcome}
+    return {"page_tags": untouched.unionByName(decided), "vocabulary": new_vocabulary, "outcome": outcome.unionByName(refused)}
 
 
 def undo_tags(undo: DataFrame, page_tags: DataFrame, vocabulary: DataFrame, known: DataFrame) -> DataFrame:
@@ -178,9 +186,13 @@ def undo_tags(undo: DataFrame, page_tags: DataFrame, vocabulary: DataFrame, know
 def edit_vocabulary(edits: DataFrame, vocabulary: DataFrame, now: Column) -> dict[str, DataFrame]:
     """One batch of edits (name, action ∈ create/retire/define, definition, seq).
 
-    `problems` lists names asked both to come and to go, and retired names the
-    vocabulary lacks; the new vocabulary and outcomes ignore the latter.
+    Names are stored with single spaces. `problems` lists names that cannot be stored,
+    names asked both to come and to go, and retired names the vocabulary lacks; the new
+    vocabulary and outcomes ignore the last.
     """
+    read = edits.withColumn("stored", text.normalize_tag("name"))
+    refused = read.where(F.col("stored.problem").isNotNull()).select("name", F.col("stored.problem").alias("problem")).distinct()
+    edits = read.where(F.col("stored.problem").isNull()).withColumn("name", F.col("stored.name")).drop("stored")
     e = edits.withColumn("fold", text.fold_tag("name")).groupBy("fold").agg(
         F.bool_or(F.col("action").isin("create", "define")).alias("comes"),
         F.bool_or(F.col("action") == "retire").alias("goes"),
@@ -205,7 +217,7 @@ def edit_vocabulary(edits: DataFrame, vocabulary: DataFrame, now: Column) -> dic
         F.coalesce("name", "typed").alias("name"), F.coalesce("created_at", now).alias("created_at"),
         F.when(come, F.lit(None)).when(go, F.coalesce("retired_at", now)).otherwise(F.col("retired_at"))
         .alias("retired_at"), new_definition.alias("definition"), "used_at", changed.alias("changed"))
-    return {"vocabulary": merged.drop("changed"), "problems": problems,
+    return {"vocabulary": merged.drop("changed"), "problems": problems.unionByName(refused),
             "outcome": merged.where(F.col("changed") != "").select("name", "changed")}
 
 

@@ -182,12 +182,13 @@ SELECT doc_id AS video, i AS seq, (i * 2)::DOUBLE AS start, (i * 2 + 1 + doc_id
 
 def cues(t: Tables):
     d = t.raw("documents").select(F.col("doc_id").alias("video"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    n = F.greatest(F.floor(F.size("w") / 4), F.lit(1))
+    n = F.greatest(F.floor(F.size("w") / 4), F.lit(1)).cast("int")
     i = F.col("seq")
-    c = d.select("video", "w", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq"))
+    # A cue carries its own words only, not the document's.
+    said = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice("w", k * 4 + 1, F.lit(8)), " "))
+    c = d.select("video", F.posexplode(said).alias("at", "text")).withColumn("seq", F.col("at").cast("long"))
     return c.select("video", "seq", (i * 2).cast("double").alias("start"),
-                    (i * 2 + 1 + F.col("video") % 3).cast("double").alias("end"), (F.col("video") % 2 == 0).alias("rolling"),
-                    F.array_join(F.slice("w", (i * 4 + 1).cast("int"), F.lit(8)), " ").alias("text"))
+                    (i * 2 + 1 + F.col("video") % 3).cast("double").alias("end"), (F.col("video") % 2 == 0).alias("rolling"), "text")
 
 
 @query("dedupe_captions", """

@@ -295,6 +295,15 @@ for _by, _order in _SORTS.items():
     _sort(_by, _order)
 
 
+@query("sort_pages_relevance", """
+SELECT url, row_number() OVER (ORDER BY rank NULLS LAST, last_seen DESC, last_snapshot DESC, url) AS place FROM
+ (SELECT *, CASE WHEN last_position % 3 <> 0 THEN last_position * 7 % 50 END AS rank FROM kept_pages)""")
+def _sort_relevance(t):
+    at = F.col("last_position")
+    ranked = pages_of(t).withColumn("rank", F.when(at % 3 != 0, at * 7 % 50))
+    return lib.place_pages(materialise(ranked, "pages"), "relevance").select("url", "place")
+
+
 @query("limit_more", """
 SELECT url, (SELECT greatest(count(*) - 40, 0) FROM kept_pages) AS more FROM
  (SELECT url FROM kept_pages ORDER BY last_seen DESC, last_snapshot DESC, last_window, last_position, url LIMIT 40)""")
@@ -311,16 +320,16 @@ SELECT p.*, p.url IN (SELECT url FROM forgotten) AS forgotten,
 
 
 def faceted(t: Tables):
-    """Pages with the lists the page view filters on."""
+    """Pages with the lists the page view filters on; written once, as the filters read them several times."""
     p = lib.library_pages(t.sightings(), t.forgotten(), shape="serve")
     groups = t.sightings().where("group is not null").groupBy("url").agg(
         F.collect_set(F.lower("group")).alias("groups"))
     tags = t.page_tags().where("side = 'add'").groupBy("url").agg(F.collect_set(F.lower("name")).alias("tags"))
     answered = t.suggested().select("url").distinct().withColumn("has_suggested", F.lit(True))
     none = F.array().cast("array<string>")
-    return (p.join(groups, "url", "left").join(tags, "url", "left").join(answered, "url", "left")
-            .withColumns({"groups": F.coalesce("groups", none), "tags": F.coalesce("tags", none),
-                          "has_suggested": F.coalesce("has_suggested", F.lit(False))}))
+    return materialise(p.join(groups, "url", "left").join(tags, "url", "left").join(answered, "url", "left")
+                       .withColumns({"groups": F.coalesce("groups", none), "tags": F.coalesce("tags", none),
+                                     "has_suggested": F.coalesce("has_suggested", F.lit(False))}), "faceted")
 
 
 @query("facet_filter", """
