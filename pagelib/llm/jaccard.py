@@ -8,10 +8,9 @@ a probe adds up its overlap along a path once for all sets below, and leaves a s
 reach the bound.
 
 Components take two rounds, so that no group is expanded into pairs. First each class is tried against its centre, the
-class it meets most often among the smallest ones of their shared shingles. Then every class is tried against the
-families it meets, a family being the classes of one centre: it visits the family's tries, tile by tile, and passes over
-what is already in its component. Every link between different components is found, and links inside one need not be.
-Exact: no sampling, no cap.
+class it meets most often among the leading ones of their shared shingles. Then every class is tried against each *other
+component* it meets, in tiles of that component's members, until one link is found. Every link between different
+components is found, and links inside one need not be. Exact: no sampling, no cap.
 
 Rows are the documents: a repeated doc_id is joined by its text alone. Null, empty or blank texts have no shingle and
 link with nothing; a null doc_id is never the smallest. Other columns are ignored. An empty table gives an empty result.
@@ -111,8 +110,9 @@ def prefix_rows(counts):
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shingles that several classes hold, with the smallest class of each; rows come sorted by (token, class).
+    """Rows of shingles that several classes hold, with the leading class of each; rows come sorted by (token, pos, class).
 
+    A class leads where fewest rarer shingles stand before: in a family of edited copies, the copy with the fewest edits.
     Only a run's first row is kept in memory, so a shingle may have any number of rows.
     """
     first, told = None, False    # first row of the run that reaches into the next batch; whether it has been passed on
@@ -310,56 +310,52 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
 
     prefixes = texts.mapInArrow(prefix_rows(counts), PREFIXES)
-    shared = materialise(prefixes.repartition("token").sortWithinPartitions("token", "class")
+    shared = materialise(prefixes.repartition("token").sortWithinPartitions("token", "pos", "class")
                          .mapInArrow(shared_rows, SHARED), "jaccard-shared")
 
-    # Round 1: each class against its centre, the one it meets most often, if what they share can suffice.
+    # Round 1: each class against its centre, the one it meets most often, if what they share may suffice. A class counts
+    # as met only where it leads a shingle's run, so half of what the bound asks for is enough here.
     stars = (shared.where("class <> centre").groupBy("class", "n", "centre", "centre_n")
              .agg(F.count("*").alias("met"), F.max("fits").alias("fits"))
-             .withColumn("hopeful", F.col("fits") & (F.col("met") >= least_met(F.col("n"), F.col("centre_n"))))
-             .groupBy("class").agg(F.max_by(F.struct("centre", "hopeful"), F.struct("hopeful", "met", "centre")).alias("best"))
-             .select("class", "best.*"))
+             .where(F.col("fits") & (2 * F.col("met") >= least_met(F.col("n"), F.col("centre_n"))))
+             .groupBy("class").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre")))
     stars = materialise(stars, "jaccard-stars")
-    hopeful = stars.where("hopeful")
-    fans = hopeful.groupBy("centre").agg(F.count("*").alias("fans"))
-    targets = hopeful.join(fans, "centre").select(F.col("centre").alias("k1"), tile_of("class", "fans").alias("k2"),
-                                                  F.lit(0).cast("long").alias("k3"), "class")
+    fans = stars.groupBy("centre").agg(F.count("*").alias("fans"))
+    targets = stars.join(fans, "centre").select(F.col("centre").alias("k1"), tile_of("class", "fans").alias("k2"),
+                                                F.lit(0).cast("long").alias("k3"), "class")
     probes = targets.select("k1", "k2", "k3", F.col("k1").alias("class")).distinct()
     links = compare(targets, probes, texts, classes)
 
-    # Round 2: each class against the families it meets, a family being the classes of one centre.
+    # Round 2: each class against the other components it meets; the smaller component asks.
     found = components(links, "jaccard-first")
     member = (shared.groupBy("class").agg(F.first("n").alias("n")).join(found, F.col("class") == F.col("node"), "left")
-              .join(stars.select("class", "centre"), "class", "left")
-              .select("class", "n", F.coalesce("component", "class").alias("component"), F.coalesce("centre", "class").alias("family")))
-    member = materialise(member, "jaccard-members")
-    family = member.groupBy("family").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"),
-                                          F.min("component").alias("c1"), F.max("component").alias("c2"))
-    met = shared.select("token", "class", "pos").join(member, "class").repartition("token")
-    groups = (met.groupBy("token", F.col("family").alias("k1"))
-              .agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("here"))
-              .withColumn("all_here", F.sum("here").over(Window.partitionBy("token"))).where("all_here > 1").drop("all_here"))
-    own = F.col("family") == F.col("k1")
-    # The smaller family id asks the larger one; inside a family every class asks.
-    asks = (met.select("token", "class", "n", "pos", "family").join(groups, "token")
-            .where((F.col("family") < F.col("k1")) | (own & (F.col("here") > 1)))
-            .withColumn("fits", F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.ceil(4 * (F.col("n") + F.col("least")) / 9))
-            .groupBy("class", "k1").agg(F.count("*").alias("met"), F.max("fits").alias("fits")).where("fits")
-            .join(member.select("class", "n", "component", "family"), "class")
-            .join(family.withColumnRenamed("family", "k1"), "k1")
-            .where((F.col("c1") != F.col("component")) | (F.col("c2") != F.col("component"))))
-    pair = own & (F.col("members") == 2)        # one other class, of known size
-    low = F.when(pair, F.col("low") + F.col("high") - F.col("n")).otherwise(
-        F.least("high", F.greatest("low", F.ceil(F.col("n") * 4 / 5))))
-    high = F.when(pair, low).otherwise(F.greatest("low", F.least("high", F.floor(F.col("n") * 5 / 4))))
-    asks = (asks.where(F.col("met") >= F.least(least_met(F.col("n"), low), least_met(F.col("n"), high)))
+              .select("class", "n", F.coalesce("component", "class").alias("component")))
+    size = member.groupBy("component").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    member = materialise(member.join(size, "component"), "jaccard-members")
+    met = shared.select("token", "class", "pos").join(member.select("class", "n", "component", "members"), "class").repartition("token")
+    groups = (met.groupBy("token", F.col("component").alias("k1"))
+              .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"),
+                   F.first("members").alias("k1_members"))
+              .withColumn("others", F.count("*").over(Window.partitionBy("token"))).where("others > 1").drop("others"))
+    # One shared shingle must leave enough behind it, in sizes that can link at all.
+    fits = ((F.least(F.col("n") - F.col("pos"), F.col("rest")) >= F.ceil(4 * (F.col("n") + F.col("least")) / 9))
+            & (5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most"))
+            & (F.struct("members", "component") < F.struct("k1_members", "k1")))
+    asks = materialise(met.join(groups, (met["token"] == groups["token"]) & fits).select("class", "n", "component", "k1").distinct(),
+                       "jaccard-candidates")
+    # All the prefix shingles they share must make up for what may be shared beyond the prefixes.
+    other = size.select(F.col("component").alias("k1"), "members", "low", "high")
+    low = F.least("high", F.greatest("low", F.ceil(F.col("n") * 4 / 5)))
+    high = F.greatest("low", F.least("high", F.floor(F.col("n") * 5 / 4)))
+    asks = (asks.join(met.select("class", "token"), "class").join(groups.select("token", "k1"), ["token", "k1"])
+            .groupBy("class", "n", "component", "k1").agg(F.count("*").alias("met")).join(other, "k1")
+            .where(F.col("met") >= F.least(least_met(F.col("n"), low), least_met(F.col("n"), high)))
             .select("class", "component", "k1", "members"))
     asks = materialise(asks, "jaccard-asks")
     chunks = asks.groupBy("k1").agg(F.count("*").alias("asking"))
     asks = asks.join(chunks, "k1").withColumn("k3", F.pmod(F.xxhash64("class"), F.ceil(F.col("asking") / PROBES)))
     probes = asks.withColumn("k2", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / TILE))))
-    targets = (member.join(chunks, F.col("family") == F.col("k1")).join(family.select("family", "members"), "family")
-               .withColumn("k2", tile_of("class", "members"))
+    targets = (member.join(chunks, F.col("component") == F.col("k1")).withColumn("k2", tile_of("class", "members"))
                .withColumn("k3", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("asking") - 1) / PROBES)))))
     more = compare(targets, probes, texts, classes)
 
