@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pagelib.llm.common import components, query, table
+from pagelib.llm.common import components, query, small, table
 from pagelib.llm.topk import finite, matrix
 from pagelib.session import materialise
 
@@ -105,19 +105,19 @@ def place(forest, dims: int, spill: float):
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             edges = np.searchsorted(row, np.arange(len(m) + 1))
-            lists = [leaf[a:b] for a, b in zip(edges, edges[1:])]
+            lists = [leaf[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            vectors = [v.tobytes() for v in m]
             yield pd.DataFrame({"leaf": leaf, "class": batch["class"].to_numpy()[row], "copies": batch["copies"].to_numpy()[row],
-                                "v": [m[i] for i in row], "leaves": [lists[i] for i in row]})
+                                "v": [vectors[i] for i in row], "leaves": [lists[i] for i in row]})
 
     return go
 
 
 def padded(lists: pd.Series) -> np.ndarray:
     """Leaf lists as one array; ends are filled with -1."""
-    width = max(map(len, lists))
-    out = np.full((len(lists), width), -1, dtype=np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+    sizes = np.array([len(x) // 8 for x in lists])
+    out = np.full((len(lists), sizes.max()), -1, dtype=np.int64)
+    out[np.arange(sizes.max())[None, :] < sizes[:, None]] = np.frombuffer(b"".join(lists), dtype=np.int64)
     return out
 
 
@@ -136,7 +136,7 @@ def compare_tile(cosine: float):
     """Links inside one tile: counts by class, and a spanning forest of them (rows with links 0)."""
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         leaf = int(frame["leaf"].iat[0])
-        m = np.stack(frame["v"].to_numpy())
+        m = np.frombuffer(b"".join(frame["v"]), dtype=np.float64).reshape(len(frame), -1)
         names, copies, side = (frame[c].to_numpy() for c in ("class", "copies", "side"))
         lists = padded(frame["leaves"])
         near = (m @ m.T) >= cosine
@@ -183,10 +183,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     forest = spark.sparkContext.broadcast(plant(points, total, trees, seed))
 
     placed = materialise(classes.select("class", "copies", "v").mapInPandas(
-        place(forest, dims, spill), "leaf long, class long, copies long, v array<double>, leaves array<long>"), "forest-leaves")
+        place(forest, dims, spill), "leaf long, class long, copies long, v binary, leaves binary"), "forest-leaves")
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = placed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    # There are at most trees * sample / LEAST_SAMPLE leaves.
+    dealt = placed.join(small(sizes, trees * sample // LEAST_SAMPLE), "leaf").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(
         F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"), (F.col("block") > o).cast("int").alias("side")))
     tiles = dealt.withColumn("t", F.explode(others)).select("leaf", "t.x", "t.y", "t.side", "class", "copies", "v", "leaves")
