@@ -132,13 +132,13 @@ def place_pages(pages: DataFrame, by: str) -> DataFrame:
     down = lambda *names: [Coarse(F.col(c), descending=True) for c in names]
     spot = [Coarse(F.col("last_window")), Coarse(F.floor(F.col("last_position") / 1024))]
     coarse = {"last": [*down("last_seen", "last_snapshot"), *spot], "first": [*down("first_seen", "first_snapshot"), *spot],
-              "count": [*down("times_seen", "last_snapshot"), Coarse(F.col("last_window")), Coarse(F.substring("url", 1, 24))],
-              "title": [Coarse(F.substring(F.lower(text.sort_name("title", "url")), 1, 12))], "url": [Coarse(F.substring("url", 1, 40))]}
+              "count": [*down("times_seen", "last_snapshot"), Coarse(F.col("last_window")), Coarse(F.substring("url", 1, 48))],
+              "title": [Coarse(F.substring(F.lower(text.sort_name("title", "url")), 1, 12))], "url": [Coarse(F.substring("url", 1, 48))]}
     if by == "relevance":
         unranked = F.col("rank").isNull()
         coarse[by] = [Coarse(F.when(unranked, 1 << 50).otherwise(F.floor(F.col("rank") / 1024))),
                       *[Coarse(F.when(unranked, F.col(c)), descending=True) for c in ("last_seen", "last_snapshot")],
-                      Coarse(F.when(unranked, F.substring("url", 1, 24)))]
+                      Coarse(F.when(unranked, F.substring("url", 1, 48)))]
     return ordered.row_number(pages, [], sort_keys(by), coarse[by], "place")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -11,7 +13,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagelib.functions import vectors as V
+from pagelib.functions import heads, vectors as V
 from pagelib.functions import ordered
 from pagelib.functions.ordered import Coarse
 from pagelib.operators.evaluate import average_precision, best_threshold, stratified_folds
@@ -19,6 +21,7 @@ from pagelib.operators.vectors import blocked_products, top_k_neighbours
 from pagelib.session import materialise
 
 MIN_POSITIVES = 10
+TRAIN_ROWS = 20_000   # labelled rows that heads are fitted on, at most
 SUGGEST = 8
 NO_MATCH_JACCARD = 0.1
 NEIGHBOURS = [5, 10, 20, 40, 80]
@@ -43,55 +46,43 @@ def _decisions(model, scaled: DataFrame, tag) -> DataFrame:
 
 
 def fit_tag_heads(vectors: DataFrame, labels: DataFrame, apply_to: DataFrame, cs: list[float] = (0.001, 0.01, 0.1),
-                  inner: int = 3, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
+                  inner: int = 3, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
     """(scores, rules): a balanced logistic head per tag with ten positives or more.
 
-    C is chosen by out-of-fold average precision and the threshold by out-of-fold F1.
-    Features are standardised once for all tags and written out. Each fit is a Spark
-    job over all rows, several submitted at a time; only coefficients come back, and
-    all heads score all rows in one blocked product.
+    Only labelled rows are fitted; beyond `train_rows` of them, a share chosen by hash. Their vectors are broadcast once
+    (at most train_rows * dimensions numbers), tags are dealt over tasks, and each task standardises, balances and
+    penalises inside the rows of its fit. C is chosen by out-of-fold average precision and the threshold by out-of-fold
+    F1. The heads score all rows of `apply_to` in one blocked product.
     """
     spark = vectors.sparkSession
     lab = labels.select("id", "tag").distinct()
-    counts = {r["tag"]: r["n"] for r in lab.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= MIN_POSITIVES).orderBy("tag").toLocalIterator()}
-    folds = materialise(stratified_folds(labels, inner), "folds")
-    raw = _features(vectors)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(raw)
-    scaled = materialise(scaler.transform(raw).select("id", "features").join(folds, "id", "left").na.fill(0, ["fold"]), "scaled")
-    n = scaled.count()
-
-    def head(job):
-        tag, c, fold = job
-        has = lab.where(F.col("tag") == tag).select("id", F.lit(1.0).alias("label"))
-        rows = scaled if fold is None else scaled.where(F.col("fold") != fold)
-        rows = rows.join(has, "id", "left").na.fill(0.0, ["label"])
-        pos = counts[tag]
-        weight = F.when(F.col("label") == 1.0, n / (2.0 * pos)).otherwise(n / (2.0 * max(n - pos, 1)))
-        model = _fit(rows.withColumn("weight", weight), n, c)
-        return [float(x) for x in model.coefficients] + [float(model.intercept)]
-
-    def fit_all(jobs):
-        with ThreadPoolExecutor(parallel) as pool:
-            found = list(pool.map(head, jobs))
-        return spark.createDataFrame(list(enumerate(found)), "id int, vector array<double>")
-
-    with_one = lambda df: df.select("id", F.concat(vector_to_array("features"), F.array(F.lit(1.0))).alias("vector"))
+    n = lab.select("id").distinct().count()
+    lot = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20))
+    lab = materialise(lab.where(lot < int((1 << 20) * min(1.0, train_rows / max(n, 1)))), "labels")
+    folds = materialise(stratified_folds(lab, inner), "folds")
+    sample = vectors.join(folds, "id").select("id", "fold", V.doubles("vector").alias("vector")).orderBy("id").toPandas()
+    shared = spark.sparkContext.broadcast((
+        np.array(sample["vector"].tolist(), dtype=np.float64), sample["fold"].to_numpy(), {k: i for i, k in enumerate(sample["id"].tolist())}))
     kind = labels.schema["tag"].dataType.simpleString()
-    jobs = [(t, float(c), i) for t in counts for c in cs for i in range(inner)]
-    names = spark.createDataFrame([(i, *j) for i, j in enumerate(jobs)], f"right int, tag {kind}, c double, of int")
-    oof = (blocked_products(with_one(scaled), fit_all(jobs)).join(names, "right")
-           .join(scaled.select(F.col("id").alias("left"), "fold"), "left").where(F.col("fold") == F.col("of"))
-           .select(F.col("left").alias("id"), "tag", "c", "score"))
-    truth = materialise(oof.join(lab.withColumn("y", F.lit(1)), ["id", "tag"], "left").na.fill(0, ["y"]), "oof")
-    judged = best_threshold(truth, ["tag", "c"]).join(average_precision(truth, ["tag", "c"]), ["tag", "c"])
-    rules = judged.groupBy("tag").agg(F.max_by(F.struct("c", "threshold", "ap"), F.struct("ap", -F.col("c"))).alias("r")).select("tag", "r.*")
-    rules = materialise(rules, "rules")
-    final = [(r["tag"], r["c"], None) for r in rules.toLocalIterator()]
-    names = spark.createDataFrame([(i, j[0]) for i, j in enumerate(final)], f"right int, tag {kind}")
-    target = with_one(scaler.transform(_features(apply_to)).select("id", "features"))
-    scores = blocked_products(target, fit_all(final)).join(names, "right").select(F.col("left").alias("id"), "tag", "score")
-    return scores, rules
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, fold, row = shared.value
+        for batch in batches:
+            fitted = []
+            for ids in batch["ids"]:
+                y = np.zeros(len(x))
+                y[[row[k] for k in ids if k in row]] = 1
+                fitted.append(heads.choose_and_fit(x, y, fold, list(cs)))
+            c, threshold, ap, vector = zip(*fitted) if fitted else ((), (), (), ())
+            yield pd.DataFrame({"tag": batch["tag"], "c": c, "threshold": threshold, "ap": ap, "vector": list(vector)})
+
+    held = lab.groupBy("tag").agg(F.collect_list("id").alias("ids")).where(F.size("ids") >= MIN_POSITIVES)
+    tags = max(1, held.count())
+    rules = materialise(held.repartition(min(tags, spark.sparkContext.defaultParallelism * 4), "tag")
+                        .mapInPandas(fit, f"tag {kind}, c double, threshold double, ap double, vector array<double>"), "rules")
+    with_one = apply_to.select("id", F.concat(V.doubles("vector"), F.array(F.lit(1.0))).alias("vector"))
+    scores = blocked_products(with_one, rules.select(F.col("tag").alias("id"), "vector"))
+    return scores.select(F.col("left").alias("id"), F.col("right").alias("tag"), "score"), rules.drop("vector")
 
 
 def fit_prior(labels: DataFrame, pages: DataFrame) -> DataFrame:

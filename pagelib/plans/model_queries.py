@@ -116,22 +116,20 @@ def _knn(t):
 
 @query("fit_knn")
 def _fit_knn(t):
-    return models.fit_knn(t.vectors(), labels_of(t), [5, 10, 20])
+    return models.fit_knn(t.vectors(), labels_of(t), [5, 10, 20, 40, 80])
 
 
 @query("fit_tag_heads")
 def _heads(t):
     v = t.vectors()
     labels = v.select("id", F.col("label").alias("tag"))
-    scores, rules = models.fit_tag_heads(v, labels, v, cs=[0.01], inner=2)
+    scores, rules = models.fit_tag_heads(v, labels, v)
     return scores.groupBy("tag").agg(F.count(F.lit(1)).alias("pages"), F.avg("score").alias("mean")).join(rules, "tag")
 
 
-def simple_heads(train, labels, apply_to):
-    """Unit class means as heads: cheap to fit on any fold."""
-    q = vec.class_means(train, labels).select(F.col("tag").alias("id"), "vector")
-    s = vec.blocked_products(apply_to, q)
-    return s.select(F.col("left").alias("id"), F.col("right").alias("tag"), "score")
+def real_heads(train, labels, apply_to):
+    """Logistic heads fitted on the rows of a fold."""
+    return models.fit_tag_heads(train, labels, apply_to)[0]
 
 
 @query("cross_validate")
@@ -141,7 +139,7 @@ def _cross(t):
     folds = materialise(evaluate.stratified_folds(labels), "folds")
 
     def fit_and_score(train, test):
-        return simple_heads(train.select("id", "vector"), labels.join(train.select("id"), "id", "left_semi"), test.select("id", "vector"))
+        return real_heads(train.select("id", "vector"), labels.join(train.select("id"), "id", "left_semi"), test.select("id", "vector"))
 
     s = evaluate.cross_validate(v.select("id", "vector"), folds, 5, fit_and_score)
     rows = s.join(v.select("id", "label"), "id").select("tag", "score", (F.col("label") == F.col("tag")).cast("int").alias("y"),
@@ -154,7 +152,7 @@ def _predictions(t):
     v = t.vectors()
     labels = v.where("id % 3 <> 0").select("id", F.col("label").alias("tag"))
     folds = materialise(evaluate.stratified_folds(labels, 3), "folds")
-    p = models.page_predictions(v.select("id", "vector"), labels, folds, 3, simple_heads)
+    p = models.page_predictions(v.select("id", "vector"), labels, folds, 3, real_heads)
     return p.groupBy("tag", "origin").agg(F.count(F.lit(1)).alias("cells"), F.avg("score").alias("mean"))
 
 
