@@ -155,13 +155,16 @@ def _suggestions(t):
 
 # --- streams: the log is a file stream in three batches
 
+PART_FILES = 4
+
+
 def streamed(t: Tables, df) -> object:
-    """A table as a stream of three files, in the order of seq or time."""
+    """A table as a stream of three parts in the order of seq or time, each of several files that come as one batch."""
     path = scratch(t.spark, "stream")
     for part in range(3):
-        df.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+        df.where(F.col("part") == part).drop("part").repartition(PART_FILES).write.mode("append").parquet(path)
     schema = df.drop("part").schema
-    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", PART_FILES).parquet(path)
 
 
 def thirds(t: Tables, column: str = "seq"):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -111,10 +110,8 @@ def change_stream(captures: DataFrame, out: str, checkpoint: str) -> DataFrame:
     keys = ["browser", "profile"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            carried = spark.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
-        except AnalysisException:
-            carried = None
+        # A lost state folder is an error: without it the next captures would be compared with nothing.
+        carried = spark.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
         rows = ordered.lag(batch, keys, [F.col("captured_at"), F.col("id")], ["captured_at", "id"],
                            [Coarse(F.date_trunc("hour", "captured_at"))], "previous", F.col("digest"))
         last = batch.groupBy(*keys).agg(F.max_by("digest", F.struct("captured_at", "id")).alias("last"))
