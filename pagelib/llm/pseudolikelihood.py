@@ -38,8 +38,8 @@ DIMS, HIDDEN = 8, 24
 BATCH = 2048         # windows of one step
 RATE = 0.1
 ROUNDS = 1
-FLUSH_WORDS = 300_000
-CACHE_WORDS = 400_000
+FLUSH_WORDS = 150_000
+CACHE_WORDS = 120_000
 PLACES = WORDS + BUCKETS
 OUTSIDE = PLACES     # before the first and after the last word
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]

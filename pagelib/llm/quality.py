@@ -29,7 +29,7 @@ NEIGHBOURS = 15
 SHARPNESS = 12       # a neighbour votes with similarity to this power
 CUT = 0.3
 BLOCK = 256          # texts compared at a time
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 
 WORDS, SHAPES, HABITS = 1024, 512, 64
 WIDTH = WORDS + SHAPES + HABITS

@@ -32,7 +32,7 @@ CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LETTERS = "A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff"      # Latin, Greek, Cyrillic
 PART = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}]+|{SPACE}+")
 LETTER = re.compile(f"[{LETTERS}]")
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000
 
 
 class Codec:

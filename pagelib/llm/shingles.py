@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 
 WIDTH = 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 # Odd multipliers, one for each place in a shingle; short texts use the same ones after a start of their own.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                   dtype=np.uint64)

@@ -31,7 +31,7 @@ from pagelib.llm.common import query, table
 RUN = 3              # consecutive sentences hashed together
 PIECE_WORDS = 16     # a longer sentence counts as several
 LEAST_WORDS = 45     # of a stretch that is removed
-BUFFER_RUNS = 2_000_000
+BUFFER_RUNS = 500_000
 NULL_ID = -(1 << 63)
 
 BREAK = re.compile(r"(?<=[.!?…])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ0-9,;:])[ \t]+(?=[A-ZÀ-ÖØ-Þ])")

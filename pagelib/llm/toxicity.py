@@ -2,9 +2,10 @@
 
 Words that carry signs of disguise (digits or symbols among letters, runs of one letter, letters set apart) are
 restored: a Viterbi search runs over the lattice of what each run of equal characters may stand for, under a character
-trigram model of the whole corpus. The restored words are then scored. A feature (a restored word, or its first five
-letters) counts by the lower confidence bound of its share of toxic documents among the training rows that hold it;
-a text's score is the chance that at least one of its features is right.
+trigram model of the whole corpus. The restored words are then scored. A feature (a restored word, or its first five to
+seven letters) is kept where toxic texts hold it more often than chance explains, however many features are tried; it
+weighs its share of toxic texts among the training rows that hold it. A text's score is the chance that at least one of
+its features is right.
 
 Null and empty texts score 0. Texts are read whole, however long. Rows that repeat score alike; other columns are
 kept as they are. Without labelled rows every score is 0; an empty table gives an empty result.
@@ -23,14 +24,17 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pagelib.llm.common import distinct_passages, held_out, labelled_sample, query, table
+from pagelib.session import materialise
 
 TRAIN_ROWS = 30_000      # bound of the labelled sample that the features are learned from
 MOST_FEATURES = 50_000   # features kept, the surest first
-Z = 3.0                  # of the lower confidence bound
-LEAST_BOUND = 0.4        # of a feature; six toxic rows and no clean one reach it
+LEAST_ROWS = 5           # training rows that hold a feature
+LEAST_SHARE = 0.75       # of toxic rows among them
+CHANCE = 0.01            # that any feature of a clean vocabulary is kept
+EVERY = ""               # counts all rows
 CUT = 0.5
-PREFIX = 5
-CACHE_WORDS = 400_000    # a worker forgets its word cache beyond this
+PREFIXES = (5, 6, 7)     # letters of the beginnings that count beside a whole word
+CACHE_WORDS = 100_000   # a worker forgets its word cache beyond this
 
 # What a character often stands for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -50,21 +54,29 @@ def letter(c: str) -> int:
 def trigram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Character trigrams of all words of a task's texts, as (gram, n) with gram in 0 .. 28^3 - 1."""
     total = np.zeros(28 ** 3, dtype=np.int64)
-    known: dict[str, list[int]] = {}
+    counts: Counter = Counter()
+
+    def settle():
+        grams: list[int] = []
+        weights: list[int] = []
+        for word, n in counts.items():
+            ids = [0, 0, *map(letter, word), 0]
+            grams += [(a * 28 + b) * 28 + c for a, b, c in zip(ids, ids[1:], ids[2:])]
+            weights += [n] * (len(word) + 1)
+            if len(grams) > 200_000:
+                total[:] += np.bincount(np.array(grams, dtype=np.int64), weights=weights, minlength=28 ** 3).astype(np.int64)
+                grams, weights = [], []
+        total[:] += np.bincount(np.array(grams, dtype=np.int64), weights=weights, minlength=28 ** 3).astype(np.int64)
+        counts.clear()
+
     for batch in batches:
-        counts: Counter = Counter()
         for text in batch["text"]:
             if text:
                 counts.update(text.lower().split())
-        for word, n in counts.items():
-            grams = known.get(word)
-            if grams is None:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                ids = [0, 0, *map(letter, word), 0]
-                grams = known[word] = [(a * 28 + b) * 28 + c for a, b, c in zip(ids, ids[1:], ids[2:])]
-            for g in grams:
-                total[g] += n
+                if len(counts) > CACHE_WORDS:
+                    settle()
+    if counts:
+        settle()
     at = np.flatnonzero(total)
     yield pd.DataFrame({"gram": at, "n": total[at]})
 
@@ -135,7 +147,7 @@ def features_of(word: str, model: np.ndarray) -> tuple[str, ...]:
         word = restore(word, model)
     if len(word) < 3:
         return ()
-    return (word, word[:PREFIX] + "*") if len(word) > PREFIX else (word,)
+    return (word, *[word[:n] + "*" for n in PREFIXES if len(word) > n])
 
 
 def words_of(text: str) -> set[str]:
@@ -159,7 +171,7 @@ def feature_counts(model: np.ndarray):
 
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                found: set[str] = set()
+                found: set[str] = {EVERY}
                 for w in words_of(text):
                     f = cache.get(w)
                     if f is None:
@@ -180,14 +192,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     """The character model of all `docs` and the features learned from labelled rows that are not held out."""
     model = character_model(docs)
     sample = distinct_passages(labelled_sample(docs, labels, "toxic", train_rows))
+    counts = materialise(sample.mapInPandas(feature_counts(model), "feature string, toxic long, clean long").groupBy("feature")
+                         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-features")
     n = F.col("toxic") + F.col("clean")
-    share, z2 = F.col("toxic") / n, F.lit(Z * Z)
-    low = ((share + z2 / (2 * n) - F.lit(Z) * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n))
-    rows = (sample.mapInPandas(feature_counts(model), "feature string, toxic long, clean long")
-            .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .withColumn("low", low).where(F.col("low") >= LEAST_BOUND)
-            .orderBy(F.col("low").desc(), "feature").limit(MOST_FEATURES).select("feature", "low").collect())
-    return model, {r["feature"]: math.log1p(-min(r["low"], 0.999)) for r in rows}
+    total = counts.where(F.col("feature") == EVERY).select("toxic", n.alias("n")).first()
+    if total is None or not 0 < total["toxic"] < total["n"]:
+        return model, {}
+    base, tried = total["toxic"] / total["n"], counts.where(n >= LEAST_ROWS).count()
+    share = F.col("toxic") / n
+    gain = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0)
+    rows = (counts.where((F.col("feature") != EVERY) & (n >= LEAST_ROWS) & (share >= LEAST_SHARE))
+            .where(F.log(F.lit(tried)) - n * gain < math.log(CHANCE))
+            .select("feature", ((F.col("toxic") + 0.5) / (n + 1.5)).alias("share"), n.alias("n"))
+            .orderBy(F.col("share").desc(), F.col("n").desc(), "feature").limit(MOST_FEATURES).collect())
+    return model, {r["feature"]: math.log1p(-r["share"]) for r in rows}
 
 
 def scorer(model: np.ndarray, features: dict[str, float]):
