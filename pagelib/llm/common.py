@@ -21,12 +21,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and batches of texts that leave a Python worker small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return configure(spark)
+
+
 def query(name: str, sql: str | None = None):
     """Register `fn(spark, sf_dir) -> DataFrame`, with its SQL twin if SQL can express it."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         assert name not in QUERIES, name
         QUERIES[name] = run
