@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelib.llm import jaccard, mixing, sentencepiece_codec, substrings, toxicity
-from pagelib.session import configure, materialise
+from pagelib.llm.common import prepared
+from pagelib.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that score below the cut stay, null and empty ones among them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = prepared(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.with_toxicity(docs, labels).where(F.col("toxicity") < toxicity.CUT).select(*COLUMNS)
 
 
@@ -26,11 +27,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A document whose id is null, or that links with no other, stays.
     """
+    prepared(spark)
     return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its repeated passages go, and n_chars follows."""
+    prepared(spark)
     clean = substrings.without_repeats(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
                             .cast("long")).select(*COLUMNS)
@@ -38,12 +41,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document stands once for each pass that takes words of it, cut where the pass ends."""
+    prepared(spark)
     mixed = mixing.mixed_texts(docs.select(*COLUMNS))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every mixed text: their number, the hash of the ids and that of the decoded text."""
+    prepared(spark)
     coded = sentencepiece_codec.with_codes(docs.select(*COLUMNS), sentencepiece_codec.default_model())
     return coded.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -54,7 +59,7 @@ ORACLE_SQL = None    # a learned score and a tokenizer have no SQL form; tests c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
