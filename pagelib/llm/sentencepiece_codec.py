@@ -70,7 +70,7 @@ class Codec:
             if self.merged(piece) == (piece,):      # a piece that merging never reaches is no token
                 self.pieces.add_word(piece, piece)
         self.pieces.make_automaton()
-        self.stays = lru_cache(maxsize=1 << 20)(lambda a, b: self.merged(a + b) == (a, b))
+        self.stays = lru_cache(maxsize=1 << 17)(lambda a, b: self.merged(a + b) == (a, b))
         self.cache: dict[str, tuple[int, ...]] = {}     # by chunk, or by word where one space mark stands before it
         self.parts: dict[str, tuple[int, ...]] = {}     # by part of a chunk
 
@@ -147,6 +147,11 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
+    def forget(self) -> None:
+        """Drop what a task has cached; the worker may do other work next."""
+        self.cache.clear()
+        self.parts.clear()
+
 
 @lru_cache(maxsize=4)
 def codec(model_file: str) -> Codec:
@@ -174,6 +179,7 @@ def coder(model_file: str, keep_text: bool):
             yield pd.DataFrame({"n_tokens": counts, "ids_sha256": pd.Series(ids_hash, dtype=object),
                                 "decoded_sha256": pd.Series(text_hash, dtype=object),
                                 "decoded": pd.Series(decoded, dtype=object)})
+        c.forget()
 
     return code
 
@@ -186,6 +192,7 @@ def encoder(model_file: str):
         c = codec(model_file)
         for texts in batches:
             yield texts.map(c.encode)
+        c.forget()
 
     return encode
 
