@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,37 +45,25 @@ DISGUISED = re.compile(r"[^\W\d_].*[\d@$€£¢!|+.\-_*~'`,:;/\\]|[\d@$€£¢!|
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 
 
+# The same classes for UTF-8 bytes: white space is a word edge, and of a longer character the first byte counts.
+CLASSES = bytes(0 if b in b" \t\n\r\x0b\x0c" else b - 96 if 97 <= b <= 122 else 27 for b in range(256))
+CONTINUED = bytes(range(0x80, 0xC0))
+
+
 def letter(c: str) -> int:
     """Character class of the model: 0 word edge, 1-26 a letter, 27 anything else."""
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
 def trigram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Character trigrams of all words of a task's texts, as (gram, n) with gram in 0 .. 28^3 - 1."""
+    """Character trigrams of all words of a task's texts, as (gram, n) with gram in 0 .. 28^3 - 1; a word starts with two edges."""
     total = np.zeros(28 ** 3, dtype=np.int64)
-    counts: Counter = Counter()
-
-    def settle():
-        grams: list[int] = []
-        weights: list[int] = []
-        for word, n in counts.items():
-            ids = [0, 0, *map(letter, word), 0]
-            grams += [(a * 28 + b) * 28 + c for a, b, c in zip(ids, ids[1:], ids[2:])]
-            weights += [n] * (len(word) + 1)
-            if len(grams) > 200_000:
-                total[:] += np.bincount(np.array(grams, dtype=np.int64), weights=weights, minlength=28 ** 3).astype(np.int64)
-                grams, weights = [], []
-        total[:] += np.bincount(np.array(grams, dtype=np.int64), weights=weights, minlength=28 ** 3).astype(np.int64)
-        counts.clear()
-
     for batch in batches:
-        for text in batch["text"]:
-            if text:
-                counts.update(text.lower().split())
-                if len(counts) > CACHE_WORDS:
-                    settle()
-    if counts:
-        settle()
+        line = " ".join(t for t in batch["text"] if t).lower().encode("utf-8", "surrogatepass")
+        ids = np.frombuffer(b"\0\0" + line.translate(CLASSES, CONTINUED) + b"\0", dtype=np.uint8).astype(np.int32)
+        a, b, c = ids[:-2], ids[1:-1], ids[2:]
+        inside = (b != 0) | (c != 0)
+        total += np.bincount((((a * (b != 0)) * 28 + b) * 28 + c)[inside], minlength=28 ** 3)
     at = np.flatnonzero(total)
     yield pd.DataFrame({"gram": at, "n": total[at]})
 
@@ -223,7 +210,7 @@ def scorer(model: np.ndarray, features: dict[str, float]):
                 for w in words_of(text):
                     f = cache.get(w)
                     if f is None:
-                        if len(cache) > CACHE_WORDS:
+                        if len(cache) > 3 * CACHE_WORDS:     # most words share one empty tuple
                             cache.clear()
                         f = cache[w] = tuple(x for x in features_of(w, model) if x in features)
                     if f:
