@@ -215,7 +215,7 @@ def scorer(model: np.ndarray, features: dict[str, float]):
                         f = cache[w] = tuple(x for x in features_of(w, model) if x in features)
                     if f:
                         hits.update(f)
-                out[i] = -math.expm1(sum(features[f] for f in sorted(hits)))
+                out[i] = 0.0 - math.expm1(sum(features[f] for f in sorted(hits)))
             yield pd.Series(out)
 
     return score
