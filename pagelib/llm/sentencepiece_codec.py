@@ -32,7 +32,19 @@ CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LETTERS = "A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff"      # Latin, Greek, Cyrillic
 PART = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}]+|{SPACE}+")
 LETTER = re.compile(f"[{LETTERS}]")
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
+
+
+class Chunks(dict):
+    """Ids of each chunk, kept once encoded."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        ids = self[chunk] = self.codec.encode_parts(chunk if chunk[0] == SPACE else SPACE + chunk)
+        return ids
 
 
 class Codec:
@@ -70,8 +82,8 @@ class Codec:
             if self.merged(piece) == (piece,):      # a piece that merging never reaches is no token
                 self.pieces.add_word(piece, piece)
         self.pieces.make_automaton()
-        self.stays = lru_cache(maxsize=1 << 17)(lambda a, b: self.merged(a + b) == (a, b))
-        self.cache: dict[str, tuple[int, ...]] = {}     # by chunk, or by word where one space mark stands before it
+        self.stays = lru_cache(maxsize=1 << 20)(lambda a, b: self.merged(a + b) == (a, b))
+        self.cache = Chunks(self)                       # by chunk, or by word where one space mark stands before it
         self.parts: dict[str, tuple[int, ...]] = {}     # by part of a chunk
 
     def merged(self, text: str) -> tuple[str, ...]:
@@ -128,8 +140,6 @@ class Codec:
             chunks = text.split(" ")     # plain words, each with one space mark before it
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
-        for c in set(chunks).difference(cache):
-            cache[c] = self.encode_parts(c if c[0] == SPACE else SPACE + c)
         return list(chain.from_iterable(map(cache.__getitem__, chunks)))
 
     def encode_parts(self, chunk: str) -> tuple[int, ...]:
