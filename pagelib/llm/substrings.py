@@ -3,8 +3,8 @@
 A text is cut into sentences (at line ends, after . ! ? before a blank, and before a capital that follows a small
 letter without a stop, where passages have been pasted together); a sentence of more than 16 words counts as several,
 16 words each. Every run of three sentences is hashed, and equal runs meet across the whole corpus. The first one, by
-(doc_id, text hash, place), stays. Sentences under any other run are covered, and a stretch of covered sentences with
-at least 45 words is removed with the white space after it. What is shorter stays: stock phrases are no duplicates.
+(doc_id, text hash, place), stays. Every sentence under any other run is removed with the white space after it, however
+few words the run has: the ends of a longer passage may be merged with the text around it.
 
 A task sends each run once and settles its own repeats, so a passage that a third of all texts hold costs one row a
 task. Rows with equal doc_id and text are one document: they stay or change together. Null texts stay null, empty ones
@@ -30,7 +30,6 @@ from pagelib.llm.common import query, table
 
 RUN = 3              # consecutive sentences hashed together
 PIECE_WORDS = 16     # a longer sentence counts as several
-LEAST_WORDS = 45     # of a stretch that is removed
 BUFFER_RUNS = 500_000
 NULL_ID = -(1 << 63)
 
@@ -136,24 +135,15 @@ CLEANED = StructType([StructField("text", StringType()), StructField("n_sentence
 
 
 def remove_runs(text: str, places) -> tuple[str, int, int, int]:
-    """The text without its long covered stretches; `places` are the runs' first sentences."""
+    """The text without the sentences that runs cover; `places` are the runs' first sentences."""
     parts = sentences(text)
     covered = np.zeros(len(parts) + 1, dtype=bool)
     for p in places:
         covered[p:p + RUN] = True
-    kept, removed, words, i = [], 0, 0, 0
-    while i < len(parts):
-        j = i
-        while covered[j]:
-            j += 1
-        n = sum(len(w) for _, _, w in parts[i:j])
-        if j > i and n >= LEAST_WORDS:
-            removed, words = removed + j - i, words + n
-        else:
-            j = max(j, i + 1)
-            kept.append(text[parts[i][0]:parts[j - 1][1]])
-        i = j
-    return ("".join(kept) if removed else text), len(parts), removed, words
+    removed = int(covered.sum())
+    words = sum(len(w) for (_, _, w), c in zip(parts, covered) if c)
+    kept = "".join(text[a:b] for (a, b, _), c in zip(parts, covered) if not c) if removed else text
+    return kept, len(parts), removed, words
 
 
 def cleaner():

@@ -85,6 +85,37 @@ def test_pasted_passage_goes_from_later_texts_only(spark):
         assert got[i]["text"].startswith(f"Own beginning of text {i} without a stop") and got[i]["text"].endswith(f"Then text {i} goes its own way.")
 
 
+def shared_windows(texts, n=51):
+    """(text, word) of each window of n words that an earlier place holds too; knows nothing of sentences."""
+    first, out = {}, []
+    for d, t in texts:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[i:i + n]), (d, i)) != (d, i):
+                out.append((d, i))
+    return out
+
+
+def test_passages_merged_at_both_ends_lose_every_whole_run(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    rows, inner = [], {}
+    for p in range(30):
+        mid = [line(12) + "." for _ in range(3)]     # 36 words in whole sentences, 56 with both ends
+        passage = f"{line(10)}. {' '.join(mid)} {line(10)}"
+        for k in range(3):
+            d = 3 * p + k
+            rows.append((d, f"{line(20)}. {line(4)} {passage} {line(4)}. {line(20)}."))
+            inner[d] = mid
+    assert len({d for d, _ in shared_windows(rows)}) == 60
+    got = {r["doc_id"]: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert shared_windows([(d, got[d]["text"]) for d, _ in rows]) == []
+    for d, t in rows:
+        cut = inner[d] if d % 3 else []
+        assert got[d]["text"].split() == [w for w in t.split() if w not in " ".join(cut).split()], d
+        assert got[d]["words_removed"] == 12 * len(cut)
+
+
 def test_sentences_cover_the_text(texts):
     for t in texts:
         parts = substrings.sentences(t)
