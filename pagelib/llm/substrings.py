@@ -1,8 +1,10 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (at line ends, after . ! ? before a blank, and before a capital that follows a small
-letter without a stop, where passages have been pasted together); a sentence of more than 16 words counts as several,
-16 words each. Every run of three sentences is hashed, and equal runs meet across the whole corpus. The first one, by
+letter without a stop, where passages have been pasted together, and after the stops of other scripts). A sentence of
+more than 16 words counts as several: it is cut after each word whose hash is the smallest of the seven around it, so
+that pieces of a passage are the same wherever in a sentence it stands. In scripts without blanks between words each
+character counts as a word. Every run of three sentences is hashed, and equal runs meet across the whole corpus. The first one, by
 (doc_id, text hash, place), stays. Every sentence under any other run is removed with the white space after it, however
 few words the run has: the ends of a longer passage may be merged with the text around it.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -30,35 +33,81 @@ from pagelib.llm.common import query, table
 
 RUN = 3              # consecutive sentences hashed together
 PIECE_WORDS = 16     # a longer sentence counts as several
+NEAR = 3             # words on each side that a cut in a long sentence depends on
+STRIDE = 12          # of cuts where words repeat so closely that none is the smallest: a multiple of every period up to NEAR + 1
 BUFFER_RUNS = 500_000
 NULL_ID = -(1 << 63)
 
-BREAK = re.compile(r"(?<=[.!?…])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ0-9,;:])[ \t]+(?=[A-ZÀ-ÖØ-Þ])")
-WORDS = re.compile(r"\S+")
+# A break begins at white space, so that a search skips to it.
+BREAK = (r"\s(?:(?<=[.!?…؟۔।॥։]\s)\s*|(?<=\n)\s*|\s*\n\s*"
+         r"|(?<=[a-zß-öø-ÿ0-9,;:][ \t])[ \t]*(?=[A-ZÀ-ÖØ-Þ]))")
+STOPS = "。！？｡．။៕"                       # need no blank after them
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WIDE_BREAK = re.compile(rf"{BREAK}|(?<=[{STOPS}])[」』）”’]*\s*(?![{STOPS}」』）”’])")
+BREAK = re.compile(BREAK)
+WORDS, WIDE_WORDS = re.compile(r"\S+"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+WIDE = re.compile(f"[{STOPS}{UNSPACED}]")
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 RUNS = "run long, doc long, text_hash long, at int, repeat boolean"
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence; `end` includes the white space after it."""
-    out, start = [], 0
-    ends = [(m.start(), m.end()) for m in BREAK.finditer(text)]
+def cuts(long: list[list[str]]) -> list[list[int]]:
+    """Where the pieces of each long sentence begin; each follows from the words near it."""
+    line = (" " * (NEAR + 1)).join(map(" ".join, long)).encode("utf-8", "surrogatepass").split(b" ")
+    n = len(line)
+    h = np.full(n + 2 * NEAR, 1 << 32, dtype=np.int64)
+    h[NEAR:n + NEAR] = np.fromiter(map(crc32, line), dtype=np.int64, count=n)
+    at = np.cumsum([len(words) + NEAR for words in long])     # ends of the gaps between sentences
+    for k in range(NEAR):
+        h[at + k] = 1 << 32
+    own = h[NEAR:n + NEAR]
+    least = np.ones(n, dtype=bool)
+    for k in range(1, NEAR + 1):
+        least &= (own < h[NEAR - k:n + NEAR - k]) & (own <= h[NEAR + k:n + NEAR + k])
+    found, out, at, i = np.flatnonzero(least).tolist(), [], 0, 0
+    for words in long:
+        begins, end = [0], len(words)
+        while i < len(found) and found[i] < at + end:
+            k = found[i] - at
+            if NEAR <= k < end - 1:
+                begins.append(k + 1)
+            i += 1
+        if end > 4 * STRIDE:
+            begins = [x for a, b in zip(begins, [*begins[1:], end]) for x in (range(a, b, STRIDE) if b - a > 4 * STRIDE else (a,))]
+        out.append(begins)
+        at += end + NEAR
+    return out
+
+
+def sentences(text: str, placed: bool = True) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each sentence; `end` includes the white space after it. Unless `placed`, only the words count."""
+    whole, start = [], 0
+    wide = not text.isascii() and WIDE.search(text) is not None
+    breaks, one = (WIDE_BREAK, WIDE_WORDS) if wide else (BREAK, WORDS)
+    ends = [m.span() for m in breaks.finditer(text)]
     ends.append((len(text), len(text)))
     for stop, after in ends:
-        words = text[start:stop].split()
-        if len(words) > PIECE_WORDS:
-            places = [m.start() for m in WORDS.finditer(text, start, stop)]
-            for k in range(0, len(words), PIECE_WORDS):
-                last = k + PIECE_WORDS >= len(words)
-                out.append((places[k] if k else start, after if last else places[k + PIECE_WORDS],
-                            words[k:k + PIECE_WORDS]))
-        elif words:
-            out.append((start, after, words))
-        elif out:
-            out[-1] = (out[-1][0], after, out[-1][2])
+        words = one.findall(text, start, after) if wide else text[start:stop].split()
+        if words:
+            whole.append((start, after, words))
+        elif whole:
+            whole[-1] = (whole[-1][0], after, whole[-1][2])
         else:
             continue
         start = after
+    long = [w for _, _, w in whole if len(w) > PIECE_WORDS]
+    if not long:
+        return whole
+    out, begins_of = [], iter(cuts(long))
+    for part in whole:
+        start, after, words = part
+        if len(words) <= PIECE_WORDS:
+            out.append(part)
+            continue
+        begins = next(begins_of)
+        places = [m.start() for m in one.finditer(text, start, after)] if placed else None
+        for i, j in zip(begins, [*begins[1:], len(words)]):
+            out.append((places[i] if i else start, after if j == len(words) else places[j], words[i:j]) if placed else (0, 0, words[i:j]))
     return out
 
 
@@ -99,7 +148,7 @@ def runs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for doc, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            h = run_hashes(sentences(text)) if text else ()
+            h = run_hashes(sentences(text, placed=False)) if text else ()
             if len(h):
                 held.append([h, np.full(len(h), doc), np.full(len(h), text_hash), np.arange(len(h), dtype=np.int32)])
                 size += len(h)
@@ -136,6 +185,8 @@ CLEANED = StructType([StructField("text", StringType()), StructField("n_sentence
 
 def remove_runs(text: str, places) -> tuple[str, int, int, int]:
     """The text without the sentences that runs cover; `places` are the runs' first sentences."""
+    if not len(places):
+        return text, len(sentences(text, placed=False)), 0, 0
     parts = sentences(text)
     covered = np.zeros(len(parts) + 1, dtype=bool)
     for p in places:

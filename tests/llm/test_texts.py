@@ -116,6 +116,41 @@ def test_passages_merged_at_both_ends_lose_every_whole_run(spark):
         assert got[d]["words_removed"] == 12 * len(cut)
 
 
+@pytest.mark.parametrize("script", ["lower case", "table", "chinese", "chinese with stops", "periodic"])
+def test_passages_at_any_offset_of_long_sentences(spark, script):
+    rng = random.Random(6)
+    unspaced = script.startswith("chinese")
+
+    def line(n):
+        if unspaced:
+            w = [chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n)]
+            return "".join(c + "。" * (script.endswith("stops") and i % 9 == 8) for i, c in enumerate(w))
+        if script == "periodic":
+            return " ".join(("x", "y", "z")[i % 3] for i in range(n))
+        return " ".join(str(rng.randrange(10 ** 6)) if script == "table" else f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+
+    own = lambda n: line(n) if script != "periodic" else " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    gap = "" if unspaced else " "
+    passage = line(90)
+    rows = [(d, gap.join([own(20 + d), passage, own(30)])) for d in range(33)]
+    got = {r["doc_id"]: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spaced = lambda t: " ".join(t) if unspaced else t
+    assert got[0]["text"] == rows[0][1] or script == "periodic"    # a periodic passage repeats itself
+    assert {d for d, _ in shared_windows([(d, spaced(t)) for d, t in rows])} >= set(range(1, 33))
+    assert shared_windows([(d, spaced(got[d]["text"])) for d, _ in rows]) == []
+    for d, t in rows[1:]:
+        head, tail = t.split(passage)
+        assert got[d]["text"].startswith(head[:len(head) // 2]) and got[d]["text"].endswith(tail[-len(tail) // 2:])
+
+
+def test_sentences_of_other_scripts_cover_the_text():
+    for t in ["他说：“走吧。”然后走了！？再见。 好", "私は行く。君も「行く。」と言う。", "สวัสดี ครับ", "यह है। वह है। end", "。", "a。b.c D", "\n。\n"]:
+        parts = substrings.sentences(t)
+        assert "".join(t[a:b] for a, b, _ in parts) == t[parts[0][0]:]
+        assert "".join(w for _, _, ws in parts for w in ws) == "".join(t.split())
+    assert len(substrings.sentences("一二三。四五六！七八九？")) == 3
+
+
 def test_sentences_cover_the_text(texts):
     for t in texts:
         parts = substrings.sentences(t)
