@@ -1,9 +1,11 @@
 """Document scores by masked pseudo-likelihood.
 
 A small network reads two words on each side of a place and predicts the word that stands there; a text's score sums the
-log probabilities of all its words, each given its neighbours. Words are the most frequent ones of the whole corpus, and
-hash buckets for the rest. The network predicts a word's class (words in frequency order, cut into classes of equal
-mass, so that frequent words are classes of their own); within a class a word has its share of the corpus counts.
+log probabilities of all its words, each given its neighbours. The network reads the most frequent words of the whole
+corpus, and hash buckets for the rest. It predicts a word's class (words in frequency order, cut into classes of equal
+mass, so that frequent words are classes of their own), not the word; within a class a word has its share of the corpus
+counts, whatever its neighbours. A word in a bucket has its own share of the bucket too: the counts of all words stay
+distributed, and each text's rare words meet them in a join. Vocabulary, buckets and classes grow with the corpus.
 
 Training is data-parallel: every task runs one pass of Adagrad over all windows of its texts from the same start, the
 tasks' networks are summed on the executors, weighted by their words, and the mean is the start of the next round. So
@@ -18,11 +20,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -30,9 +34,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pagelib.llm.common import query, table
 from pagelib.session import materialise
 
-WORDS = 4096         # words with a place of their own
-BUCKETS = 512        # hash buckets of all others
-CLASSES = 64
+WORDS = 4096         # words with a place of their own, at least; else the square root of the corpus's words
 SIDE = 2             # words read on each side
 DIMS, HIDDEN = 8, 24
 BATCH = 2048         # windows of one step
@@ -40,10 +42,17 @@ RATE = 0.1
 ROUNDS = 1
 FLUSH_WORDS = 150_000
 CACHE_WORDS = 120_000
-PLACES = WORDS + BUCKETS
-OUTSIDE = PLACES     # before the first and after the last word
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-SHAPES = {"E": (PLACES + 1, DIMS), "W1": (len(OFFSETS) * DIMS, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
+
+
+def sizes(words: int) -> tuple[int, int, int]:
+    """Hash buckets, places (the one after them is outside the text) and classes for so many words of their own."""
+    return words // 8, words + words // 8, isqrt(words)
+
+
+def shapes(words: int) -> dict[str, tuple[int, ...]]:
+    _, places, classes = sizes(words)
+    return {"E": (places + 1, DIMS), "W1": (len(OFFSETS) * DIMS, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, classes), "b2": (classes,)}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,58 +78,116 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary(dict):
     """word -> place; other words fall into hash buckets. `n` holds the corpus count of each place."""
 
-    def __init__(self, words: list[str], counts: list[int], buckets: dict[int, int]):
+    def __init__(self, words: list[str], counts: list[int], buckets: dict[int, int], size: int = WORDS):
         super().__init__({w: i for i, w in enumerate(words)})
-        self.known = frozenset(words)
-        self.n = np.zeros(PLACES)
+        self.known, self.size = frozenset(words), size
+        self.buckets, self.places, classes = sizes(size)
+        self.n = np.zeros(self.places)
         self.n[: len(counts)] = counts
         for b, n in buckets.items():
-            self.n[WORDS + b] = n
-        order = np.lexsort((np.arange(PLACES), -self.n))
+            self.n[size + b] = n
+        order = np.lexsort((np.arange(self.places), -self.n))
         mass = np.cumsum(self.n[order]) - self.n[order] / 2
-        self.group = np.zeros(PLACES, dtype=np.int64)
-        self.group[order] = np.minimum(CLASSES - 1, (CLASSES * mass / max(self.n.sum(), 1)).astype(int))
+        self.group = np.zeros(self.places, dtype=np.int64)
+        self.group[order] = np.minimum(classes - 1, (classes * mass / max(self.n.sum(), 1)).astype(int))
         smooth = self.n + 0.1
-        self.within = np.log(smooth / np.bincount(self.group, weights=smooth, minlength=CLASSES)[self.group])
+        self.within = np.log(smooth / np.bincount(self.group, weights=smooth, minlength=classes)[self.group])
 
     def __missing__(self, word: str) -> int:
         if len(self) > CACHE_WORDS:
             for w in [w for w in self if w not in self.known]:
                 del self[w]
-        place = self[word] = WORDS + crc32(word.encode()) % BUCKETS
+        place = self[word] = self.size + crc32(word.encode()) % self.buckets
         return place
 
     def __reduce__(self):
         own = sorted(self.known, key=self.get)
-        return Vocabulary, (own, self.n[: len(own)].tolist(), dict(enumerate(self.n[WORDS:].tolist())))
+        return Vocabulary, (own, self.n[: len(own)].tolist(), dict(enumerate(self.n[self.size:].tolist())), self.size)
 
     def places_of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The corpus counts; at most WORDS + BUCKETS rows reach the driver."""
-    counts = materialise(docs.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
-                         "lm-counts")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of the corpus."""
+    return materialise(docs.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
+                       "lm-counts")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """Places, counts and classes; words of their own and buckets reach the driver, about the square root of the corpus."""
+    counts = corpus_counts(docs) if counts is None else counts
+    size = max(WORDS, isqrt(counts.agg(F.sum("n")).first()[0] or 0))
+    top = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
     least = (top[-1]["n"], top[-1]["word"]) if top else (0, "")
     rest = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
-    buckets = rest.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()
-    return Vocabulary([r["word"] for r in top], [r["n"] for r in top], {int(r["b"]): r["n"] for r in buckets})
+    buckets = rest.groupBy((F.crc32("word") % sizes(size)[0]).alias("b")).agg(F.sum("n").alias("n")).collect()
+    return Vocabulary([r["word"] for r in top], [r["n"] for r in top], {int(r["b"]): r["n"] for r in buckets}, size)
+
+
+class RareWords(dict):
+    """word -> its hash, as Spark's xxhash64 has it; 0 for words with a place of their own."""
+
+    def __init__(self, known: frozenset):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        h = self[word] = 0 if word in self.known else xxhash.xxh64_intdigest(word.encode(), 42) - (1 << 63) ^ -(1 << 63)
+        return h
+
+
+def rare_words(words):
+    """(text_hash, word, n): each text's words without a place of their own, by hash; equal texts of a task once."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, seen = RareWords(words.value.known), set()
+        for batch in batches:
+            texts, found, times = [], [], []
+            for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist()):
+                if key in seen or not (p := words_of(text)):
+                    continue
+                seen.add(key)
+                h = np.fromiter(map(rare.__getitem__, p), dtype=np.int64, count=len(p))
+                h, n = np.unique(h[h != 0], return_counts=True)
+                texts.append(np.full(len(h), key, dtype=np.int64))
+                found.append(h)
+                times.append(n)
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (texts, found, times)], names=["text_hash", "word", "n"])
+
+    return find
+
+
+def rare_shares(docs: DataFrame, words: Vocabulary, counts: DataFrame) -> DataFrame:
+    """(text_hash, share): mean log share of their buckets that a text's rare words have."""
+    spark = docs.sparkSession
+    totals = spark.createDataFrame([(b, float(n)) for b, n in enumerate(words.n[words.size:].tolist())], "b long, total double")
+    bucket = lambda w: F.crc32(w) % words.buckets
+    known = (counts.withColumn("b", bucket("word")).join(F.broadcast(totals), "b")
+             .select(F.xxhash64("word").alias("word"), F.log(F.col("n") / F.greatest("total", F.col("n"))).alias("share")))
+    found = (docs.select("text", F.xxhash64("text").alias("text_hash"))
+             .mapInArrow(rare_words(spark.sparkContext.broadcast(words)), "text_hash long, word long, n long"))
+    joined = found.join(known.hint("shuffle_hash"), "word")
+    # Equal texts come from several tasks: a mean is the same for one of them and for all.
+    return joined.groupBy("text_hash").agg((F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("share"))
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
+    def __init__(self, flat: np.ndarray | None = None, size: int = WORDS, seed: int = 3):
+        own = shapes(size)
+        self.slot = np.zeros(own["E"][0], dtype=np.int64)
         if flat is None:
             rng = np.random.default_rng(seed)
             self.p = {k: (rng.standard_normal(s) * (0.1 if k == "E" else s[0] ** -0.5) if len(s) == 2 else np.zeros(s)).astype(np.float32)
-                      for k, s in SHAPES.items()}
+                      for k, s in own.items()}
         else:
-            ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
-            self.p = {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(SHAPES.items(), np.split(flat, ends))}
+            ends = np.cumsum([int(np.prod(s)) for s in own.values()])[:-1]
+            self.p = {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(own.items(), np.split(flat, ends))}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in SHAPES])
+        return np.concatenate([self.p[k].ravel() for k in self.p])
 
     def forward(self, context: np.ndarray):
         """Input, hidden layer and log probabilities of all classes for windows of `context` (rows, words read)."""
@@ -142,30 +209,38 @@ class Network:
         dh = (d @ p["W2"].T) * (1 - h * h)
         dx = (dh @ p["W1"].T).reshape(-1, DIMS)
         at = context.ravel()
-        grads = {"W2": h.T @ d, "b2": d.sum(0), "W1": x.T @ dh, "b1": dh.sum(0),
-                 "E": np.stack([np.bincount(at, weights=dx[:, j], minlength=PLACES + 1) for j in range(DIMS)], 1).astype(np.float32)}
-        for k, g in grads.items():
+        # Rows of E that no window reads have no gradient and stay.
+        read = np.zeros(len(self.slot), dtype=bool)
+        read[at] = True
+        rows = np.flatnonzero(read)
+        self.slot[rows] = np.arange(len(rows))
+        at = self.slot[at]
+        g = np.stack([np.bincount(at, weights=dx[:, j], minlength=len(rows)) for j in range(DIMS)], 1).astype(np.float32)
+        held = memory["E"][rows] + g * g
+        memory["E"][rows] = held
+        p["E"][rows] -= RATE * g / (np.sqrt(held) + 1e-6)
+        for k, g in {"W2": h.T @ d, "b2": d.sum(0), "W1": x.T @ dh, "b1": dh.sum(0)}.items():
             memory[k] += g * g
             p[k] -= RATE * g / (np.sqrt(memory[k]) + 1e-6)
 
 
-def windows(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(places: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contexts, words, text number) of all places of several texts."""
-    gap = np.full(SIDE, OUTSIDE)
+    gap = np.full(SIDE, outside)
     line = np.concatenate([gap, *[x for p in places for x in (p, gap)]])
-    at = np.flatnonzero(line != OUTSIDE)
+    at = np.flatnonzero(line != outside)
     owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
     return np.stack([line[at + o] for o in OFFSETS], 1), line[at], owner
 
 
 def train_task(words, start):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = words.value, Network(start.value)
-        memory = {k: np.full(s, 1e-4, dtype=np.float32) for k, s in SHAPES.items()}
+        known, net = words.value, Network(start.value, words.value.size)
+        memory = {k: np.full(s, 1e-4, dtype=np.float32) for k, s in shapes(known.size).items()}
         seen, held, size = 0, [], 0
 
         def learn():
-            context, word, _ = windows(held)
+            context, word, _ = windows(held, known.places)
             group = known.group[word]
             for s in range(0, len(word), BATCH):
                 net.step(context[s:s + BATCH], group[s:s + BATCH], memory)
@@ -201,7 +276,7 @@ def add_networks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     """The mean of the tasks' networks, `rounds` times; sums run on the executors until at most 16 rows are left."""
     context = docs.sparkSession.sparkContext
-    shared, flat = context.broadcast(words), Network().flat()
+    shared, flat = context.broadcast(words), Network(size=words.size).flat()
     for _ in range(rounds):
         sums = materialise(docs.select("text").mapInArrow(train_task(shared, context.broadcast(flat)), "weight double, sum binary"), "lm-networks")
         n = sums.count()
@@ -211,25 +286,27 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
         rows = sums.collect()
         if rows:
             flat = sum(np.frombuffer(r["sum"], dtype=np.float32).astype(np.float64) for r in rows) / sum(r["weight"] for r in rows)
-    return Network(flat.astype(np.float32))
+    return Network(flat.astype(np.float32), words.size)
 
 
-SCORES = StructType([StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("score", DoubleType())])
+SCORES = StructType([StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("score", DoubleType()),
+                     StructField("n_rare", LongType())])
 
 
 def scorer(docs: DataFrame, words: Vocabulary, net: Network):
+    """Scores in which a bucket stands for all its words, and the number of a text's words in buckets."""
     context = docs.sparkSession.sparkContext
     shared, flat = context.broadcast(words), context.broadcast(net.flat())
 
     @pandas_udf(SCORES)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, own = shared.value, Network(flat.value)
+        known, own = shared.value, Network(flat.value, shared.value.size)
         for texts in batches:
-            n, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            n, total, rare = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             held, at, size = [], [], 0
 
             def settle():
-                contexts, word, owner = windows(held)
+                contexts, word, owner = windows(held, known.places)
                 group = known.group[word]
                 for s in range(0, len(word), BATCH):
                     part = slice(s, s + BATCH)
@@ -242,6 +319,7 @@ def scorer(docs: DataFrame, words: Vocabulary, net: Network):
                 n[i] = len(p)
                 if p:
                     held.append(known.places_of(p))
+                    rare[i] = np.count_nonzero(held[-1] >= known.size)
                     at.append(i)
                     size += len(p)
                     if size >= 16 * BATCH:
@@ -249,16 +327,22 @@ def scorer(docs: DataFrame, words: Vocabulary, net: Network):
                         held, at, size = [], [], 0
             if held:
                 settle()
-            yield pd.DataFrame({"n_tokens": n, "log_likelihood": total, "score": np.where(n > 0, np.exp(total / np.maximum(n, 1)), 0.0)})
+            yield pd.DataFrame({"n_tokens": n, "log_likelihood": total, "score": np.where(n > 0, np.exp(total / np.maximum(n, 1)), 0.0), "n_rare": rare})
 
     return score
 
 
 def with_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """`docs` with n_tokens, log_likelihood and score (mean probability of a word); these names are replaced."""
-    words = vocabulary(docs)
-    scored = docs.withColumn("__lm", scorer(docs, words, train(docs, words, rounds))(F.col("text")))
-    return scored.withColumns({f.name: F.col(f"__lm.{f.name}") for f in SCORES.fields}).drop("__lm")
+    counts = corpus_counts(docs)
+    words = vocabulary(docs, counts)
+    scored = docs.withColumns({"__lm": scorer(docs, words, train(docs, words, rounds))(F.col("text")), "__text": F.xxhash64("text")})
+    shares = rare_shares(docs, words, counts).withColumnsRenamed({"text_hash": "__text", "share": "__share"})
+    total = F.col("__lm.log_likelihood") + F.when(F.col("__lm.n_rare") > 0, F.col("__lm.n_rare") * F.col("__share")).otherwise(0.0)
+    n = F.col("__lm.n_tokens")
+    return (scored.join(shares, "__text", "left").withColumn("__total", total)
+            .withColumns({"n_tokens": n, "log_likelihood": F.col("__total"), "score": F.when(n > 0, F.exp(F.col("__total") / n)).otherwise(0.0)})
+            .select(*dict.fromkeys([*docs.columns, "n_tokens", "log_likelihood", "score"])))
 
 
 @query("op3_pseudolikelihood")

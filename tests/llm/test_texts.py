@@ -223,6 +223,32 @@ def test_likelihood_beats_word_counts_and_falls_for_shuffled_text(spark):
     assert got[0]["score"] > 0.6 > 0.5 > got[-1]["score"] and got[0]["n_tokens"] == 60
 
 
+def test_rare_words_score_by_their_own_counts(spark, monkeypatch):
+    """Every word's probability in its place is its class's times its own share of the corpus counts."""
+    monkeypatch.setattr(pseudolikelihood, "WORDS", 64)
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(64)]
+    lines = [" ".join(rng.choice(common, 40)) + " " + " ".join(f"r{rng.integers(300)}" for _ in range(4)) for _ in range(200)]
+    lines += ["start seldom end", "start often end"] + ["often"] * 30 + ["start seldom end"] + ["Café 中文 often"] * 2
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    counts = pd.Series([w for t in lines for w in t.lower().split()]).value_counts()
+    words = pseudolikelihood.vocabulary(docs)
+    assert words.size == max(64, int(counts.sum() ** 0.5))
+    net = pseudolikelihood.train(docs, words)
+    got = pseudolikelihood.with_likelihood(docs).toPandas().set_index("doc_id")
+    for d, t in enumerate(lines):
+        context, word, _ = pseudolikelihood.windows([words.places_of(t.lower().split())], words.places)
+        z = net.forward(context)[2]
+        want = 0.0
+        for k, w in enumerate(t.lower().split()):
+            g = words.group[word[k]]
+            inside = (words.n + 0.1)[words.group == g].sum()
+            p = (words.n[word[k]] + 0.1) / inside * (counts[w] / words.n[word[k]])
+            want += z[k, g] + np.log(p)
+        assert got.loc[d, "log_likelihood"] == pytest.approx(want, rel=1e-4), t
+        assert got.loc[d, "score"] == pytest.approx(np.exp(want / len(t.split())), rel=1e-3)
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(1)
     counts = rng.poisson(0.2, (60, quality.WIDTH)).astype(np.float32)
