@@ -2,8 +2,9 @@
 
 Notices of known licenses are templates. Their words are indexed by position; how rare a word is follows from the
 documents of the whole corpus that hold it. For each template, a text's rarest few words that the template holds are
-looked up, and each hit proposes where the template would start; places that several words agree on are compared word
-by word. A match needs a share of the template's words at their places and each of its mandatory phrases near them.
+looked up, and each hit proposes where the template would start. Where several words agree to within a quarter of the
+template's length, its words are sought in order: words may be inserted (numbers of conditions), missing or changed. A
+match needs a share of the template's words in their order there and each of its mandatory phrases near them.
 The base phrases are templates of their own that must stand word for word; every place counts.
 
 Words are runs of digits, a-z (A-Z in lower case) and all characters beyond ASCII. Texts are read whole. Null and empty
@@ -57,8 +58,9 @@ TEMPLATES = {
     "cc0": ("has waived all copyright and related or neighboring rights to this work cc0 public domain dedication", ["cc0"]),
 }
 RARE_WORDS = 8       # of a text, looked up for each template
-LEAST_AGREE = 2      # looked-up words that must propose the same start
-LEAST_COVER = 0.75   # share of a template's words at their places
+LEAST_AGREE = 2      # looked-up words that must propose starts close to each other
+LEAST_COVER = 0.75   # share of a template's words found in their order
+SLACK = 4            # starts may differ by one part in so many of a template's words
 
 _kept = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 FOLD = bytes(b if b in _kept else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -80,6 +82,19 @@ class Index:
             for i, w in enumerate(ws):
                 self.postings[w].append((name, i))
         self.vocabulary = frozenset(self.postings)
+        self.masks: dict[str, dict[bytes, int]] = {name: defaultdict(int) for name in self.words}
+        for name, ws in self.words.items():
+            for i, w in enumerate(ws):
+                self.masks[name][w] |= 1 << i
+
+    def in_order(self, name: str, window: list[bytes]) -> int:
+        """Length of the longest common subsequence of a template and `window`, a bit for each template word."""
+        masks, every = self.masks[name], (1 << len(self.words[name])) - 1
+        left = every
+        for w in window:
+            if w in masks and (u := left & masks[w]):
+                left = ((left + u) | (left - u)) & every
+        return len(self.words[name]) - left.bit_count()
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
         """Label -> best share of its template's words found at one place."""
@@ -100,17 +115,20 @@ class Index:
         out = {}
         for name, ws in by_template.items():
             starts = Counter(p - i for w in ws[:RARE_WORDS] for n, i in self.postings[w] if n == name for p in places[w])
-            template, best = self.words[name], 0.0
-            for start, agree in starts.items():
-                if agree < LEAST_AGREE:
-                    continue
-                at = max(start, 0)
-                window = words[at:start + len(template)]
-                cover = sum(a == b for a, b in zip(window, template[at - start:])) / len(template)
-                if cover >= max(LEAST_COVER, best):
-                    near = b" " + b" ".join(words[max(0, start - 4):start + len(template) + 4]) + b" "
-                    if all(p in near for p in self.phrases[name]):
-                        best = cover
+            n, best = len(self.words[name]), 0.0
+            slack, places_of = n // SLACK, sorted(starts)
+            agree, after = 0, 0      # hits from this start to `slack` words on
+            for start in places_of:
+                while after < len(places_of) and places_of[after] <= start + slack:
+                    agree += starts[places_of[after]]
+                    after += 1
+                if agree >= LEAST_AGREE:
+                    cover = self.in_order(name, words[max(start - slack, 0):max(start + n + slack, 0)]) / n
+                    if cover >= LEAST_COVER and cover > best:
+                        near = b" " + b" ".join(words[max(0, start - slack - 4):max(start + n + slack + 4, 0)]) + b" "
+                        if all(p in near for p in self.phrases[name]):
+                            best = cover
+                agree -= starts[start]
             if best:
                 out[name] = best
         return out

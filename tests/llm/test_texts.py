@@ -85,6 +85,24 @@ def test_pasted_passage_goes_from_later_texts_only(spark):
         assert got[i]["text"].startswith(f"Own beginning of text {i} without a stop") and got[i]["text"].endswith(f"Then text {i} goes its own way.")
 
 
+def test_license_templates_with_a_word_more_or_less():
+    index = licenses.Index({})
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice."""
+    assert licenses.scan_text(index, f"Copyright (c) 1999, X. {bsd}")[5] == "bsd"
+    for name, (text, phrases) in licenses.TEMPLATES.items():
+        w = text.split()
+        middle = sorted(range(1, len(w)), key=lambda i: abs(i - len(w) // 2))
+        held = lambda t: all(f" {p} " in f" {t} " for p in phrases)
+        more = next(t for i in middle if held(t := " ".join([*w[:i], "oddword", *w[i:]])))
+        less = next(t for i in middle if held(t := " ".join([*w[:i], *w[i + 1:]])))
+        assert index.matches(f"before {more} after".encode().split())[name] == 1.0, name
+        assert index.matches(f"before {less} after".encode().split())[name] == (len(w) - 1) / len(w), name
+        backwards = " ".join(reversed(w)) + " " + " ".join(phrases)
+        assert name not in index.matches(backwards.encode().split()), name
+
+
 def shared_windows(texts, n=51):
     """(text, word) of each window of n words that an earlier place holds too; knows nothing of sentences."""
     first, out = {}, []
