@@ -349,7 +349,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     high = F.greatest("low", F.least("high", F.floor(F.col("n") * 5 / 4)))
     asks = (asks.join(met.select("class", "token"), "class").join(groups.select("token", "k1"), ["token", "k1"])
             .groupBy("class", "n", "component", "k1").agg(F.count("*").alias("met")).join(other, "k1")
-            .where(F.col("met") >= F.least(least_met(F.col("n"), low), least_met(F.col("n"), high)))
+            .where(F.col("met") >= least_met_within(F.col("n"), low, high))
             .select("class", "component", "k1", "members"))
     asks = materialise(asks, "jaccard-asks")
     chunks = asks.groupBy("k1").agg(F.count("*").alias("asking"))
@@ -372,6 +372,15 @@ def least_met(n, m):
     return F.ceil(4 * (n + m) / 9) - F.ceil(F.greatest(n, m) * 4 / 5) + 1
 
 
+def least_met_within(n, low, high):
+    """At most what `least_met` asks for with any size from `low` to `high`.
+
+    Up to n it grows with the size. Above n it falls, but for steps up by one where one rounding moves and the other does not.
+    """
+    step = F.when((low < high) & (high > n), 1).otherwise(0)
+    return F.least(least_met(n, low), least_met(n, high) - step)
+
+
 def tile_of(name: str, total: str):
     """One of ceil(total / TILE) tiles, by hash."""
     return F.pmod(F.xxhash64(name), F.ceil(F.col(total) / TILE))

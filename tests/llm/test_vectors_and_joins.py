@@ -82,6 +82,18 @@ def test_jaccard_in_small_batches(spark):
     assert got == {0}
 
 
+def test_least_met_within_a_range_of_sizes(spark):
+    """No size of the range asks for less; 100 against 100 to 105 was asked for 9 where 104 needs only 8."""
+    least = lambda n, m: -(-4 * (n + m) // 9) - -(-4 * max(n, m) // 5) + 1
+    rows = [(n, a, b) for n in range(5, 131) for a in range(-(-4 * n // 5), 5 * n // 4 + 1, 3) for b in range(a, 5 * n // 4 + 1)]
+    got = (spark.createDataFrame(rows, "n long, a long, b long")
+           .withColumn("least", jaccard.least_met_within(F.col("n"), F.col("a"), F.col("b"))).toPandas())
+    for n, a, b, bound in got.itertuples(index=False):
+        true = min(least(n, m) for m in range(a, b + 1))
+        assert true - 1 <= bound <= true, (n, a, b)
+    assert least(100, 104) == 8 < least(100, 105)
+
+
 def test_trie_finds_what_comparison_finds():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 1 << 60, 80).astype(np.uint64)) for _ in range(5)]
