@@ -21,7 +21,8 @@ from pagelib.operators.vectors import blocked_products, top_k_neighbours
 from pagelib.session import materialise
 
 MIN_POSITIVES = 10
-TRAIN_ROWS = 20_000   # labelled rows that heads are fitted on, at most
+TRAIN_ROWS = 20_000   # labelled rows that heads are fitted on, about, beside those that rare tags need
+TAG_ROWS = 50         # positives of each tag that are kept at least, about; a tag with fewer keeps all
 SUGGEST = 8
 NO_MATCH_JACCARD = 0.1
 NEIGHBOURS = [5, 10, 20, 40, 80]
@@ -49,34 +50,42 @@ def fit_tag_heads(vectors: DataFrame, labels: DataFrame, apply_to: DataFrame, cs
                   inner: int = 3, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
     """(scores, rules): a balanced logistic head per tag with ten positives or more.
 
-    Only labelled rows are fitted; beyond `train_rows` of them, a share chosen by hash. Their vectors are broadcast once
-    (at most train_rows * dimensions numbers), tags are dealt over tasks, and each task standardises, balances and
+    Positives are counted over all labels. Only labelled rows are fitted; of more than `train_rows` a share is chosen by
+    hash, larger for rows with rare tags, so that each tag keeps about TAG_ROWS positives, or all it has, at any size; a
+    row counts in the fit as the inverse of its share. Their vectors are broadcast once (about (train_rows + tags *
+    TAG_ROWS) * dimensions numbers at most), tags are dealt over tasks, and each task standardises, balances and
     penalises inside the rows of its fit. C is chosen by out-of-fold average precision and the threshold by out-of-fold
     F1. The heads score all rows of `apply_to` in one blocked product.
     """
     spark = vectors.sparkSession
     lab = labels.select("id", "tag").distinct()
     n = lab.select("id").distinct().count()
-    lot = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20))
-    lab = materialise(lab.where(lot < int((1 << 20) * min(1.0, train_rows / max(n, 1)))), "labels")
-    folds = materialise(stratified_folds(lab, inner), "folds")
-    sample = vectors.join(folds, "id").select("id", "fold", V.doubles("vector").alias("vector")).orderBy("id").toPandas()
+    every = train_rows / max(n, 1)
+    counts = lab.groupBy("tag").agg(F.count(F.lit(1)).alias("positives"))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(every), F.max(F.lit(TAG_ROWS) / F.col("positives"))))
+    chosen = lab.join(counts, "tag").groupBy("id").agg(share.alias("share"))
+    lot = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40)) / F.lit(1 << 40)
+    chosen = materialise(chosen.where(lot < F.col("share")), "chosen")
+    lab = materialise(lab.join(chosen, "id").join(counts, "tag"), "labels")
+    folds = materialise(stratified_folds(lab.select("id", "tag"), inner), "folds")
+    sample = vectors.join(folds, "id").join(chosen, "id").select("id", "fold", "share", V.doubles("vector").alias("vector")).orderBy("id").toPandas()
     shared = spark.sparkContext.broadcast((
-        np.array(sample["vector"].tolist(), dtype=np.float64), sample["fold"].to_numpy(), {k: i for i, k in enumerate(sample["id"].tolist())}))
+        np.array(sample["vector"].tolist(), dtype=np.float64), sample["fold"].to_numpy(), {k: i for i, k in enumerate(sample["id"].tolist())},
+        1 / sample["share"].to_numpy()))
     kind = labels.schema["tag"].dataType.simpleString()
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, fold, row = shared.value
+        x, fold, row, rows = shared.value
         for batch in batches:
             fitted = []
             for ids in batch["ids"]:
                 y = np.zeros(len(x))
                 y[[row[k] for k in ids if k in row]] = 1
-                fitted.append(heads.choose_and_fit(x, y, fold, list(cs)))
+                fitted.append(heads.choose_and_fit(x, y, fold, list(cs), rows))
             c, threshold, ap, vector = zip(*fitted) if fitted else ((), (), (), ())
             yield pd.DataFrame({"tag": batch["tag"], "c": c, "threshold": threshold, "ap": ap, "vector": list(vector)})
 
-    held = lab.groupBy("tag").agg(F.collect_list("id").alias("ids")).where(F.size("ids") >= MIN_POSITIVES)
+    held = lab.where(F.col("positives") >= MIN_POSITIVES).groupBy("tag").agg(F.collect_list("id").alias("ids"))
     tags = max(1, held.count())
     rules = materialise(held.repartition(min(tags, spark.sparkContext.defaultParallelism * 4), "tag")
                         .mapInPandas(fit, f"tag {kind}, c double, threshold double, ap double, vector array<double>"), "rules")

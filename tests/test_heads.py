@@ -48,3 +48,31 @@ def test_selection_ignores_unlabelled_rows_and_held_out_labels(spark):
     assert key(rules_a) == key(rules_b) and set(key(rules_a)) == {"yes", "no"}
     got = {r["id"]: r["score"] for r in a.where(F.col("tag") == "yes").collect()}
     assert len(got) == len(x) and np.mean([got[i] for i in np.flatnonzero(y)]) > np.mean([got[i] for i in np.flatnonzero(y == 0)]) + 0.05
+
+
+def test_rare_tags_keep_their_heads_beyond_the_sample(spark):
+    rng = np.random.default_rng(7)
+    n = 4000
+    x = rng.standard_normal((n, 4))
+    tag = np.where(np.arange(n) % 200 == 3, "rare", np.where(x[:, 0] > 0, "a", "b"))      # 20 of 4,000
+    x[tag == "rare", 2] += 4
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    labels = spark.createDataFrame([(i, str(t)) for i, t in enumerate(tag)] + [(i, "few") for i in range(9)], "id int, tag string")
+    _, rules = models.fit_tag_heads(vectors, labels, vectors.limit(5), train_rows=400)
+    small = {r["tag"]: r for r in rules.collect()}
+    _, rules = models.fit_tag_heads(vectors, labels, vectors.limit(5))
+    whole = {r["tag"]: r for r in rules.collect()}
+    assert set(small) == set(whole) == {"rare", "a", "b"}
+    assert all(abs(small[t]["ap"] - whole[t]["ap"]) < 0.15 for t in whole)      # unweighted, a rare tag would look common
+
+
+def test_a_row_that_stands_for_three_counts_as_three():
+    x, y = data()
+    rows = np.where(np.arange(len(y)) % 3 == 0, 3, 1)
+    again = np.repeat(np.arange(len(y)), rows)
+    # The penalty is per row fitted.
+    c = 0.1
+    assert np.allclose(heads.fit_logistic(x, y, c * len(again) / len(y), rows=rows.astype(float)), heads.fit_logistic(x[again], y[again], c), atol=1e-6)
+    s = np.round(x[:, 0], 1)
+    assert abs(heads.average_precision(s, y, rows) - heads.average_precision(s[again], y[again])) < 1e-12
+    assert heads.best_threshold(s, y, rows) == heads.best_threshold(s[again], y[again])
