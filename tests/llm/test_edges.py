@@ -64,4 +64,4 @@ def test_pipeline_stages_take_awkward_rows(spark, awkward, nothing, labels, tmp_
 
 
 def test_names_of_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
