@@ -1,12 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences (at line ends, after . ! ? before a blank, and before a capital that follows a small
-letter without a stop, where passages have been pasted together, and after the stops of other scripts). A sentence of
-more than 16 words counts as several: it is cut after each word whose hash is the smallest of the seven around it, so
-that pieces of a passage are the same wherever in a sentence it stands. In scripts without blanks between words each
-character counts as a word. Every run of three sentences is hashed, and equal runs meet across the whole corpus. The first one, by
-(doc_id, text hash, place), stays. Every sentence under any other run is removed with the white space after it, however
-few words the run has: the ends of a longer passage may be merged with the text around it.
+A text is cut into sentences: at line ends, after . ! ? before a blank, and after the stops of other scripts. A capital alone
+ends no sentence. A sentence of more than 8 words counts as several: it is cut after each word whose hash is the smallest of
+the seven around it, so that pieces of a passage are the same wherever in a sentence it stands, also where it was pasted
+without a stop. In scripts without blanks between words each character counts as a word. Every run of three sentences is
+hashed, and equal runs meet across the whole corpus. The first one, by (doc_id, text hash, place), stays. The sentences under
+all other runs are covered. A stretch of covered sentences is removed, with the white space after it, if it holds 25 words
+(a parameter): names, addresses, headings and rows of tables that texts share stay whole. A passage may be merged with the
+text around it at both ends and loses at most the sentence or piece there, some words each, from its stretch.
 
 A task sends each run once and settles its own repeats, so a passage that a third of all texts hold costs one row a
 task. Rows with equal doc_id and text are one document: they stay or change together. Null texts stay null, empty ones
@@ -32,15 +33,15 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pagelib.llm.common import query, table
 
 RUN = 3              # consecutive sentences hashed together
-PIECE_WORDS = 16     # a longer sentence counts as several
+LEAST_WORDS = 25     # a shorter stretch of covered sentences stays
+PIECE_WORDS = 8      # a longer sentence counts as several
 NEAR = 3             # words on each side that a cut in a long sentence depends on
 STRIDE = 12          # of cuts where words repeat so closely that none is the smallest: a multiple of every period up to NEAR + 1
 BUFFER_RUNS = 500_000
 NULL_ID = -(1 << 63)
 
 # A break begins at white space, so that a search skips to it.
-BREAK = (r"\s(?:(?<=[.!?…؟۔।॥։]\s)\s*|(?<=\n)\s*|\s*\n\s*"
-         r"|(?<=[a-zß-öø-ÿ0-9,;:][ \t])[ \t]*(?=[A-ZÀ-ÖØ-Þ]))")
+BREAK = r"\s(?:(?<=[.!?…؟۔।॥։]\s)\s*|(?<=\n)\s*|\s*\n\s*)"
 STOPS = "。！？｡．။៕"                       # need no blank after them
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WIDE_BREAK = re.compile(rf"{BREAK}|(?<=[{STOPS}])[」』）”’]*\s*(?![{STOPS}」』）”’])")
@@ -183,25 +184,30 @@ CLEANED = StructType([StructField("text", StringType()), StructField("n_sentence
                       StructField("n_removed", LongType()), StructField("words_removed", LongType())])
 
 
-def remove_runs(text: str, places) -> tuple[str, int, int, int]:
-    """The text without the sentences that runs cover; `places` are the runs' first sentences."""
+def remove_runs(text: str, places, least_words: int = LEAST_WORDS) -> tuple[str, int, int, int]:
+    """The text without the stretches of sentences that runs cover; `places` are the runs' first sentences."""
     if not len(places):
         return text, len(sentences(text, placed=False)), 0, 0
     parts = sentences(text)
     covered = np.zeros(len(parts) + 1, dtype=bool)
     for p in places:
         covered[p:p + RUN] = True
+    # A stretch of covered sentences goes as a whole, or stays where it is too short for a passage.
+    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0))
+    for a, b in zip(edges[::2], edges[1::2]):
+        if sum(len(words) for _, _, words in parts[a:b]) < least_words:
+            covered[a:b] = False
     removed = int(covered.sum())
     words = sum(len(w) for (_, _, w), c in zip(parts, covered) if c)
     kept = "".join(text[a:b] for (a, b, _), c in zip(parts, covered) if not c) if removed else text
     return kept, len(parts), removed, words
 
 
-def cleaner():
+def cleaner(least_words: int):
     @pandas_udf(CLEANED)
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, places in batches:
-            rows = [(None, 0, 0, 0) if t is None else remove_runs(t, p if p is not None else ()) for t, p in zip(texts, places)]
+            rows = [(None, 0, 0, 0) if t is None else remove_runs(t, p if p is not None else (), least_words) for t, p in zip(texts, places)]
             text, n, removed, words = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"text": pd.Series(text, dtype=object), "n_sentences": pd.Series(n, dtype="int64"),
                                 "n_removed": pd.Series(removed, dtype="int64"), "words_removed": pd.Series(words, dtype="int64")})
@@ -209,19 +215,19 @@ def cleaner():
     return clean
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` (doc_id, text, …) with the texts cleaned, and n_sentences, n_removed and words_removed; these names are replaced."""
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__hash": F.xxhash64("text")})
     runs = keyed.select("__doc", "__hash", "text").mapInArrow(runs_of_texts, RUNS)
-    # Both kinds of rows come from one pass: repeats are dealt by their document, the others by their run.
-    dealt = runs.repartition(F.when(F.col("repeat"), F.col("doc")).otherwise(F.col("run")))
+    # Both kinds of rows come from one pass: repeats are dealt by their document and text, the others by their run.
+    dealt = runs.repartition(F.when(F.col("repeat"), F.xxhash64("doc", "text_hash")).otherwise(F.col("run")))
     later = (dealt.sortWithinPartitions("repeat", "run", "doc", "text_hash", "at")
              .mapInArrow(later_or_repeat, "doc long, text_hash long, at int"))
     places = (later.groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"))
               .agg(F.array_sort(F.collect_set("at")).alias("__places")))
     joined = keyed.join(places, ["__doc", "__hash"], "left")
     own = ["text", "n_sentences", "n_removed", "words_removed"]
-    return (joined.withColumn("__clean", cleaner()(F.col("text"), F.col("__places")))
+    return (joined.withColumn("__clean", cleaner(least_words)(F.col("text"), F.col("__places")))
             .withColumns({c: F.col(f"__clean.{c}") for c in own})
             .select(*dict.fromkeys([*docs.columns, *own])))
 

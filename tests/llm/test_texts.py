@@ -124,14 +124,46 @@ def test_passages_merged_at_both_ends_lose_every_whole_run(spark):
         for k in range(3):
             d = 3 * p + k
             rows.append((d, f"{line(20)}. {line(4)} {passage} {line(4)}. {line(20)}."))
-            inner[d] = mid
+            inner[d] = " ".join(mid).split(), passage.split()
     assert len({d for d, _ in shared_windows(rows)}) == 60
     got = {r["doc_id"]: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert shared_windows([(d, got[d]["text"]) for d, _ in rows]) == []
     for d, t in rows:
-        cut = inner[d] if d % 3 else []
-        assert got[d]["text"].split() == [w for w in t.split() if w not in " ".join(cut).split()], d
-        assert got[d]["words_removed"] == 12 * len(cut)
+        gone = set(t.split()) - set(got[d]["text"].split())
+        if d % 3 == 0:
+            assert got[d]["text"] == t
+        else:     # whole sentences go, of the merged ones at most words of the passage, and nothing around it
+            assert set(inner[d][0]) <= gone <= set(inner[d][1]) and got[d]["words_removed"] == len(gone)
+
+
+NAMES = ["My aunt once sued the New York City Council over a fence.", "Gestern traf Anna Maria Schmidt den Herrn Doktor Hans Peter Müller am Bahnhof Friedrichstraße.",
+         "Chapter One\nThe Long Way Home\n\n", "| 1 | apples | 2.50 |\n| 2 | pears | 3.10 |\n| 3 | plums | 4.00 |\n", "1.\n2.\n3.\n4.\n5.\n",
+         "12 Green Lane\nSpringfield\nSP1 4XY\nGreat Britain\n", "Dr. A. B. Smith, Prof. C. D. Jones, Mr. E. F. White. "]
+
+
+def test_names_headings_and_rows_stay(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    rows = [(20 * i + k, f"{line(12)}. {name} {line(15)}. {line(9)}") for i, name in enumerate(NAMES) for k in range(12)]
+    rows += [(1000 + k, f"{line(9)} the New York City Council {line(9)} the New York City Council met. {line(5)}") for k in range(9)]
+    got = {r["doc_id"]: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r["text"] for d, r in got.items()} == dict(rows)
+
+
+def test_least_words_is_a_parameter(spark):
+    rows = [(i, f"w{i}a w{i}b w{i}c. One two three. Four five six. Seven eight nine. w{i}d w{i}e.") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.without_repeats(df).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [r["n_removed"] for r in substrings.without_repeats(df, least_words=9).orderBy("doc_id").collect()] == [0, 3, 3]
+    assert [r["n_removed"] for r in substrings.without_repeats(df, least_words=10).collect()] == [0, 0, 0]
+
+
+def test_null_ids_come_first_and_lose_only_repeats(spark):
+    texts = [f"Own {i} words here. {PASSAGE} End of {i}." for i in range(30)]
+    rows = [(None, t) for t in texts] + [(1, texts[0]), (2, "Own text alone.")]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_removed"] == 0 for r in got if r["doc_id"] is None) == 1 and len(got) == 32
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in got if r["doc_id"] is not None} == {1: True, 2: False}
 
 
 @pytest.mark.parametrize("script", ["lower case", "table", "chinese", "chinese with stops", "periodic"])
