@@ -9,6 +9,9 @@ a key meet in one task, and the result equals the plain window exactly.
 
 The bucket is a pure function of the row, so a recomputed task agrees with the
 first run; no sampled range bounds are involved.
+
+Where no such expression spreads the rows (ranks, scores that most rows share), `number`
+orders a whole table by borders that are data: Spark samples quantiles of the order itself.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pagelib.session import materialise
+
+PLACE_BITS = 33      # Spark numbers the rows of a partition below this bit, and the partition above it
+
 
 class Coarse:
     """A bucket expression with the direction its order key runs in."""
@@ -74,6 +81,28 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return running(df, keys, order, coarse, name, F.lit(1).cast("long"))
 
 
+def ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """`df` dealt into ranges of `order` and sorted, in the shared folder; `__at` numbers a row within its range.
+
+    `order` must be total over the table: ties are cut by its last keys, so a range holds a bounded share of the rows
+    whatever they have in common. Borders are sampled, so the rows are written with their numbers: all readers see the same.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranges")
+
+
+def number(df: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:
+    """`row_number() over (order by order)` as a long, over a whole table and at any skew."""
+    written = ranges(df, order).withColumn("__range", F.shiftright("__at", PLACE_BITS))
+    # One row for each range, as many as there are shuffle partitions.
+    sizes = written.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    within = F.col("__at").bitwiseAND((1 << PLACE_BITS) - 1)
+    return (written.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+            .withColumn(name, F.col("__start") + within + 1).drop("__at", "__range", "__r", "__start"))
+
+
 def lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], by: Sequence[str],
         coarse: Sequence[Coarse], name: str, value: Column) -> DataFrame:
     """`lag(value) over (partition by keys order by order)`; `by` names the ascending order columns."""

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagelib.functions import ordered, text
 from pagelib.functions import vectors as V
-from pagelib.functions.ordered import Coarse
 from pagelib.operators.digests import set_digest
 from pagelib.operators.vectors import ROUND, cosine_scores, refine
 
@@ -90,8 +89,7 @@ def title_ngram_index(titles: DataFrame, train: DataFrame, min_df: int = 2) -> D
 
 def rank_source(scores: DataFrame) -> DataFrame:
     """1-based rank of (id, score) by score, ties by id, over the whole table without one sorting task."""
-    return ordered.row_number(scores, [], [F.desc("score"), F.asc("id")],
-                              [Coarse(ordered.score_bucket("score"), descending=True)], "rank")
+    return ordered.number(scores, [F.desc("score"), F.asc("id")], "rank")
 
 
 def rrf(sources: dict[str, DataFrame], among: DataFrame) -> DataFrame:
@@ -109,11 +107,7 @@ def rrf(sources: dict[str, DataFrame], among: DataFrame) -> DataFrame:
 
 
 def fused_order(fused: DataFrame) -> DataFrame:
-    return ordered.row_number(fused, [], [F.desc("fused"), F.asc("id")],
-                              [Coarse(F.floor(F.col("fused") * 65536), descending=True),
-                               # Every page that no source ranks has 0: these are told apart by their ids.
-                               Coarse(F.when(F.col("fused") == 0, ordered.id_bucket("id", 1 << 10)
-                                             if dict(fused.dtypes)["id"] in ("bigint", "int") else F.substring("id", 1, 24)))], "place")
+    return ordered.number(fused, [F.desc("fused"), F.asc("id")], "place")
 
 
 def hybrid_search(vectors: DataFrame, query_vector: Column, keyword: DataFrame, among: DataFrame,
@@ -176,8 +170,7 @@ def merge_ranked(entries: DataFrame, ranked: DataFrame | None, matched: DataFram
 
 
 def numbered_results(merged: DataFrame) -> DataFrame:
-    return ordered.row_number(merged, [], [F.col("part"), F.col("key"), F.col("url")],
-                              [Coarse(F.col("part")), Coarse(ordered.id_bucket("key", 1 << 16))], "place")
+    return ordered.number(merged, [F.col("part"), F.col("key"), F.col("url")], "place")
 
 
 def results_digest(results: DataFrame, identity: str) -> Column:

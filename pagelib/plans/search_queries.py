@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelib.functions import vectors as V
-from pagelib.operators import search
+from pagelib.operators import search, term_index
 from pagelib.operators import vectors as vec
 from pagelib.plans.registry import query
 from pagelib.plans.tables import SQL_VIEWS, Tables
-from pagelib.session import materialise
+from pagelib.session import materialise, scratch, shared_folder
 
 STOP = ["the", "and", "de", "le", "la", "und", "der"]
 QUERY = "than the Ha que die esher and than"
@@ -52,6 +52,22 @@ def index(t: Tables):
     return search.tfidf_index(t.raw("documents").select(F.col("doc_id").alias("id"), "text"), STOP)
 
 
+_STORED: dict[tuple, term_index.TermIndex] = {}
+
+
+def stored_index(t: Tables) -> term_index.TermIndex:
+    """The index of the documents in the shared folder: a session builds it once for a table and asks it from then on."""
+    docs = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    key = (t.spark.sparkContext.applicationId, shared_folder(t.spark), *sorted(docs.inputFiles()))
+    if key not in _STORED:
+        _STORED[key] = term_index.build_index(docs, scratch(t.spark, "term-index"), STOP, blocks=16)
+    return _STORED[key]
+
+
+def keyword_scores(t: Tables):
+    return stored_index(t).scores(QUERY)
+
+
 @query("tfidf_index", "SELECT id, term, round(weight, 6) AS weight FROM term_rows")
 def _index(t):
     return index(t)[0].withColumn("weight", F.round("weight", 6))
@@ -59,9 +75,32 @@ def _index(t):
 
 @query("tfidf_scores", "SELECT id, round(score, 6) AS score FROM keyword_scores")
 def _scores(t):
+    return keyword_scores(t).withColumn("score", F.round("score", 6))
+
+
+@query("tfidf_scores_unstored", "SELECT id, round(score, 6) AS score FROM keyword_scores")
+def _unstored(t):
     return search.tfidf_scores(*index(t), QUERY).withColumn("score", F.round("score", 6))
 
 
+# Documents with id % 10 = 3 come later, those with id % 10 = 4 have another's text at first, those with id % 10 = 5 go.
+SQL_VIEWS["updated_counts"] = "SELECT * FROM term_counts WHERE id % 10 <> 5"
+SQL_VIEWS["updated_idf"] = """
+SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 10 <> 5)) / (1 + count(*))) + 1 AS idf FROM updated_counts GROUP BY term"""
+
+
+@query("update_index", """
+SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM
+  (SELECT id, term, (1 + ln(n)) * idf AS w FROM updated_counts JOIN updated_idf USING (term))""")
+def _updated(t):
+    docs = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    lot = F.col("id") % 10
+    first = docs.where(lot != 3).withColumn("text", F.when(lot == 4, F.reverse("text")).otherwise(F.col("text")))
+    built = term_index.build_index(first, scratch(t.spark, "term-index"), STOP, blocks=16)
+    newer = term_index.update_index(built, docs.where(lot.isin(3, 4)), docs.where(lot == 5))
+    return newer.rows().withColumn("weight", F.round("weight", 6))
+
+
 @query("title_ngram_index", """
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents),
 c AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
@@ -127,7 +166,7 @@ SQL_VIEWS["hits"] = "SELECT *, row_number() OVER (ORDER BY fused DESC, id) AS pl
 
 def hits(t: Tables):
     among = t.vectors().where("id % 7 <> 0").select("id")
-    keyword = materialise(search.tfidf_scores(*index(t), QUERY), "keyword")
+    keyword = materialise(keyword_scores(t), "keyword")
     return search.hybrid_search(t.vectors(), q3(t), keyword, among)
 
 
@@ -271,7 +310,7 @@ SELECT id, row_number() OVER (ORDER BY f DESC, id) AS place FROM (SELECT id, rou
     WHERE id % 6 <> 1 AND id IN (SELECT id FROM vectors)) USING (id))""")
 def _like(t):
     v = t.vectors()
-    keyword = materialise(search.tfidf_scores(*index(t), QUERY), "keyword")
+    keyword = materialise(keyword_scores(t), "keyword")
     return search.like_tag(v, q3(t), v.where("id % 6 = 1"), v.where("id % 6 = 2"), keyword, v.select("id")).select("id", "place")
 
 

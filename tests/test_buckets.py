@@ -37,8 +37,38 @@ def test_plan_and_fused_order(spark, monkeypatch):
     plan = spark.createDataFrame([(f"u{i}", (at, "b", 1, i % 20, i // 20)) for i in range(6000)],
                                  "url string, seen struct<captured_at: timestamp, base: string, ordinal: int, window: int, position: int>")
     assert largest(monkeypatch, lambda: planning.numbered(plan)) <= 1024
-    fused = spark.range(6000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") / 60000).otherwise(0.0).alias("fused"))
-    assert largest(monkeypatch, lambda: search.fused_order(fused)) <= 1024
+
+
+def largest_range(df, order):
+    """Share of the rows in the largest range, where small ones are not joined."""
+    df.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return share_of_largest(df, order)
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def share_of_largest(df, order):
+    sizes = [r["count"] for r in ordered.ranges(df, order).groupBy(F.shiftright("__at", ordered.PLACE_BITS)).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_ranks_of_a_million_pages(spark):
+    """Fused scores of ranks crowd at 0: 1 / (60 + rank)."""
+    fused = spark.range(1_000_000).select("id", F.round(1 / (61 + F.pmod(F.col("id") * 7919, F.lit(1_000_000))), 12).alias("fused"))
+    assert largest_range(fused, [F.desc("fused"), F.asc("id")]) < 0.2      # of eight ranges
+    got = search.fused_order(fused).agg(F.count("*").alias("n"), F.countDistinct("place").alias("d"), F.min("place"), F.max("place"),
+                                        F.sum((F.col("place") == F.pmod(F.col("id") * 7919, F.lit(1_000_000)) + 1).cast("int")).alias("same")).first()
+    assert tuple(got)[:4] == (1_000_000, 1_000_000, 1, 1_000_000) and got["same"] > 900_000      # far ranks share rounded scores
+
+
+def test_ranks_where_most_scores_are_equal(spark):
+    scores = spark.range(100_000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"),
+                                         F.when(F.col("id") % 10 == 0, F.col("id") / 1e5).otherwise(0.25).alias("score"))
+    assert largest_range(scores, [F.desc("score"), F.asc("id")]) < 0.2
+    want = [r.id for r in scores.orderBy(F.desc("score"), F.asc("id")).collect()]
+    assert [r.id for r in search.rank_source(scores).orderBy("rank").collect()] == want
+    assert search.rank_source(scores.limit(0)).collect() == []
 
 
 def test_pages_with_containers_and_implied_ends():
