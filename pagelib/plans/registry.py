@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pagelib.plans.tables import SQL_VIEWS, Tables
 from pagelib.session import configure
 
+# Views that a twin reads several times, or that cost much.
+MATERIALIZED = {"search_docs", "matched_docs", "term_counts", "term_idf", "keyword_scores", "label_queries", "q3_scores", "fused", "hits",
+                "merged_hits", "chunk_states", "chunk_scores", "asked_docs", "asked_scores", "asked_fused", "asked_hits"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -35,7 +38,7 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not order:
         return sql
-    views = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'search_docs' else ''}({SQL_VIEWS[n]})" for n in order)
+    views = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({SQL_VIEWS[n]})" for n in order)
     text = sql.strip()
     if text[:5].upper() == "WITH ":
         return f"WITH {views},\n{text[5:]}"

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelib.functions import vectors as V
-from pagelib.operators import search, term_index
+from pagelib.operators import library_search, search, term_index
 from pagelib.operators import vectors as vec
 from pagelib.plans.registry import query
 from pagelib.plans.tables import SQL_VIEWS, Tables
@@ -225,8 +225,8 @@ def _statuses(t: Tables):
 
 
 SQL_VIEWS["chunk_states"] = f"""
-SELECT id, CASE WHEN id NOT IN (SELECT page_id FROM chunk_scores) THEN 'missing' WHEN id % 4 = 0 THEN 'stale' ELSE 'ready' END AS chunk_status
-FROM ({_ALIVE})"""
+SELECT a.id, CASE WHEN c.page_id IS NULL THEN 'missing' WHEN a.id % 4 = 0 THEN 'stale' ELSE 'ready' END AS chunk_status
+FROM ({_ALIVE}) a LEFT JOIN (SELECT DISTINCT page_id FROM chunk_scores) c ON c.page_id = a.id"""
 
 
 @query("chunk_staleness", "SELECT id, chunk_status FROM chunk_states")
@@ -243,7 +243,7 @@ def _fallback(t):
 SQL_VIEWS["merged_hits"] = """
 SELECT url, row_number() OVER (ORDER BY part, k, url) AS place, part = 0 AS ranked FROM (
   SELECT id AS url, 0 AS part, place AS k FROM hits WHERE id IN (SELECT id FROM search_docs)
-  UNION ALL SELECT id, 1, id FROM matched_docs WHERE id NOT IN (SELECT id FROM hits))"""
+  UNION ALL SELECT m.id, 1, m.id FROM matched_docs m ANTI JOIN hits USING (id))"""
 
 
 def merged(t: Tables, top=None):
@@ -261,7 +261,7 @@ def _merge(t):
 
 @query("top_n_then_tail", """
 SELECT id AS url, 0 AS part FROM (SELECT * FROM hits WHERE id IN (SELECT id FROM search_docs) ORDER BY place LIMIT 50)
-UNION ALL SELECT id, 1 FROM matched_docs WHERE id NOT IN (SELECT id FROM hits)""")
+UNION ALL SELECT m.id, 1 FROM matched_docs m ANTI JOIN hits USING (id)""")
 def _top(t):
     return merged(t, 50).select("url", "part")
 
@@ -290,6 +290,87 @@ def _combined(t):
                     "chunk_status"))
 
 
+# Search as one operator. Every document is a page added at its own minute; every third chunk is of an older body; each fourth
+# page has an image, with the vector of the page before it.
+SQL_VIEWS["asked_docs"] = """
+SELECT id, title, text, url, lang, source, TIMESTAMP '2024-01-01' + to_minutes(id) AS added_at FROM search_docs
+WHERE lang = 'en' AND id >= 20 AND id < 6000"""
+SQL_VIEWS["asked_scores"] = """
+SELECT a.id, coalesce(CASE WHEN a.id % 4 = 0 THEN NULL ELSE c.score END, s.score) AS score FROM asked_docs a JOIN q3_scores s USING (id)
+LEFT JOIN (SELECT page_id AS id, max(score) AS score FROM chunk_scores GROUP BY page_id) c USING (id)"""
+SQL_VIEWS["asked_fused"] = """
+SELECT id, row_number() OVER (ORDER BY f DESC, id) AS place FROM (
+  SELECT id, round(sum(1 / (60 + r)), 12) AS f FROM (
+    SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM asked_scores
+    UNION ALL SELECT id, row_number() OVER (ORDER BY k.score DESC, id) FROM keyword_scores k JOIN asked_scores a USING (id)
+    UNION ALL SELECT a.id, row_number() OVER (ORDER BY s.score DESC, a.id) FROM asked_scores a JOIN q3_scores s ON s.id = a.id - 1 WHERE a.id % 4 = 1) GROUP BY id)"""
+SQL_VIEWS["asked_hits"] = """
+SELECT id, row_number() OVER (ORDER BY part, k, id) AS place, part = 0 AS ranked FROM (
+  SELECT id, 0 AS part, place AS k FROM asked_fused
+  UNION ALL SELECT m.id, 1, m.id FROM matched_docs m JOIN asked_docs USING (id) ANTI JOIN asked_fused USING (id))"""
+SQL_VIEWS["asked_chunks"] = """
+SELECT page_id AS id, arg_min(start, (-score, start, stop, id)) AS start, arg_min(stop, (-score, start, stop, id)) AS stop FROM chunk_scores GROUP BY page_id"""
+ASKED = library_search.Ask("Th  on EN", tags=("EN",), kinds=("web",), after="2024-01-01T00:20:00", before="2024-01-05T04:00:00")
+
+
+def asked(t: Tables, ask: library_search.Ask = ASKED):
+    """(result, pages, bodies) of a search with chunks, images and filters."""
+    d, i, v = t.search_docs(), F.col("id"), t.vectors()
+    pages = d.select("id", "url", "title", F.array("lang", "source").alias("tags"), i.alias("pos"),
+                     F.timestamp_seconds(F.lit(1704067200) + i * 60).alias("added_at"))
+    key = i.cast("string")
+    bodies = d.select("id", "text", F.when(i % 4 == 0, F.sha2(F.concat(F.lit("new"), key), 256)).otherwise(F.sha2(key, 256)).alias("content_sha256"))
+    images = v.where("id % 4 = 0").select((i + 1).alias("id"), "vector")
+    ranking = library_search.Ranking(q3(t), v.select("id", "vector"), materialise(keyword_scores(t), "keyword"), images, chunks(t))
+    return library_search.search_library(pages, bodies, ask, ranking), pages, bodies
+
+
+def _hits_sql(low: int, high: int) -> str:
+    return f"""
+SELECT d.id, d.url, h.place, ranked, coalesce(k.matched, '') AS matched, CASE WHEN c.id IS NULL THEN 'missing' WHEN d.id % 4 = 0 THEN 'stale' ELSE 'ready' END AS chunk_status,
+  CASE WHEN d.id % 4 <> 0 THEN c.start END AS chunk_start, CASE WHEN d.id % 4 <> 0 THEN substr(decode(encode(d.text)[c.start + 1:c.stop]), 1, 200) END AS span
+FROM asked_hits h JOIN asked_docs d ON d.id = h.id LEFT JOIN matched_docs k ON k.id = h.id LEFT JOIN asked_chunks c ON c.id = h.id
+WHERE h.place > {low} AND h.place <= {high}"""
+
+
+def _shown(page: library_search.Page):
+    return page.hits.select("id", "url", "place", "ranked", "matched", "chunk_status", "chunk_start",
+                            F.when(F.col("chunk_start").isNotNull(), F.col("snippet")).alias("span"))
+
+
+@query("library_search", _hits_sql(0, 25))
+def _asked(t):
+    return _shown(library_search.result_page(*asked(t), 25))
+
+
+@query("library_search_next", _hits_sql(25, 60))
+def _asked_next(t):
+    found = asked(t)
+    first = library_search.result_page(*found, 25).about.first()
+    return _shown(library_search.result_page(*found, 35, first["next"]))
+
+
+@query("library_search_about", """
+SELECT w.what, 'hybrid' AS ranking, n AS total, CASE WHEN w.what = 'stale' THEN 0 ELSE least(25, n) END AS returned, w.what = 'stale' AS stale,
+  w.what <> 'stale' AND n > 25 AS truncated FROM (SELECT count(*) AS n FROM asked_hits), (SELECT unnest(['first', 'stale']) AS what) w""")
+def _asked_about(t):
+    """What a search says of its pages; a cursor of another question is stale."""
+    from dataclasses import replace
+
+    first = library_search.result_page(*asked(t, replace(ASKED, query="th on")), 25).about.first()
+    found = asked(t)
+    rows = [library_search.result_page(*found, 25, cursor).about.withColumn("what", F.lit(what))
+            for what, cursor in (("first", None), ("stale", first["next"] or f"v1:0:{'0' * 64}"))]
+    return rows[0].unionByName(rows[1]).select("what", "ranking", "total", "returned", "stale", "truncated")
+
+
+@query("library_search_fallback", """
+SELECT 'chunks_' || s AS code, count(*) AS affected_pages FROM (SELECT CASE WHEN c.id IS NULL THEN 'missing' WHEN d.id % 4 = 0 THEN 'stale' END AS s
+  FROM asked_docs d LEFT JOIN asked_chunks c USING (id)) WHERE s IS NOT NULL GROUP BY 1""")
+def _asked_fallback(t):
+    return asked(t)[0].fallback
+
+
 SQL_VIEWS["refined"] = _unit("""
 SELECT 1 AS one, pos, q.x + p.x - 0.25 * n.x AS x FROM (SELECT unnest(vector) AS x, unnest(range(1, len(vector) + 1)) AS pos FROM q3) q
 JOIN (SELECT pos, avg(x) AS x FROM dims WHERE id % 6 = 1 GROUP BY pos) p USING (pos)
