@@ -354,7 +354,7 @@ def _kmeans(t):
 
 @query("silhouette_curve")
 def _silhouette(t):
-    return models.silhouette_curve(t.vectors().select("id", "vector"), [5, 10])
+    return models.silhouette_curve(t.vectors().select("id", "vector"), list(range(10, 61, 5)))
 
 
 @query("decide_in_set", """

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelib.functions import vectors as V
-from pagelib.operators import library_search, search, term_index
+from pagelib.operators import library_search, neighbours, search, term_index
 from pagelib.operators import vectors as vec
 from pagelib.plans.registry import query
 from pagelib.plans.tables import SQL_VIEWS, Tables
@@ -442,10 +442,20 @@ def _check(t):
 
 # --- vector tables
 
-@query("top_k_neighbours", """
+_NEAR = """
 SELECT * FROM (SELECT a.id AS "left", b.id AS "right", round(list_dot_product(a.vector, b.vector), 6) AS score, row_number() OVER (
   PARTITION BY a.id ORDER BY round(list_dot_product(a.vector, b.vector), 9) DESC, b.id)::INTEGER AS place
-  FROM wide a JOIN wide b ON a.id % 5 = 0 AND b.id % 5 <> 0) WHERE place <= 7""")
+  FROM wide a JOIN wide b ON a.id % 5 = 0 AND b.id % 5 <> 0) WHERE place <= 7"""
+
+
+@query("near_neighbours", _NEAR)
+def _candidates(t):
+    """Every cell is asked: the vectors lie in no clusters, and the answer is then the exact one."""
+    v = t.vectors()
+    return neighbours.near_neighbours(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 7, probes=neighbours.MOST_CELLS).withColumn("score", two_steps())
+
+
+@query("top_k_neighbours", _NEAR)
 def _neighbours(t):
     v = t.vectors()
     return vec.top_k_neighbours(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 7).withColumn("score", two_steps())

@@ -128,11 +128,11 @@ def _export(t):
 
 @query("write_worklist", """
 SELECT p.url, trim(regexp_replace(p.title, '\\s+', ' ', 'g')) AS title, CASE WHEN page_id % 3 = 0 THEN 'Fetched ' || page_id END AS page_title FROM kept_pages p JOIN pages USING (url)
-WHERE p.url NOT IN (SELECT url FROM shown WHERE tag = 'Toxic')""")
+WHERE p.url NOT IN (SELECT url FROM shown WHERE tag = 'Toxic') AND p.url NOT IN (SELECT url FROM suggested WHERE seq % 4 = 1 AND lower(source) = 'signup')""")
 def _worklist(t):
     path = scratch(t.spark, "worklist")
     due = tags.prompt_due(lib.library_pages(t.sightings(), t.forgotten()), t.page_tags().where("name = 'Toxic'"), t.vocabulary(),
-                          t.suggested().where("url = ''"))
+                          t.suggested().where("seq % 4 = 1 AND lower(source) = 'signup'"))
     p = F.col("page_id")
     meta = t.site_pages().select("url", F.lit("ok").alias("status"), F.when(p % 3 == 0, F.concat(F.lit("Fetched "), p.cast("string")))
                                  .otherwise(F.col("title")).alias("title"), F.lit(None).cast("string").alias("description"))
