@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Chunk sizes, in tokens of four bytes.
 LEAST, MOST, OVERLAP = 256 * 4, 512 * 4, 32 * 4
 
+# What the block rules of CommonMark take for a code fence, a heading, the line under a heading, a list item and
+# an indented line. Chunk borders must fall where these say.
 MARK = r"^ {0,3}(`{3,}|~{3,})"
 HASHES = r"^ {0,3}#{1,6}(?:[ \t]|$)"
 UNDERLINE = r"^ {0,3}(?:=+|-+)[ \t]*$"
@@ -72,11 +74,14 @@ def page_blocks(lines: DataFrame) -> DataFrame:
     """(page_id, block, start, kind, section): blocks of lines; a block's blank lines after it belong to it."""
     page = Window.partitionBy("page_id").orderBy("at")
     sofar = page.rowsBetween(Window.unboundedPreceding, 0)
-    around = F.get(F.filter(F.coalesce("fences", F.array().cast(FENCES)), lambda f: F.col("at").between(f["top"], f["bottom"])), F.lit(0))
+    # Fences do not overlap: the last one that opened is the only one that can hold a line.
+    opened = (fence_ranges(lines).select("page_id", F.explode("fences").alias("opened"))
+              .select("page_id", F.col("opened.top").alias("at"), "opened"))
     title = F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}[ \t]*", ""), r"(?:^|[ \t]+)#+[ \t]*$", "")
     own = (F.when(F.col("fence").isNotNull(), "fence").when(F.col("line").rlike(DEEP), "deep").when(F.col("line").rlike(ITEM), "list")
            .when(F.col("line").rlike(HASHES), "heading").otherwise("paragraph"))
-    rows = (lines.join(fence_ranges(lines), "page_id", "left").withColumn("fence", around).drop("fences")
+    rows = (lines.join(opened, ["page_id", "at"], "left").withColumn("opened", F.last("opened", ignorenulls=True).over(sofar))
+            .withColumn("fence", F.when(F.col("at") <= F.col("opened.bottom"), F.col("opened"))).drop("opened")
             .withColumn("blank", F.col("line").rlike(r"^\s*$") & F.col("fence").isNull())
             .withColumn("next", F.lead("line").over(page))
             .withColumn("kind", own)
