@@ -2,9 +2,14 @@
 
 Equal vectors are one class. Each tree halves a bounded sample again and again, at the median of its projections on a
 random direction, and every vector of the table then goes down all trees; one that lies close to a split goes down both
-sides (spill). Vectors of a leaf are compared exactly, in tiles if there are many, so a leaf of any size is finished. A
-pair is counted in the smallest leaf that both share and nowhere else; so a tile sends one count for each vector and
-the edges of a spanning forest, never its pairs. Components are the union over all leaves.
+sides (spill). A leaf that the table fills beyond MOST_ROWS is split further in the same way, by a tree fitted on a hash
+sample of its own rows, level by level, so leaves stay bounded at any table size. Only where a split would leave both
+sides nearly whole does a leaf stay: its vectors lie closer together than the spill band is wide, so most of them link
+with each other and their comparison is the work that their links are. Vectors of a leaf are compared exactly, in tiles
+if there are many. A pair is counted in the smallest leaf that both share and nowhere else; so a tile sends one count for
+each vector and the edges of a spanning forest, never its pairs. Components are the union over all leaves.
+
+A deeper tree parts more near pairs, so the number of trees doubles with every five levels below the seventh.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Shorter vectors count as
 padded with zeros. Rows that repeat are vectors of their own and link with each other. A null id is never the smallest.
@@ -18,17 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pagelib.llm.common import components, query, small, table
 from pagelib.llm.topk import finite, matrix
 from pagelib.session import materialise
 
 COSINE = 0.95
-TREES = 8
-SPILL = 0.012            # half width of the band around a split that goes both ways
+TREES = 8                # of a table whose trees are at most FLAT levels deep
+FLAT = 7
+SPILL = 0.096            # half width of the band around a split that goes both ways, times the root of the dimensions
+SHRINK = 0.65            # most of a node's vectors that a side may keep for the split to be worth its copies
 SAMPLE = 16_384          # vectors that the trees are fitted on, chosen by hash
 LEAF = 400               # vectors a leaf should hold
-LEAST_SAMPLE = 16        # of a leaf; beyond SAMPLE / LEAST_SAMPLE leaves they grow and are tiled
+MOST_ROWS = 4 * LEAF     # a leaf with more is split again
+LEAST_SAMPLE = 64        # of a leaf
+FIT = 4_096              # vectors of a leaf that its own tree is fitted on, chosen by hash
+BLOCK = 8_192            # vectors that one task takes down a leaf's own tree at a time
 TILE = 1024
 
 
@@ -37,17 +48,26 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def as_unit(dims: int):
+    """Vectors of length 1 as bytes."""
+    @pandas_udf("binary")
+    def go(v: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in unit(matrix(v, dims))], dtype=object)
+
+    return go
+
+
 class Tree:
     """Split directions and thresholds by node; leaves are numbered from left to right."""
 
-    def __init__(self, sample: np.ndarray, leaf: int, rng: np.random.Generator):
+    def __init__(self, sample: np.ndarray, leaf: int, spill: float, rng: np.random.Generator):
         self.direction: list[np.ndarray | None] = []
         self.cut: list[float] = []
         self.child: list[tuple[int, int]] = []
         self.leaves = 0
-        self._grow(sample, leaf, rng)
+        self._grow(sample, leaf, spill, rng)
 
-    def _grow(self, sample: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
+    def _grow(self, sample: np.ndarray, leaf: int, spill: float, rng: np.random.Generator) -> int:
         node = len(self.cut)
         self.direction.append(None)
         self.cut.append(0.0)
@@ -57,10 +77,10 @@ class Tree:
             d /= np.linalg.norm(d)
             p = sample @ d
             cut = float(np.median(p))
-            left = p <= cut
-            if 0 < left.sum() < len(p):
+            left, right = p - cut <= spill, p - cut > -spill
+            if max(left.sum(), right.sum()) <= SHRINK * len(p):
                 self.direction[node], self.cut[node] = d, cut
-                self.child[node] = (self._grow(sample[left], leaf, rng), self._grow(sample[~left], leaf, rng))
+                self.child[node] = (self._grow(sample[left], leaf, spill, rng), self._grow(sample[right], leaf, spill, rng))
                 return node
         self.child[node] = (self.leaves, -1)
         self.leaves += 1
@@ -83,41 +103,97 @@ class Tree:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def plant(sample: np.ndarray, total: int, trees: int, seed: int) -> list[Tree]:
-    leaf = max(LEAST_SAMPLE, int(LEAF * len(sample) / max(total, 1)))
-    return [Tree(sample, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
+def leaf_of_sample(sample: int, total: int, held: int, least: int) -> int:
+    """Sample vectors of a leaf that should hold `held` of `total`."""
+    return max(least, int(held * sample / max(total, 1)))
+
+
+def trees_for(total: int) -> int:
+    """TREES up to FLAT levels, twice as many for each five levels more."""
+    depth = np.log2(max(total / LEAF, 1))
+    return int(np.ceil(TREES * 2 ** (max(0.0, depth - FLAT) / 5)))
+
+
+def plant(sample: np.ndarray, total: int, trees: int, spill: float, seed: int) -> list[Tree]:
+    leaf = leaf_of_sample(len(sample), total, LEAF, LEAST_SAMPLE)
+    return [Tree(sample, leaf, spill, np.random.default_rng([seed, t])) for t in range(trees)]
+
+
+PLACED = "leaf long, child long, final boolean, class long, copies long, v binary"
 
 
 def place(forest, dims: int, spill: float):
-    """Each vector once for each of its leaves, with the list of all of them."""
+    """Each vector once for each of its leaves."""
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = forest.value
         for batch in batches:
             if not len(batch):
                 continue
             m = unit(matrix(batch["v"], dims))
-            rows, leaves = [], []
-            for t, tree in enumerate(trees):
-                r, leaf = tree.leaves_of(m, spill)
-                rows.append(r)
-                leaves.append(leaf.astype(np.int64) + (t << 32))
-            row, leaf = np.concatenate(rows), np.concatenate(leaves)
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
-            edges = np.searchsorted(row, np.arange(len(m) + 1))
-            lists = [leaf[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-            vectors = [v.tobytes() for v in m]
-            yield pd.DataFrame({"leaf": leaf, "class": batch["class"].to_numpy()[row], "copies": batch["copies"].to_numpy()[row],
-                                "v": [vectors[i] for i in row], "leaves": [lists[i] for i in row]})
+            vectors = np.array([v.tobytes() for v in m], dtype=object)
+            for t, tree in enumerate(forest.value):
+                row, leaf = tree.leaves_of(m, spill)
+                yield pd.DataFrame({"leaf": t, "child": leaf.astype(np.int64), "final": False,
+                                    "class": batch["class"].to_numpy()[row], "copies": batch["copies"].to_numpy()[row],
+                                    "v": vectors[row]})
+
+    return go
+
+
+def place_again(spill: float, seed: int, held: int, least: int):
+    """A block of a crowded leaf goes down the tree that the leaf's sample gives, the same one in every block."""
+    def go(rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c.split()[0]: [] for c in PLACED.split(", ")})
+        leaf, n = int(rows["leaf"].iat[0]), int(rows["n"].iat[0])
+        chosen = sample.sort_values("class")["v"]
+        m = np.frombuffer(b"".join(rows["v"]), dtype=np.float64).reshape(len(rows), -1)
+        points = np.frombuffer(b"".join(chosen), dtype=np.float64).reshape(-1, m.shape[1])
+        tree = Tree(points, leaf_of_sample(len(points), n, held, least), spill, np.random.default_rng([seed, leaf]))
+        row, child = tree.leaves_of(m, spill)
+        return pd.DataFrame({"leaf": leaf, "child": child.astype(np.int64), "final": tree.leaves == 1,
+                             "class": rows["class"].to_numpy()[row], "copies": rows["copies"].to_numpy()[row],
+                             "v": rows["v"].to_numpy()[row]})
 
     return go
 
 
+def named(placed: DataFrame) -> DataFrame:
+    """The child of a leaf as a leaf of its own; names are not negative."""
+    return placed.withColumn("leaf", F.shiftrightunsigned(F.xxhash64("leaf", "child"), 1)).drop("child")
+
+
+def split_crowded(placed: DataFrame, spill: float, seed: int) -> DataFrame:
+    """(class, leaf) of all vectors, with no leaf over MOST_ROWS that a split can help."""
+    done = []
+    while True:
+        sizes = materialise(placed.where("not final").groupBy("leaf").agg(F.count("*").alias("n"))
+                            .where(F.col("n") > MOST_ROWS), "forest-crowded")
+        crowded = sizes.count()
+        if not crowded:
+            done.append(placed.select("class", "leaf"))
+            break
+        sizes = small(sizes, 1 << 17)
+        done.append(placed.join(sizes, "leaf", "left_anti").select("class", "leaf"))
+        rows = placed.join(sizes, "leaf").select("leaf", "n", "class", "copies", "v")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        lot = F.pmod(F.xxhash64("class", "leaf", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+        sample = rows.where(lot < FIT / F.col("n")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        blocked = rows.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), blocks).cast("int"))
+        sample = sample.select(*[F.col(c).alias(c) for c in ("leaf", "block", "class", "v")])     # columns of their own
+        placed = materialise(named(
+            blocked.groupBy("leaf", "block").cogroup(sample.groupBy("leaf", "block"))
+            .applyInPandas(place_again(spill, seed, LEAF, LEAST_SAMPLE), PLACED)), "forest-leaves")
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    return found
+
+
 def padded(lists: pd.Series) -> np.ndarray:
     """Leaf lists as one array; ends are filled with -1."""
-    sizes = np.array([len(x) // 8 for x in lists])
+    sizes = np.array([len(x) for x in lists])
     out = np.full((len(lists), sizes.max()), -1, dtype=np.int64)
-    out[np.arange(sizes.max())[None, :] < sizes[:, None]] = np.frombuffer(b"".join(lists), dtype=np.int64)
+    out[np.arange(sizes.max())[None, :] < sizes[:, None]] = np.concatenate(lists.to_list())
     return out
 
 
@@ -165,10 +241,31 @@ def compare_tile(cosine: float):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL,
+def forest_leaves(classes: DataFrame, total: int, dims: int, trees: int, spill: float, sample: int, seed: int) -> DataFrame:
+    """(class, leaf), each class once for each of its leaves in all trees."""
+    lot = F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 20))
+    chosen = classes.where(lot < int((1 << 20) * min(1.0, sample / max(total, 1)))).select("v").toPandas()
+    points = unit(matrix(chosen["v"], dims)) if len(chosen) else np.zeros((0, dims))
+    forest = classes.sparkSession.sparkContext.broadcast(plant(points, total, trees, spill, seed))
+    placed = classes.select("class", "copies", "v").mapInPandas(place(forest, dims, spill), PLACED)
+    return split_crowded(materialise(named(placed), "forest-leaves"), spill, seed)
+
+
+def tiles_of(classes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows of each pair of blocks of a leaf that one task compares, with all leaves of a vector."""
+    lists = leaves.groupBy("class").agg(F.collect_set("leaf").alias("leaves"))   # some per tree
+    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = (classes.select("class", "copies", "v").join(lists, "class").withColumn("leaf", F.explode("leaves"))
+             .join(small(sizes, 1 << 17), "leaf").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(
+        F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"), (F.col("block") > o).cast("int").alias("side")))
+    return dealt.withColumn("t", F.explode(others)).select("leaf", "t.x", "t.y", "t.side", "class", "copies", "v", "leaves")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int | None = None, spill: float = SPILL,
                     sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id, embedding)."""
-    spark = vectors.sparkSession
     usable = finite("embedding") & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", F.when(usable, F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     rows = rows.withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
@@ -176,23 +273,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
                           .agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first")),
                           "forest-classes")
     total, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
-    lot = F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 20))
-    chosen = classes.where(lot < int((1 << 20) * min(1.0, sample / max(total, 1)))).select("v").toPandas()
     dims = dims or 1
-    points = unit(matrix(chosen["v"], dims)) if len(chosen) else np.zeros((0, dims))
-    forest = spark.sparkContext.broadcast(plant(points, total, trees, seed))
-
-    placed = materialise(classes.select("class", "copies", "v").mapInPandas(
-        place(forest, dims, spill), "leaf long, class long, copies long, v binary, leaves binary"), "forest-leaves")
-    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    # There are at most trees * sample / LEAST_SAMPLE leaves.
-    dealt = placed.join(small(sizes, trees * sample // LEAST_SAMPLE), "leaf").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(
-        F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"), (F.col("block") > o).cast("int").alias("side")))
-    tiles = dealt.withColumn("t", F.explode(others)).select("leaf", "t.x", "t.y", "t.side", "class", "copies", "v", "leaves")
-    found = materialise(tiles.groupBy("leaf", "x", "y").applyInPandas(compare_tile(cosine), "a long, b long, links long"),
-                        "forest-links")
+    leaves = forest_leaves(classes, total, dims, trees or trees_for(total), spill / dims ** 0.5, sample, seed)
+    units = classes.withColumn("v", as_unit(dims)("v"))
+    found = materialise(tiles_of(units, leaves).groupBy("leaf", "x", "y").applyInPandas(
+        compare_tile(cosine), "a long, b long, links long"), "forest-links")
 
     joined = components(found.where("links = 0").select("a", "b"), "forest-components")
     links = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))

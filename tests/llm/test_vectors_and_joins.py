@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -132,6 +133,74 @@ def test_forest_recall_and_no_false_link(spark):
     assert (got["kept"] == (got.index == got["component_id"])).all()
 
 
+def cloud(rng, n, d, cosine):
+    """Unit vectors of a mean cosine around one direction."""
+    v = rng.standard_normal((n, d)) * ((1 - cosine) / d) ** 0.5 + np.eye(d)[0] * cosine ** 0.5
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def twins(rng, v, cosine):
+    """A vector of exactly this cosine with each of `v`."""
+    w = rng.standard_normal(v.shape)
+    w -= (w * v).sum(1, keepdims=True) * v
+    return cosine * v + (1 - cosine ** 2) ** 0.5 * w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.9, 0.95])
+def test_forest_recall_at_depth_with_a_hot_group(hot):
+    """Twins at the threshold share a leaf of some tree, ten levels down, in a group of a third of all vectors."""
+    rng = np.random.default_rng(12)
+    d, n = 64, 12_000
+    v = np.concatenate([cloud(rng, n // 3, d, hot), forest.unit(rng.standard_normal((n - n // 3, d)))])
+    spill, trees = forest.SPILL / d ** 0.5, forest.trees_for(forest.LEAF << 10)
+    at = rng.choice(n // 3, 1500, replace=False)
+    other = twins(rng, v[at], 0.95)
+    met = np.zeros(len(at), dtype=bool)
+    for t in range(trees):
+        tree = forest.Tree(v, 16, spill, np.random.default_rng([1, t]))
+        a, b = (set(zip(*map(np.ndarray.tolist, tree.leaves_of(x, spill)))) for x in (v[at], other))
+        met[[row for row, _ in a & b]] = True
+    assert trees == 13 and met.mean() >= 0.95, met.mean()
+
+
+def test_forest_splits_crowded_leaves(spark, monkeypatch):
+    for name, value in {"LEAF": 40, "MOST_ROWS": 160, "LEAST_SAMPLE": 16, "FIT": 200, "BLOCK": 300}.items():
+        monkeypatch.setattr(forest, name, value)
+    rng = np.random.default_rng(13)
+    d = 32
+    compared = {}
+    for n in (2000, 4000):
+        v = np.concatenate([cloud(rng, n // 3, d, 0.8), forest.unit(rng.standard_normal((n - n // 3, d)))])
+        v = np.concatenate([v, twins(rng, v[::5], 0.96), v[:3], v[:3]])
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        classes = df.dropDuplicates(["embedding"]).select(F.col("vec_id").alias("class"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"))
+        leaves = forest.forest_leaves(classes, len(v), d, 8, forest.SPILL / d ** 0.5, 128, 5).toPandas()
+        sizes = leaves.groupby("leaf").size()
+        assert sizes.max() <= 160 and leaves["class"].nunique() == len(v) - 6
+        assert not leaves.duplicated().any()
+        compared[n] = (sizes.astype(float) ** 2).sum()
+    # Twice the vectors: about twice the pairs compared, where one level of leaves compares four times as many.
+    assert compared[4000] < 2.8 * compared[2000]
+    got = forest.near_duplicates(df, sample=128).toPandas().set_index("vec_id").sort_index()
+    near = (v @ v.T >= 0.95) & ~np.eye(len(v), dtype=bool)
+    want = near.sum(1)
+    assert want.sum() > 1500 and (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.95 * want.sum()
+
+
+def test_forest_sql_on_planted_links(spark, tmp_path):
+    """The SQL twin on a table that has links, which the given tables have not."""
+    rng = np.random.default_rng(14)
+    v = forest.unit(rng.standard_normal((300, 24)))
+    v = np.concatenate([v, twins(rng, v[:80], 0.97), twins(rng, v[:40], 0.98), v[:5]])
+    rows = [(int(i), x.tolist()) for i, x in zip(rng.permutation(len(v)), v)] + [(9001, None), (9002, [0.0] * 24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(forest.SQL_OP8).fetchall())
+    got = QUERIES["op8_forest"](spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(tuple(r) for r in got) == want and sum(r[1] for r in want) >= 200
+
+
 def test_forest_hot_leaf_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(forest, "TILE", 32)
     rng = np.random.default_rng(6)
