@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelib.functions import ordered
@@ -40,27 +40,31 @@ def latest_stream(log: DataFrame, out: str, checkpoint: str, key: str = "url", s
 
 
 def attempt_stream(log: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Attempt numbers with two values of state per page: errors in a row, and nothing else.
+    """Attempt numbers with two values of state per page: errors in a row, and the last record's number.
 
-    `log` has (url, seq, status, reason). Records of a page come in the order of the log.
+    `log` has (url, seq, status, reason). Records of a page come in the order of the log; those that come again, as
+    from a file that was copied twice, are ignored.
     """
     schema = "url string, seq long, attempt long, settled_status string, settled_reason string"
 
     def number(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors = state.get[0] if state.exists else 0
+        errors, last = state.get if state.exists else (0, -1)
         rows = []
         for r in pd.concat(batches).sort_values("seq").itertuples(index=False):
+            if r.seq <= last:
+                continue
+            last = int(r.seq)
             attempt = errors + 1
             failed = r.status == "error"
             gives_up = failed and attempt >= RUNS_BEFORE_UNAVAILABLE
             errors = attempt if failed and not gives_up else 0
             said = f"{r.reason or ''}; failed on {attempt} runs" if gives_up else r.reason
             rows.append((key[0], r.seq, attempt, "unavailable" if gives_up else r.status, said))
-        state.update((errors,))
+        state.update((errors, last))
         yield pd.DataFrame(rows, columns=["url", "seq", "attempt", "settled_status", "settled_reason"])
 
     numbered = log.select("url", "seq", "status", "reason").groupBy("url").applyInPandasWithState(
-        number, schema, "errors long", "append", GroupStateTimeout.NoTimeout)
+        number, schema, "errors long, last long", "append", GroupStateTimeout.NoTimeout)
     _start(numbered, _write_batch(out), checkpoint, "append")
     return log.sparkSession.read.parquet(out).drop("batch")
 
@@ -100,34 +104,50 @@ def bookmark_view(items: DataFrame) -> DataFrame:
 
 
 def change_stream(captures: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Captures that differ from the one before in their browser and profile.
+    """Captures that differ from the one before in their browser and profile: (browser, profile, captured_at, id, digest).
 
-    Browsers are few and each may hold most rows, so a batch is compared within
-    itself by the split `lag`, and only each browser's last digest is carried, in a
-    small state table per batch.
+    Captures may come late, again and in any order. They are kept by day in the shared folder; a batch compares anew the
+    hours that it adds to, reading only their days, and writes the hour's changes, its first capture and its last
+    digest. The newest version of an hour stands. The first capture of an hour is compared when the result is read, with the
+    last digest of the hour before: one row for each hour, so a late hour also corrects the one after it. Browsers are
+    few and each may hold most rows, so nothing is grouped by browser alone but these rows.
     """
     spark = captures.sparkSession
     keys = ["browser", "profile"]
+    hour = F.coalesce(F.floor(F.unix_seconds("captured_at") / 3600), F.lit(-(1 << 40))).cast("long")
+    kept = captures.select(*keys, "captured_at", "id", "digest").withColumn("hour", hour)
+    held = [f"{c} {t}" for c, t in kept.dtypes]
+    stored = ", ".join([*held, "batch long", "day long"])
+    result = ", ".join([*held, "previous struct<v: string>", "first boolean", "last struct<v: string>", "batch long"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A lost state folder is an error: without it the next captures would be compared with nothing.
-        carried = spark.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
-        rows = ordered.lag(batch, keys, [F.col("captured_at"), F.col("id")], ["captured_at", "id"],
-                           [Coarse(F.date_trunc("hour", "captured_at"))], "previous", F.col("digest"))
-        last = batch.groupBy(*keys).agg(F.max_by("digest", F.struct("captured_at", "id")).alias("last"))
-        if carried is not None:
-            c = carried.select(F.col("browser").alias("b"), F.col("profile").alias("p"), F.col("last").alias("before"))
-            rows = rows.join(c, F.col("browser").eqNullSafe(F.col("b")) & F.col("profile").eqNullSafe(F.col("p")), "left").withColumn(
-                "previous", F.coalesce("previous", "before")).drop("b", "p", "before")
-            l = last.select(F.col("browser").alias("b"), F.col("profile").alias("p"), F.lit(1).alias("new"))
-            kept = carried.join(l, F.col("browser").eqNullSafe(F.col("b")) & F.col("profile").eqNullSafe(F.col("p")), "left_anti")
-            last = last.unionByName(kept.select(*keys, "last"))
-        changed = rows.where(F.col("previous").isNull() | (F.col("previous") != F.col("digest")))
-        changed.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-        last.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
-
-    _start(captures, write, checkpoint, "append")
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+        batch.withColumn("day", F.floor(F.col("hour") / 24)).write.mode("overwrite").partitionBy("day").parquet(
+            f"{out}/captures/batch={batch_id}")
+        touched = batch.select(*[F.coalesce(F.col(k), F.lit("")).alias(f"_{k}") for k in keys], F.col("hour").alias("_hour"),
+                               F.floor(F.col("hour") / 24).alias("_day")).distinct()
+        same = (F.col("day") == F.col("_day")) & (F.col("hour") == F.col("_hour"))
+        for k in keys:
+            same &= F.coalesce(F.col(k), F.lit("")) == F.col(f"_{k}")
+        # Batches after this one are there only if it is repeated.
+        rows = (spark.read.schema(stored).parquet(f"{out}/captures").where(F.col("batch") <= batch_id)
+                .join(touched, same, "left_semi").drop("batch", "day").dropDuplicates([*keys, "captured_at", "id"]))
+        of_hour = Window.partitionBy(*keys, "hour").orderBy("captured_at", "id")
+        value = F.struct(F.col("digest").cast("string").alias("v"))
+        rows = rows.withColumns({"previous": F.lag(value).over(of_hour),
+                                 "last": F.last(value).over(of_hour.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        rows = rows.withColumn("first", F.col("previous").isNull())
+        differs = F.col("previous.v").isNull() | (F.col("previous.v") != F.col("digest"))
+        rows.where(F.col("first") | differs).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    _start(kept, write, checkpoint, "append")
+    rows = spark.read.schema(result).parquet(f"{out}/rows")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "hour")]
+    hours = rows.where("first").groupBy(*keys, "hour").agg(F.max("batch").alias("_batch"), F.max_by("last", "batch").alias("last"))
+    before = hours.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "hour")], "_batch",
+                          F.lag("last").over(Window.partitionBy(*keys).orderBy("hour")).alias("before"))
+    previous = F.coalesce("previous", "before")["v"]
+    return (rows.join(before, on[0] & on[1] & on[2] & (F.col("batch") == F.col("_batch")))
+            .where(previous.isNull() | (previous != F.col("digest"))).select(*keys, "captured_at", "id", "digest"))
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:

@@ -156,36 +156,45 @@ def session_fold(commands: DataFrame) -> dict[str, DataFrame]:
 
 
 def tab_stream(commands: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Current page of every open tab, continuously: (session, tab, url, title, exact, closed).
+    """Current page of every open tab, continuously: (session, tab, window, url, title, exact).
 
-    State per tab is its navigation list, which the browser bounds, and is dropped
-    when the tab closes.
+    A tab's state is its navigation list, which the browser bounds, and its window; a
+    window's state is whether it is open. Tabs of a window that is closed or was never
+    opened are left out, as in `session_fold`, also where the window closes later than the
+    tab's last command. Commands of a tab or window come in order of `seq` from one batch
+    to the next, as a log grows; those that come again are ignored.
     """
-    schema = "session long, tab long, seq long, url string, title string, exact boolean, closed boolean"
+    names = ["session", "item", "id", "seq", "window", "url", "title", "exact", "open"]
+    schema = "session long, item string, id long, seq long, window long, url string, title string, exact boolean, open boolean"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else None
-        nav = Navigations({int(i): tuple(e) for i, e in saved["e"].items()}, saved["s"]) if saved else Navigations()
-        closed, seq = False, 0
+        saved = json.loads(state.get[0]) if state.exists else {"e": {}, "s": None, "w": None, "q": -1, "o": False}
+        nav = Navigations({int(i): tuple(e) for i, e in saved["e"].items()}, saved["s"])
+        window, seq, is_open = saved["w"], saved["q"], saved["o"]
         number = lambda v: 0 if pd.isna(v) else int(v)
         for r in pd.concat(batches).sort_values("seq").itertuples(index=False):
+            if r.seq <= seq:
+                continue
             seq = r.seq
-            if r.kind == "tab_closed":
-                nav, closed = Navigations(), True
-            else:
+            if r.kind in ("tab_closed", "window_closed"):
+                nav, window, is_open = Navigations(), None, False
+                continue
+            is_open = True
+            if r.kind == "tab_window":
+                window = None if pd.isna(r.window) else int(r.window)
+            elif r.kind in NAVIGATION:
                 nav.apply(r.kind, number(r.index_), number(r.count_), (r.url, r.title))
-                closed = False
-        if closed and not nav.entries:
-            state.remove() if state.exists else None
-        else:
-            state.update((json.dumps({"e": nav.entries, "s": nav.selected}),))
-        url, title, exact = nav.current()
-        yield pd.DataFrame([(key[0], key[1], seq, url, title, exact, closed)],
-                           columns=["session", "tab", "seq", "url", "title", "exact", "closed"])
-
-    wanted = commands.where(F.col("kind").isin(NAVIGATION + ["tab_closed"]) & F.col("tab").isNotNull()).select(
-        "session", "tab", "seq", "kind", F.col("index").alias("index_"), F.col("count").alias("count_"), "url", "title")
-    current = wanted.groupBy("session", "tab").applyInPandasWithState(step, schema, "nav string", "update", GroupStateTimeout.NoTimeout)
+        # A closed tab keeps only its last number, to know commands that come again.
+        state.update((json.dumps({"e": nav.entries, "s": nav.selected, "w": window, "q": int(seq), "o": is_open}),))
+        yield pd.DataFrame([(*key, seq, window, *nav.current(), is_open)], columns=names).astype({"window": "Int64"})
+
+    of_tab = F.col("kind").isin(NAVIGATION + ["tab_window", "tab_closed"]) & F.col("tab").isNotNull()
+    of_window = F.col("kind").isin("window_type", "window_closed") & F.col("window").isNotNull()
+    wanted = commands.where(of_tab | of_window).select(
+        "session", F.when(of_tab, "tab").otherwise("window").alias("item"), F.when(of_tab, F.col("tab")).otherwise(F.col("window")).alias("id"),
+        "seq", "kind", "window", F.col("index").alias("index_"), F.col("count").alias("count_"), "url", "title")
+    current = wanted.groupBy("session", "item", "id").applyInPandasWithState(
+        step, schema, "fold string", "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -193,6 +202,9 @@ def tab_stream(commands: DataFrame, out: str, checkpoint: str) -> DataFrame:
     query = (current.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    updates = commands.sparkSession.read.parquet(out)
-    return updates.groupBy("session", "tab").agg(F.max_by(F.struct("url", "title", "exact", "closed"), "seq").alias("r")).select(
-        "session", "tab", "r.*").where(~F.col("closed"))
+    updates = commands.sparkSession.read.schema(schema).parquet(out)
+    last = updates.groupBy("session", "item", "id").agg(F.max_by(F.struct("window", "url", "title", "exact", "open"), "seq").alias("r"))
+    last = last.select("session", "item", "id", "r.*").where("open")
+    windows = last.where("item = 'window'").select("session", F.col("id").alias("window"))
+    return (last.where("item = 'tab' AND url IS NOT NULL").withColumnRenamed("id", "tab").join(windows, ["session", "window"], "left_semi")
+            .select("session", "tab", "window", "url", "title", "exact"))
