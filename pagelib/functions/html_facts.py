@@ -25,6 +25,10 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 ENDS_P = BLOCKS - {"br", "body", "dt", "dd", "li", "tr"} | {"nav", "header", "footer", "aside", "fieldset", "details", "address"}
+# Where a page names no article: elements that may hold the main text, and how a line of text counts for them.
+HOLDERS = {"body", "div", "section", "td", "form", "center", "font"}
+PROSE = 40               # characters of a line that reads as a sentence; a shorter one counts neither way
+LINKED = 0.5             # share of link text above which a line counts against what holds it
 P_STAYS = {"td", "th", "table", "button", "object", "template", "li"}
 
 
@@ -48,8 +52,12 @@ class PageFacts(HTMLParser):
         self.seen, self.scripts, self.password, self.mount = [], 0, False, False
         self.in_head, self.head_done = False, False
         self.open = []            # open elements: (tag, the counts it raises)
-        self.area = {"article": 0, "main": 0, "chrome": 0, "pre": 0, "unseen": 0}
+        self.area = {"article": 0, "main": 0, "chrome": 0, "pre": 0, "unseen": 0, "a": 0}
         self.parts = {"article": [], "page": []}
+        self.named = False        # whether an article or main element was seen
+        self.line, self.line_at = [0, 0], 0          # characters and link characters since the last block border
+        self.gain, self.link_lines = 0, []           # sum over all lines so far; places of lines made of links
+        self.best = (0, 0, 0)     # gain of the best holder, and its place in the page's text
         self.raw, self.raw_text, self.raw_attrs = None, [], {}
 
     def handle_starttag(self, tag, attributes):
@@ -76,12 +84,15 @@ class PageFacts(HTMLParser):
                 self._text("\n")
             return
         roles = set(attrs.get("role", "").lower().split())
-        raises = [name for name in ("article", "main", "pre") if tag == name]
+        raises = [name for name in ("article", "main", "pre", "a") if tag == name]
+        self.named = self.named or tag in ("article", "main")
         if tag in CHROME or roles & CHROME_ROLES:
             raises.append("chrome")
         if tag in UNSEEN or _hidden(attrs):
             raises.append("unseen")
-        self.open.append((tag, raises))
+        if tag in BLOCKS or tag in HOLDERS:
+            self._border()
+        self.open.append((tag, raises, (self.gain, len(self.parts["page"]))))
         for name in raises:
             self.area[name] += 1
         if tag in BLOCKS:
@@ -121,7 +132,10 @@ class PageFacts(HTMLParser):
                 return
 
     def _close_from(self, at):
-        for tag, raises in reversed(self.open[at:]):
+        for tag, raises, since in reversed(self.open[at:]):
+            if tag in BLOCKS or tag in HOLDERS:
+                self._border()
+                self._weigh(tag, since)
             for name in raises:
                 self.area[name] -= 1
             if tag == "pre":
@@ -130,6 +144,37 @@ class PageFacts(HTMLParser):
                 self._text("\n\n")
         del self.open[at:]
 
+    def _border(self):
+        """A line of text ends: prose counts for what holds it, a line of links against it."""
+        chars, linked = self.line
+        end = len(self.parts["page"])
+        if linked > LINKED * chars:
+            self.gain -= chars
+            self.link_lines.append((self.line_at, end))
+        elif chars >= PROSE:
+            self.gain += chars - linked
+        self.line, self.line_at = [0, 0], end
+
+    def _weigh(self, tag, since):
+        """The holder with the greatest sum stands; of equal ones the innermost, which closes first."""
+        gain, start = since
+        if tag in HOLDERS and self.gain - gain > self.best[0]:
+            self.best = (self.gain - gain, start, len(self.parts["page"]))
+
+    def dense(self) -> list[str]:
+        """Text of the best holder without its lines of links; none if no holder has more prose than links."""
+        self._border()
+        for tag, _, since in reversed(self.open):
+            self._weigh(tag, since)
+        self._weigh("body", (0, 0))
+        _, start, end = self.best
+        kept, at = [], start
+        for a, b in self.link_lines:
+            if start <= a and b <= end:
+                kept += self.parts["page"][at:a]
+                at = b
+        return kept + self.parts["page"][at:end]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -156,11 +201,14 @@ class PageFacts(HTMLParser):
             return
         if not self.area["chrome"] or self.area["main"]:
             self.parts["page"].append(text)
+            chars = len(text.strip())
+            self.line[0] += chars
+            self.line[1] += chars if self.area["a"] else 0
         if self.area["article"] or self.area["main"]:
             self.parts["article"].append(text)
 
     def _head_tag(self, tag, attrs):
-        if self.head_done or any(t in ("noscript", "template") for t, _ in self.open):
+        if self.head_done or any(t in ("noscript", "template") for t, *_ in self.open):
             return
         if tag == "html" and self.lang is None:
             self.lang = attrs.get("lang", "").strip() or None
@@ -181,8 +229,9 @@ class PageFacts(HTMLParser):
             self.jsonld.append(text.strip())
         self.raw = None
 
-    def markdown(self, part: str) -> str:
-        text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(self.parts[part]))
+    @staticmethod
+    def markdown(parts: list[str]) -> str:
+        text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parts))
         return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
@@ -194,7 +243,7 @@ def facts(html: str) -> dict:
         "title": p.title, "lang": p.lang, "canonical": p.canonical,
         "meta": [{"key": k, "content": c} for k, c in p.meta], "jsonld": p.jsonld,
         "visible": collapse(" ".join(p.seen)), "scripts": p.scripts, "password": p.password, "mount": p.mount,
-        "article": p.markdown("article"), "page": p.markdown("page"), "images": p.images,
+        "article": p.markdown(p.parts["article"] if p.named else p.dense()), "page": p.markdown(p.parts["page"]), "images": p.images,
     }
 
 
