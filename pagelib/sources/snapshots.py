@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagelib.session import materialise
+
 SCHEMA_VERSION = 1
 SNAPSHOT_SCHEMA = (
     "schema_version int, id string, captured_at timestamp, "
@@ -21,7 +23,7 @@ def read_snapshots(spark: SparkSession, path: str, file: str = "*.json") -> dict
 
     `path` holds one folder per snapshot; the folder names it. A document is used
     only if its schema version is 1, every window number is above zero and no tab
-    id repeats.
+    id repeats. Documents are parsed once, into the shared folder, for all tables.
     """
     docs = (spark.read.schema(SNAPSHOT_SCHEMA)
             .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
@@ -30,7 +32,7 @@ def read_snapshots(spark: SparkSession, path: str, file: str = "*.json") -> dict
     ids = F.transform("tabs", lambda t: t["tab_id"])
     good = (F.col("_corrupt").isNull() & (F.col("schema_version") == SCHEMA_VERSION)
             & F.forall("tabs", lambda t: t["window"] > 0) & (F.size(F.array_distinct(ids)) == F.size(ids)))
-    docs = docs.withColumn("good", F.coalesce(good, F.lit(False)))
+    docs = materialise(docs.withColumn("good", F.coalesce(good, F.lit(False))).drop("_corrupt"), "snapshots")
     used = docs.where("good")
     part = lambda name: used.select("snapshot_id", "captured_at", F.explode(name).alias("x")).select("snapshot_id", "captured_at", "x.*")
     return {

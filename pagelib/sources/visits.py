@@ -38,11 +38,23 @@ def parquet_loader(spark: SparkSession, path: str) -> Callable[[str], DataFrame
 MISSING_TABLE = re.compile(r"no such table|relation .* does not exist|table .* (?:doesn't exist|does not exist|not found)", re.I)
 
 
-def jdbc_loader(spark: SparkSession, url: str, **options) -> Callable[[str], DataFrame | None]:
+def jdbc_options(url: str, table: str, split: dict[str, tuple[str, int, int, int]] | None = None, **options) -> dict[str, str]:
+    """Options of one table's read. `split` names for a table the (column, smallest, largest, parts) that it is read in by
+    as many tasks; values beyond the ends are read by the first and the last. A table without an entry is one task's work."""
+    out = {"url": url, "dbtable": table, **{k: str(v) for k, v in options.items()}}
+    if split and table in split:
+        column, low, high, parts = split[table]
+        # The upper end of the last part is open, so the largest value itself is in it.
+        out |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(max(high, low + 1)), "numPartitions": str(max(parts, 1))}
+    return out
+
+
+def jdbc_loader(spark: SparkSession, url: str, split: dict[str, tuple[str, int, int, int]] | None = None,
+                **options) -> Callable[[str], DataFrame | None]:
     """Tables of a database through a JDBC driver the cluster has; a missing table counts as absent."""
     def load(table: str) -> DataFrame | None:
         try:
-            return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+            return spark.read.format("jdbc").options(**jdbc_options(url, table, split, **options)).load()
         except Exception as e:
             # Only a missing table counts as absent; a refused login or a lost connection is an error.
             if MISSING_TABLE.search(str(e)):
