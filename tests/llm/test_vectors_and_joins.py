@@ -238,3 +238,17 @@ def test_top_k_prunes_without_loss():
 def test_top_k_beyond_exact_doubles():
     a = np.array([[float(1 << 40), 3.0], [1.0, 1.0]])
     assert topk.products(a, a)[1].tolist() == [(1 << 40) + 3, 2]
+
+
+@pytest.mark.parametrize("name", ["op8_forest", "op9_topk"])
+def test_clashing_columns_change_nothing(spark, tmp_path, name):
+    rng = np.random.default_rng(15)
+    v = forest.unit(rng.standard_normal((60, 8)))
+    rows = [(int(i) * 10, x.tolist(), 7, "x") for i, x in enumerate(np.concatenate([v, twins(rng, v[:10], 0.97), v[:2]]))]
+    extra = spark.createDataFrame(rows, "vec_id long, embedding array<double>, class long, leaf string")
+    extra = extra.withColumns({c: F.lit(1) for c in ("v", "links", "component", "n_links", "kept", "rank", "score", "query_id", "copies")})
+    results = []
+    for folder, df in (("plain", extra.select("vec_id", "embedding")), ("extra", extra)):
+        df.write.parquet(str(tmp_path / folder / "embeddings.parquet"))
+        results.append(sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path / folder)).collect()))
+    assert results[0] == results[1] and results[0]
