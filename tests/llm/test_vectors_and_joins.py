@@ -228,13 +228,36 @@ def test_top_k_prunes_without_loss():
     v = np.floor(1024 * vector_rows(rng, 3000, 12).astype(float))
     ids = rng.permutation(len(v)) * 3
     q = rng.choice(len(v), 40)
-    best, names = topk.search_range(ids, v, ids[q], v[q], 10)
+    best, names, scored = topk.search_range(ids, v, ids[q], v[q], 10)
+    assert scored <= v[q].shape[0] * len(v)
     full = v[q] @ v.T
     for i, k in enumerate(q):
         order = sorted((j for j in range(len(v)) if j != k), key=lambda j: (-full[i, j], ids[j]))[:10]
         assert names[i].tolist() == [ids[j] for j in order] and best[i].tolist() == [full[i, j] for j in order]
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_top_k_over_ranges_equals_brute_force(spark, monkeypatch, clustered):
+    for name, value in (("RANGE", 128), ("BLOCK", 16), ("QUERIES", 16), ("SAMPLE", 700)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(31)
+    centres = rng.standard_normal((24, 16)) * 900
+    home = np.where(rng.random(2400) < 1 / 3, 0, rng.integers(0, 24, 2400))       # a third of the rows in one cluster
+    v = np.floor(centres[home] + rng.standard_normal((2400, 16)) * 40) if clustered else np.floor(rng.standard_normal((2400, 16)) * 900)
+    v[5::200] = v[5]                                                             # ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>").repartition(5)
+    tally = spark.sparkContext.accumulator(0)
+    found: dict[int, list] = {}
+    for r in topk.top_k(df, F.col("vec_id") % 40 == 5, 10, tally).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    full = v @ v.T
+    for i in range(5, 2400, 40):
+        assert found[i] == [(j, full[i, j]) for j in sorted((j for j in range(2400) if j != i), key=lambda j: (-full[i, j], j))[:10]]
+    share = tally.value / (60 * 2400)
+    print("share of pairs scored", share)
+    assert share < 0.4 if clustered else share <= 1.1
+
+
 def test_top_k_beyond_exact_doubles():
     a = np.array([[float(1 << 40), 3.0], [1.0, 1.0]])
     assert topk.products(a, a)[1].tolist() == [(1 << 40) + 3, 2]
