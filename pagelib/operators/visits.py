@@ -28,24 +28,22 @@ def _parents(visits: DataFrame, *carried: str) -> DataFrame:
 def search_ancestry(visits: DataFrame, terms: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """The nearest search that led to each page, at most `hops` steps back.
 
-    Kept per visit: the best search exactly d steps back. Step d+1 is one join
-    of the parent links with that, aggregated per visit, so the work per step is
-    bounded by the links however many paths lead back.
+    Kept per visit: its nearest search, then the latest one. A step is one join of the parent links, of which a visit has one
+    to itself too, with that table, aggregated per visit; so a step's plan holds the step before once, and its work is
+    bounded by the links however many paths lead back. A farther search of a parent cannot be a child's nearest one.
     """
     named = terms.groupBy("url_id").agg(F.min("term").alias("term"))
-    links = _parents(visits)
-    best = visits.join(named, "url_id").select(
-        F.col("id").alias("visit"), F.struct(F.col("visit_time").alias("seen"), "term").alias("best"))
-    levels = best.withColumn("hops", F.lit(0))
-    for depth in range(1, hops + 1):
+    itself = visits.select(F.col("id").alias("child"), F.col("id").alias("parent"), F.lit(0).alias("away"))
+    links = _parents(visits).withColumn("away", F.lit(1)).unionByName(itself)
+    best = visits.join(named, "url_id").select(F.col("id").alias("visit"), F.lit(0).alias("hops"), F.col("visit_time").alias("seen"), "term")
+    for _ in range(hops):
+        back = F.col("hops") + F.col("away")
         best = (links.join(best, F.col("parent") == F.col("visit"))
-                .groupBy(F.col("child").alias("next")).agg(F.max("best").alias("best"))
-                .withColumnRenamed("next", "visit"))
-        levels = levels.unionByName(best.withColumn("hops", F.lit(depth)))
+                .groupBy("child").agg(F.max(F.struct((-back).alias("near"), "seen", "term")).alias("best"))
+                .select(F.col("child").alias("visit"), (-F.col("best.near")).alias("hops"), "best.seen", "best.term"))
     page = visits.select(F.col("id").alias("visit"), "url_id")
-    nearest = F.struct(-F.col("hops"), F.col("best.seen"), F.col("best.term"))
-    return (levels.join(page, "visit").groupBy("url_id")
-            .agg(F.max_by(F.struct("best.term", "hops"), nearest).alias("s"))
+    return (best.join(page, "visit").groupBy("url_id")
+            .agg(F.max_by(F.struct("term", "hops"), F.struct(-F.col("hops"), "seen", "term")).alias("s"))
             .select("url_id", "s.term", F.col("s.hops").cast("long").alias("hops")))
 
 
