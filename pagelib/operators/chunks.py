@@ -21,6 +21,28 @@ ITEM = r"^[ \t]*(?:[-+*]|[0-9]+[.)])[ \t]+"
 DEEP = r"^(?: {4}|\t)"
 PLACE = "array<struct<start: bigint, end: bigint, section: string, cut: boolean>>"
 FENCES = "array<struct<top: int, bottom: int>>"
+NEAR = 256      # entries of a growing list that are copied when one is added
+
+
+def empty_list(kind: str) -> Column:
+    """A list for folds that grow it by `added`: adding copies NEAR entries at most, not the whole list."""
+    return F.struct(F.array().cast(kind).alias("near"), F.array().cast(f"array<{kind}>").alias("far"))
+
+
+def added(out: Column, item: Column) -> Column:
+    one = F.array(item)
+    room = F.struct(F.concat(out["near"], one).alias("near"), out["far"].alias("far"))
+    return F.when(F.size(out["near"]) < NEAR, room).otherwise(
+        F.struct(one.alias("near"), F.concat(out["far"], F.array(out["near"])).alias("far")))
+
+
+def listed(out: Column) -> Column:
+    return F.concat(F.flatten(out["far"]), out["near"])
+
+
+def with_value(value: Column, then) -> Column:
+    """`then(value)`, with the value computed once however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def quoted(c: Column) -> Column:
@@ -55,17 +77,16 @@ def fence_ranges(lines: DataFrame) -> DataFrame:
     marks = (lines.withColumn("mark", F.regexp_extract("line", MARK, 1)).where("mark <> ''")
              .withColumn("bare", F.regexp_replace("line", MARK, "").rlike(r"^[ \t]*$")))
     none = F.lit(None).cast("int")
-    start = F.struct(none.alias("top"), F.lit("").alias("mark"), F.array().cast(FENCES).alias("out"))
+    start = F.struct(none.alias("top"), F.lit("").alias("mark"), empty_list(FENCES).alias("out"))
+    fence = lambda s, bottom: F.struct(s["top"].alias("top"), bottom.alias("bottom"))
 
     def step(s, m):
         closes = m["bare"] & (F.substring(m["mark"], 1, 1) == F.substring(s["mark"], 1, 1)) & (F.length(m["mark"]) >= F.length(s["mark"]))
         opened = F.struct(m["at"].alias("top"), m["mark"].alias("mark"), s["out"].alias("out"))
-        closed = F.struct(none.alias("top"), F.lit("").alias("mark"),
-                          F.concat(s["out"], F.array(F.struct(s["top"].alias("top"), m["at"].alias("bottom")))).alias("out"))
+        closed = F.struct(none.alias("top"), F.lit("").alias("mark"), added(s["out"], fence(s, m["at"])).alias("out"))
         return F.when(s["top"].isNull(), opened).when(closes, closed).otherwise(s)
 
-    last = lambda s: F.when(s["top"].isNull(), s["out"]).otherwise(
-        F.concat(s["out"], F.array(F.struct(s["top"].alias("top"), F.lit((1 << 31) - 1).alias("bottom")))))
+    last = lambda s: listed(F.when(s["top"].isNull(), s["out"]).otherwise(added(s["out"], fence(s, F.lit((1 << 31) - 1)))))
     return marks.groupBy("page_id").agg(F.aggregate(
         F.array_sort(F.collect_list(F.struct("at", "mark", "bare"))), start, step, last).alias("fences"))
 
@@ -107,15 +128,15 @@ def page_blocks(lines: DataFrame) -> DataFrame:
 
 
 def pack(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(page_id, place): blocks packed in order up to MOST bytes; a heading begins a chunk. A page without blocks is one chunk."""
+    """(page_id, places): blocks packed in order up to MOST bytes; a heading begins a chunk. A page without blocks is one chunk."""
     order = Window.partitionBy("page_id").orderBy("block")
     spans = (blocks.join(sizes, "page_id").withColumn("end", F.coalesce(F.lead("start").over(order), "bytes"))
              .withColumn("start", F.when(F.row_number().over(order) == 1, 0).otherwise(F.col("start")).cast("long"))
              .groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block", "start", "end", "section", "kind"))).alias("blocks")))
     none = F.lit(None).cast("long")
     closed = F.struct(none.alias("start"), none.alias("end"), F.lit("").alias("section"))
-    place = lambda x, cut: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["section"].alias("section"), F.lit(cut).alias("cut")))
-    settled = lambda s: F.when(s["open"]["start"].isNull(), s["out"]).otherwise(F.concat(s["out"], place(s["open"], False)))
+    place = lambda x, cut: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["section"].alias("section"), cut.alias("cut"))
+    settled = lambda s: F.when(s["open"]["start"].isNull(), s["out"]).otherwise(added(s["out"], place(s["open"], F.lit(False))))
 
     def step(s, b):
         full = (b["kind"] == "heading") | (b["end"] - s["open"]["start"] > MOST)
@@ -123,68 +144,91 @@ def pack(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
         begins = s["open"]["start"].isNull() | full
         grown = F.struct(F.when(begins, b["start"]).otherwise(s["open"]["start"]).alias("start"), b["end"].alias("end"), b["section"].alias("section"))
         before = F.when(begins, settled(s)).otherwise(s["out"])
-        alone = F.concat(before, F.when(b["kind"] == "paragraph", place(b, True)).otherwise(place(b, False)))
+        alone = added(before, place(b, b["kind"] == "paragraph"))
         return F.when(large, F.struct(closed.alias("open"), alone.alias("out"))).otherwise(F.struct(grown.alias("open"), before.alias("out")))
 
-    start = F.struct(closed.alias("open"), F.array().cast(PLACE).alias("out"))
+    start = F.struct(closed.alias("open"), empty_list(PLACE).alias("out"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("bytes").alias("end"), F.lit("").alias("section"), (F.col("bytes") > MOST).alias("cut")))
-    packed = sizes.join(spans, "page_id", "left").select(
-        "page_id", F.when(F.col("blocks").isNull(), whole).otherwise(F.aggregate("blocks", start, step, settled)).alias("places"))
-    return packed.select("page_id", F.explode("places").alias("place"))
+    return sizes.join(spans, "page_id", "left").select(
+        "page_id", F.when(F.col("blocks").isNull(), whole).otherwise(F.aggregate("blocks", start, step, lambda s: listed(settled(s)))).alias("places"))
+
+
+def _inside(b: Column, p: Column) -> Column:
+    """Whether byte p of b continues a character."""
+    return F.coalesce(F.hex(_part(b, p, p + 1)).between("80", "BF"), F.lit(False))
 
 
-def _inside(p: Column) -> Column:
-    """Whether byte p of `bytes` continues a character."""
-    return F.coalesce(F.hex(F.substr("bytes", (p + 1).cast("int"), F.lit(1))).between("80", "BF"), F.lit(False))
+def _down(b: Column, p: Column) -> Column:
+    return F.when(~_inside(b, p), p).when(~_inside(b, p - 1), p - 1).when(~_inside(b, p - 2), p - 2).otherwise(p - 3)
 
 
-def _down(p: Column) -> Column:
-    return F.when(~_inside(p), p).when(~_inside(p - 1), p - 1).when(~_inside(p - 2), p - 2).otherwise(p - 3)
+def _up(b: Column, p: Column) -> Column:
+    return F.when(~_inside(b, p), p).when(~_inside(b, p + 1), p + 1).when(~_inside(b, p + 2), p + 2).otherwise(p + 3)
 
 
-def _up(p: Column) -> Column:
-    return F.when(~_inside(p), p).when(~_inside(p + 1), p + 1).when(~_inside(p + 2), p + 2).otherwise(p + 3)
+def _part(b: Column, start: Column, end: Column) -> Column:
+    return F.substr(b, (start + 1).cast("int"), (end - start).cast("int"))
 
 
-def cut_paragraphs(large: DataFrame) -> DataFrame:
-    """(page_id, start, end, section, text) pieces of paragraphs (page_id, start, section, bytes) that are larger than a chunk.
+def paragraph_cuts(b: Column) -> Column:
+    """(a, b) places of the pieces of a paragraph's bytes.
 
     A piece ends after the last white space between LEAST and MOST bytes, or at MOST, and the next one begins OVERLAP
     bytes before that end.
     """
-    sofar = Window.partitionBy("page_id", "start").orderBy("i")
-    tokens = large.select("page_id", "start", F.posexplode(F.regexp_extract_all(F.decode("bytes", "UTF-8"), F.lit(r"(?U)\S+|\s"), F.lit(0))).alias("i", "t"))
-    ends = (tokens.withColumn("end", F.sum(F.octet_length("t")).over(sofar)).where(F.col("t").rlike(r"(?U)^\s$"))
-            .groupBy("page_id", "start").agg(F.collect_list("end").alias("ends")))
-    size = F.octet_length("bytes").cast("long")
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a: bigint, b: bigint>>").alias("out"))
+    size = F.octet_length(b).cast("long")
+    first = F.struct(F.lit(0).cast("long").alias("at"), empty_list("array<struct<a: bigint, b: bigint>>").alias("out"))
+
+    def last_space(start: Column, end: Column) -> Column:
+        """Bytes up to the end of the last white space between two places; NULL without one."""
+        part = F.decode(_part(b, start, end), "UTF-8")
+        return F.nullif(F.octet_length(F.regexp_extract(part, r"(?sU)^(.*\s)", 1)), F.lit(0))
 
     def step(s, _):
         at = s["at"]
-        limit = F.when(at + MOST >= size, size).otherwise(_down(at + MOST))
-        space = F.array_max(F.filter("ends", lambda e: (e > _up(at + LEAST)) & (e <= limit)))
-        cut = F.when(limit == size, size).otherwise(F.coalesce(space, limit))
-        more = F.concat(s["out"], F.array(F.struct(at.alias("a"), cut.alias("b"))))
-        after = F.when(cut == size, size).otherwise(F.greatest(at + 1, _up(cut - OVERLAP)))
-        return F.when(at >= size, s).otherwise(F.struct(after.alias("at"), more.alias("out")))
+
+        def piece(cut):
+            after = F.when(cut == size, size).otherwise(F.greatest(at + 1, _up(b, cut - OVERLAP)))
+            return F.struct(after.alias("at"), added(s["out"], F.struct(at.alias("a"), cut.alias("b"))).alias("out"))
+
+        limit = F.when(at + MOST >= size, size).otherwise(_down(b, at + MOST))
+        cut = with_value(limit, lambda limit: with_value(_up(b, at + LEAST), lambda least: F.when(limit == size, size).otherwise(
+            F.coalesce(least + last_space(least, limit), limit))))
+        return F.when(at >= size, s).otherwise(with_value(cut, piece))
 
     steps = F.sequence(F.lit(1), F.ceil(size / (LEAST - OVERLAP)).cast("int") + 1)
-    joined = large.join(ends, ["page_id", "start"], "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
-    pieces = joined.withColumn("p", F.explode(F.aggregate(steps, first, step, lambda s: s["out"])))
-    return pieces.select("page_id", (F.col("start") + F.col("p.a")).alias("start"), (F.col("start") + F.col("p.b")).alias("end"), "section",
-                         F.decode(F.substr("bytes", (F.col("p.a") + 1).cast("int"), (F.col("p.b") - F.col("p.a")).cast("int")), "UTF-8").alias("text"))
+    return F.aggregate(steps, first, step, lambda s: listed(s["out"]))
+
+
+def placed_texts(whole: Column, places: Column) -> Column:
+    """(start, end, section, text) of every chunk; a place marked `cut` gives several.
+
+    The page's bytes are bound once: a column read inside a fold would be copied at each step.
+    """
+    def texts(b, start, cuts, section):
+        return F.transform(cuts, lambda c: F.struct((start + c["a"]).alias("start"), (start + c["b"]).alias("end"), section.alias("section"),
+                                                    F.decode(_part(b, c["a"], c["b"]), "UTF-8").alias("text")))
+
+    def of_place(p):
+        def inside(part):
+            one = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length(part).cast("long").alias("b")))
+            return texts(part, p["start"], F.when(p["cut"], paragraph_cuts(part)).otherwise(one), p["section"])
+
+        return inside
+
+    return with_value(whole, lambda b: F.flatten(F.transform(places, lambda p: with_value(_part(b, p["start"], p["end"]), of_place(p)))))
 
 
 def chunk_pages(content: DataFrame) -> DataFrame:
     """(page_id, title, body) to chunk rows (id, page_id, start, end, section, hash, page_hash); empty bodies have none."""
     pages = content.where(F.length("body") > 0).select("page_id", "title", "body")
     sizes = pages.select("page_id", F.octet_length("body").cast("long").alias("bytes"))
-    placed = pack(page_blocks(page_lines(pages)), sizes).select("page_id", "place.*")
-    bodies = pages.select("page_id", shown_title(F.col("title")).alias("title"), F.encode("body", "UTF-8").alias("whole"),
-                          page_hash(F.col("title"), F.col("body")).alias("page_hash"))
-    spans = placed.join(bodies, "page_id").withColumn("bytes", F.substr("whole", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    whole = spans.where(~F.col("cut")).select("page_id", "start", "end", "section", F.decode("bytes", "UTF-8").alias("text"))
-    rows = whole.unionByName(cut_paragraphs(spans.where("cut").select("page_id", "start", "section", "bytes")))
-    return rows.join(bodies.drop("whole"), "page_id").select(
+    placed = pack(page_blocks(page_lines(pages)), sizes)
+    texts = placed_texts(F.encode("body", "UTF-8"), F.col("places"))
+    # Digests and texts come before the explode, so that no chunk carries the whole page along.
+    whole = placed.join(pages, "page_id").select("page_id", shown_title(F.col("title")).alias("title"),
+                                                 page_hash(F.col("title"), F.col("body")).alias("page_hash"), texts.alias("chunks"))
+    rows = whole.select("page_id", "title", "page_hash", F.explode("chunks").alias("chunk")).select("page_id", "title", "page_hash", "chunk.*")
+    return rows.select(
         digest(quoted(F.col("page_id")), F.col("start").cast("string"), F.col("end").cast("string")).alias("id"), "page_id", "start", "end",
         "section", digest(quoted(F.col("title")), quoted(F.col("section")), quoted(F.col("text"))).alias("hash"), "page_hash")

@@ -61,3 +61,44 @@ def test_large_paragraph_is_cut_at_white_space(spark, word):
 def test_hash_follows_title_section_and_text(spark):
     one, two, three = cut(spark, ["# A\n\nsame text", "# A\n\nsame text", "# B\n\nsame text"])
     assert one[0]["hash"] == two[0]["hash"] != three[0]["hash"] and one[0]["id"] != two[0]["id"]
+
+
+def loop_cuts(raw: bytes):
+    """Pieces of a paragraph by the rule, one after another."""
+    def up(p):
+        while p < len(raw) and raw[p] & 0xC0 == 0x80:
+            p += 1
+        return p
+
+    at, out = 0, []
+    while at < len(raw):
+        limit, least = len(raw), up(at + chunks.LEAST)
+        if at + chunks.MOST < len(raw):
+            limit = at + chunks.MOST
+            while raw[limit] & 0xC0 == 0x80:
+                limit -= 1
+        cut = limit
+        if limit < len(raw):
+            part = raw[least:limit].decode()
+            ends = [i + 1 for i, c in enumerate(part) if c.isspace()]
+            cut = least + len(part[:ends[-1]].encode()) if ends else limit
+        out.append((at, cut))
+        at = cut if cut == len(raw) else max(at + 1, up(cut - chunks.OVERLAP))
+    return out
+
+
+def test_long_paragraphs_equal_a_loop(spark):
+    rng = random.Random(8)
+    words = ["word", "é中", "😀😀", "x" * 700, "中" * 1200, "a", "longer-than-most"]
+    bodies = ["".join(rng.choice(words) + rng.choice([" ", "\t", "　", "  "]) for _ in range(n)) + "end" for n in (40, 3000, 7000)]
+    for body, rows in zip(bodies, cut(spark, bodies)):
+        assert [(r["start"], r["end"]) for r in rows] == loop_cuts(body.encode())
+    assert len(rows) > 3 * chunks.NEAR
+
+
+def test_more_chunks_and_fences_than_a_list_copies(spark):
+    block = "```\n" + "# code\n" * 3 + "```\n\n" + "plain words " * 60 + "\n\n"
+    [rows] = cut(spark, [block * 900])
+    assert len(rows) > chunks.NEAR and rows[0]["start"] == 0
+    assert all(a["end"] == b["start"] and b["end"] - b["start"] <= chunks.MOST for a, b in zip(rows, rows[1:]))
+    assert {r["section"] for r in rows} == {""}
