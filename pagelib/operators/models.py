@@ -47,7 +47,7 @@ def _decisions(model, scaled: DataFrame, tag) -> DataFrame:
 
 
 def fit_tag_heads(vectors: DataFrame, labels: DataFrame, apply_to: DataFrame, cs: list[float] = (0.001, 0.01, 0.1),
-                  inner: int = 3, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
+                  inner: int = 3, train_rows: int = TRAIN_ROWS, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, rules): a balanced logistic head per tag with ten positives or more.
 
     Positives are counted over all labels. Only labelled rows are fitted; of more than `train_rows` a share is chosen by
@@ -55,7 +55,8 @@ def fit_tag_heads(vectors: DataFrame, labels: DataFrame, apply_to: DataFrame, cs
     row counts in the fit as the inverse of its share. Their vectors are broadcast once (about (train_rows + tags *
     TAG_ROWS) * dimensions numbers at most), tags are dealt over tasks, and each task standardises, balances and
     penalises inside the rows of its fit. C is chosen by out-of-fold average precision and the threshold by out-of-fold
-    F1. The heads score all rows of `apply_to` in one blocked product.
+    F1. The heads score all rows of `apply_to` in one blocked product; with `k`, only a row's `k` best tags and those above
+    their threshold leave it.
     """
     spark = vectors.sparkSession
     lab = labels.select("id", "tag").distinct()
@@ -90,7 +91,8 @@ def fit_tag_heads(vectors: DataFrame, labels: DataFrame, apply_to: DataFrame, cs
     rules = materialise(held.repartition(min(tags, spark.sparkContext.defaultParallelism * 4), "tag")
                         .mapInPandas(fit, f"tag {kind}, c double, threshold double, ap double, vector array<double>"), "rules")
     with_one = apply_to.select("id", F.concat(V.doubles("vector"), F.array(F.lit(1.0))).alias("vector"))
-    scores = blocked_products(with_one, rules.select(F.col("tag").alias("id"), "vector"))
+    floor = [] if k is None else [F.col("threshold").alias("floor")]
+    scores = blocked_products(with_one, rules.select(F.col("tag").alias("id"), "vector", *floor), k)
     return scores.select(F.col("left").alias("id"), F.col("right").alias("tag"), "score"), rules.drop("vector")
 
 

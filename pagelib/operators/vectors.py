@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagelib.functions import vectors as V
+from pagelib.session import materialise
 
 BLOCK = 4096
 ROUND = 9
@@ -15,40 +16,82 @@ NEGATIVE_WEIGHT = 0.25
 MEDIA_MARKERS = ["<|image|>", "<|audio|>", "<|video|>"]
 
 
-def blocked_products(left: DataFrame, right: DataFrame, k: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Dot products of every left vector with every right one, `k` best per left row if given.
-
-    Both sides are (id, vector). Rows fall into blocks of about `block` by a hash of
-    their id; each pair of blocks is one matrix product, and with `k` only the best of
-    a block leave it. Task memory is bounded by two blocks, whatever the table sizes.
-    """
+def _block_pairs(left: DataFrame, right: DataFrame, block: int):
+    """Both sides dealt into blocks of about `block` rows by a hash of their id, every pair of blocks once."""
     def blocks(df: DataFrame) -> Column:
         return F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / block), F.lit(1)).cast("int")
 
     n_left, n_right = blocks(left), blocks(right)
     of = lambda df, n: F.pmod(F.xxhash64("id"), n).cast("int")
+    more = [F.col("floor").cast("double").alias("floor")] if "floor" in right.columns else []
     a = left.select(F.col("id").alias("id"), V.doubles("vector").alias("vector"), of(left, n_left).alias("i"),
                     F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
-    b = right.select(F.col("id").alias("id"), V.doubles("vector").alias("vector"), of(right, n_right).alias("j"),
+    b = right.select(F.col("id").alias("id"), V.doubles("vector").alias("vector"), *more, of(right, n_right).alias("j"),
                      F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"))
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j"))
+
+
+def _scores(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    return np.round(np.stack(x["vector"].to_list()) @ np.stack(y["vector"].to_list()).T, ROUND)
+
+
+def blocked_products(left: DataFrame, right: DataFrame, k: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Dot products of every left vector with every right one, `k` best per left row if given.
+
+    Both sides are (id, vector). Rows fall into blocks of about `block` by a hash of
+    their id; each pair of blocks is one matrix product, and with `k` only the best of
+    a block leave it. Task memory is bounded by two blocks, whatever the table sizes.
+    If the right side has a `floor` too, scores of at least that stay beside the `k` best, and `clears` marks them.
+    """
+    floors = "floor" in right.columns and k is not None
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"left": x["id"].head(0), "right": y["id"].head(0), "score": []})
+            none = pd.DataFrame({"left": x["id"].head(0), "right": y["id"].head(0), "score": []})
+            return none.assign(clears=np.zeros(0, bool)) if floors else none
         y = y.sort_values("id")
-        s = np.round(np.stack(x["vector"].to_list()) @ np.stack(y["vector"].to_list()).T, ROUND)
+        s = _scores(x, y)
         m = s.shape[1] if k is None else min(k, s.shape[1])
         top = np.argsort(-s, axis=1, kind="stable")[:, :m]
+        if floors:
+            clears = s >= y["floor"].to_numpy()
+            stays = clears.copy()
+            np.put_along_axis(stays, top, True, axis=1)
+            row, col = np.nonzero(stays)
+            return pd.DataFrame({"left": x["id"].to_numpy()[row], "right": y["id"].to_numpy()[col], "score": s[row, col],
+                                 "clears": clears[row, col]})
         return pd.DataFrame({"left": np.repeat(x["id"].to_numpy(), m), "right": y["id"].to_numpy()[top.ravel()],
                              "score": np.take_along_axis(s, top, axis=1).ravel()})
 
     lt, rt = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    pairs = (a.groupBy("i", "j").cogroup(b.groupBy("i", "j"))
-             .applyInPandas(product, f"left {lt}, right {rt}, score double"))
+    pairs = _block_pairs(left, right, block).applyInPandas(
+        product, f"left {lt}, right {rt}, score double" + (", clears boolean" if floors else ""))
     if k is None:
         return pairs
     w = Window.partitionBy("left").orderBy(F.desc("score"), "right")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    placed = pairs.withColumn("place", F.row_number().over(w))
+    return placed.where((F.col("place") <= k) | F.col("clears")) if floors else placed.where(F.col("place") <= k)
+
+
+def product_moments(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, n, mean, sd) of each right vector's products with all left ones; a pair of blocks gives one row per right vector.
+
+    Deviations are summed around each block's own mean, so large means take no digits from them.
+    """
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"id": y["id"].head(0), "n": np.zeros(0, "int64"), "mean": [], "spread": []})
+        s = _scores(x, y)
+        return pd.DataFrame({"id": y["id"].to_numpy(), "n": len(s), "mean": s.mean(0), "spread": ((s - s.mean(0)) ** 2).sum(0)})
+
+    kind = right.schema["id"].dataType.simpleString()
+    parts = _block_pairs(left, right.select("id", "vector"), block).applyInPandas(sums, f"id {kind}, n long, mean double, spread double")
+    parts = materialise(parts, "moments")
+    whole = parts.groupBy("id").agg(F.sum("n").alias("n_all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_all"))
+    off = F.col("mean") - F.col("mean_all")
+    sd = F.sqrt(F.sum(F.col("spread") + F.col("n") * off * off) / F.first("n_all"))
+    return (parts.join(whole, "id").groupBy("id")
+            .agg(F.first("n_all").alias("n"), F.first("mean_all").alias("mean"), sd.alias("sd")))
 
 
 def top_k_neighbours(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
@@ -98,12 +141,27 @@ def refine(vectors: DataFrame, query: Column, included: DataFrame, excluded: Dat
     return terms.select(V.unit(V.add(V.add("q", "p"), "n", -NEGATIVE_WEIGHT)).alias("v")).scalar()
 
 
-def zero_shot(vectors: DataFrame, queries: DataFrame, images: DataFrame | None = None, sd: float = 2.0) -> DataFrame:
+def zero_shot(vectors: DataFrame, queries: DataFrame, images: DataFrame | None = None, sd: float = 2.0,
+              k: int | None = None) -> DataFrame:
     """(id, tag, score, predicted): cosine to each tag's query, averaged with the image's where there is one.
 
-    Without labels a tag is predicted above its mean plus `sd` standard deviations.
+    Without labels a tag is predicted above its mean plus `sd` standard deviations. With `k`, only each page's `k` best tags
+    and its predicted ones come back: the first product leaves moments of each tag, the second the cells that stay, so what
+    leaves a task grows with `k` and the predictions, not with pages times tags.
     """
     q = queries.select(F.col("tag").alias("id"), "vector")
+    if k is not None:
+        v = vectors.select("id", V.doubles("vector").alias("vector"))
+        if images is not None:      # the mean of two products is one product of the vectors side by side
+            half = lambda c: F.transform(c, lambda x: x / 2)
+            j = v.join(images.select("id", V.doubles("vector").alias("image")), "id", "left")
+            v = j.select("id", F.when(F.col("image").isNull(), F.concat("vector", F.transform("vector", lambda x: F.lit(0.0))))
+                         .otherwise(F.concat(half("vector"), half("image"))).alias("vector"))
+            q = q.select("id", F.concat(V.doubles("vector"), V.doubles("vector")).alias("vector"))
+        rules = materialise(product_moments(v, q).select("id", (F.col("mean") + sd * F.col("sd")).alias("floor")), "rules")
+        kept = blocked_products(v, q.join(rules, "id"), k).join(rules.withColumnRenamed("id", "right"), "right")
+        kept = kept.withColumn("predicted", F.col("score") > F.col("floor")).where((F.col("place") <= k) | F.col("predicted"))
+        return kept.select(F.col("left").alias("id"), F.col("right").alias("tag"), "score", "predicted")
     s = blocked_products(vectors.select("id", "vector"), q)
     if images is not None:
         i = blocked_products(images.select("id", "vector"), q).withColumnRenamed("score", "image")
