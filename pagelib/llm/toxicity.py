@@ -26,7 +26,6 @@ from pagelib.llm.common import distinct_passages, held_out, labelled_sample, que
 from pagelib.session import materialise
 
 TRAIN_ROWS = 30_000      # bound of the labelled sample that the features are learned from
-MOST_FEATURES = 50_000   # features kept, the surest first
 LEAST_ROWS = 5           # training rows that hold a feature
 LEAST_SHARE = 0.75       # of toxic rows among them
 CHANCE = 0.01            # that any feature of a clean vocabulary is kept
@@ -175,8 +174,13 @@ def feature_counts(model: np.ndarray):
     return count
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, float]]:
-    """The character model of all `docs` and the features learned from labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
+        most_features: int | None = None) -> tuple[np.ndarray, dict[str, float]]:
+    """The character model of all `docs` and the features learned from labelled rows that are not held out.
+
+    All features that chance does not explain are kept, or the surest `most_features`; the sample of labelled rows bounds
+    their number.
+    """
     model = character_model(docs)
     sample = distinct_passages(labelled_sample(docs, labels, "toxic", train_rows))
     counts = materialise(sample.mapInPandas(feature_counts(model), "feature string, toxic long, clean long").groupBy("feature")
@@ -191,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     rows = (counts.where((F.col("feature") != EVERY) & (n >= LEAST_ROWS) & (share >= LEAST_SHARE))
             .where(F.log(F.lit(tried)) - n * gain < math.log(CHANCE))
             .select("feature", ((F.col("toxic") + 0.5) / (n + 1.5)).alias("share"), n.alias("n"))
-            .orderBy(F.col("share").desc(), F.col("n").desc(), "feature").limit(MOST_FEATURES).collect())
+            .orderBy(F.col("share").desc(), F.col("n").desc(), "feature"))
+    rows = (rows if most_features is None else rows.limit(most_features)).collect()
     return model, {r["feature"]: math.log1p(-r["share"]) for r in rows}
 
 
